@@ -1,7 +1,10 @@
-"""Planar geometry as expressions over doubles.
+"""Planar geometry as SQL expressions over doubles.
 
 A ring is ``array<struct<x:double,y:double>>``, closed; a polygon is an array of rings (shell and holes, or the
 shells of several parts): inside means inside an odd number of rings. Nothing here needs a UDF or a UDT.
+
+The shape functions take column names or SQL text and return a Column made by one `expr`: long expressions built
+call by call from Python cost seconds per query. Names ending in `_sql` return the text.
 """
 
 from __future__ import annotations
@@ -17,264 +20,239 @@ RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
 
 
 def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.expr(c) if isinstance(c, str) else c
 
 
 # ---- coordinates ---------------------------------------------------------------------------------
 
-def mercator_x(lon) -> Column:
-    return F.radians(_col(lon)) * F.lit(MERCATOR_RADIUS_M)
+def mercator_x_sql(lon: str) -> str:
+    return f"(radians({lon}) * {MERCATOR_RADIUS_M}D)"
 
 
-def mercator_y(lat) -> Column:
-    return F.log(F.tan(F.lit(math.pi / 4) + F.radians(_col(lat)) / F.lit(2.0))) * F.lit(MERCATOR_RADIUS_M)
+def mercator_y_sql(lat: str) -> str:
+    return f"(ln(tan({math.pi / 4}D + radians({lat}) / 2D)) * {MERCATOR_RADIUS_M}D)"
 
 
-def lon_of(mx) -> Column:
-    return F.degrees(_col(mx) / F.lit(MERCATOR_RADIUS_M))
+def mercator_x(lon: str) -> Column:
+    return F.expr(mercator_x_sql(lon))
 
 
-def lat_of(my) -> Column:
-    return F.degrees(F.lit(2.0) * F.atan(F.exp(_col(my) / F.lit(MERCATOR_RADIUS_M))) - F.lit(math.pi / 2))
+def mercator_y(lat: str) -> Column:
+    return F.expr(mercator_y_sql(lat))
 
 
-def haversine(lon1, lat1, lon2, lat2, radius: float = EARTH_RADIUS_M) -> Column:
-    """Great-circle metres."""
-    p1, p2 = F.radians(_col(lat1)), F.radians(_col(lat2))
-    dphi = p2 - p1
-    dlam = F.radians(_col(lon2) - _col(lon1))
-    h = F.pow(F.sin(dphi / F.lit(2.0)), F.lit(2.0)) + F.cos(p1) * F.cos(p2) * F.pow(
-        F.sin(dlam / F.lit(2.0)), F.lit(2.0)
-    )
-    return F.lit(2.0 * radius) * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+def lon_of_sql(mx: str) -> str:
+    return f"degrees({mx} / {MERCATOR_RADIUS_M}D)"
 
 
-def distance2(x1, y1, x2, y2) -> Column:
-    dx, dy = _col(x2) - _col(x1), _col(y2) - _col(y1)
-    return dx * dx + dy * dy
+def lat_of_sql(my: str) -> str:
+    return f"degrees(2D * atan(exp({my} / {MERCATOR_RADIUS_M}D)) - {math.pi / 2}D)"
 
 
-def distance(x1, y1, x2, y2) -> Column:
-    return F.sqrt(distance2(x1, y1, x2, y2))
+def lon_of(mx: str) -> Column:
+    return F.expr(lon_of_sql(mx))
 
 
-# ---- building and rewriting shapes ---------------------------------------------------------------
+def lat_of(my: str) -> Column:
+    return F.expr(lat_of_sql(my))
 
-def vertex(x, y) -> Column:
-    return F.struct(_col(x).cast("double").alias("x"), _col(y).cast("double").alias("y"))
 
+def haversine(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = EARTH_RADIUS_M) -> Column:
+    """Great-circle metres."""
+    return F.expr(
+        f"{2.0 * radius}D * asin(least(sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2D), 2D) + cos(radians({lat1})) "
+        f"* cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2D), 2D)), 1D))")
 
-def box(x0, y0, x1, y1) -> Column:
-    """Closed rectangle, counter-clockwise."""
-    return F.array(F.array(vertex(x0, y0), vertex(x1, y0), vertex(x1, y1), vertex(x0, y1), vertex(x0, y0)))
 
+def distance_sql(x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"sqrt(({x2} - {x1}) * ({x2} - {x1}) + ({y2} - {y1}) * ({y2} - {y1}))"
 
-def map_vertices(rings, fx, fy) -> Column:
-    return F.transform(_col(rings), lambda r: F.transform(r, lambda v: F.struct(
-        fx(v["x"]).alias("x"), fy(v["y"]).alias("y"))))
 
+def distance(x1: str, y1: str, x2: str, y2: str) -> Column:
+    return F.expr(distance_sql(x1, y1, x2, y2))
 
-def rings_to_mercator(rings) -> Column:
-    return map_vertices(rings, mercator_x, mercator_y)
+
+# ---- building and rewriting shapes ---------------------------------------------------------------
+
+def box(x0: str, y0: str, x1: str, y1: str) -> Column:
+    """Closed rectangle, counter-clockwise."""
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    return F.expr("array(array(" + ", ".join(
+        f"named_struct('x', CAST({x} AS double), 'y', CAST({y} AS double))" for x, y in corners) + "))")
 
 
-def vertices(rings) -> Column:
-    return F.flatten(_col(rings))
+def rings_to_mercator_sql(rings: str) -> str:
+    return (f"transform({rings}, r -> transform(r, v -> named_struct('x', {mercator_x_sql('v.x')}, 'y', {mercator_y_sql('v.y')})))")
 
 
-def ring_segments(ring) -> Column:
-    n = F.size(ring)
-    return F.zip_with(
-        F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
+def rings_to_mercator(rings: str) -> Column:
+    return F.expr(rings_to_mercator_sql(rings))
 
 
-def segments(rings) -> Column:
-    return F.flatten(F.transform(_col(rings), ring_segments))
+def _ring_segments(r: str) -> str:
+    n = f"greatest(size({r}) - 1, 0)"
+    return f"zip_with(slice({r}, 1, {n}), slice({r}, 2, {n}), (a, b) -> named_struct('a', a, 'b', b))"
 
 
-def bounds(rings) -> Column:
+def segments_sql(rings: str) -> str:
+    return f"flatten(transform({rings}, r -> {_ring_segments('r')}))"
+
+
+def bounds(rings: str) -> Column:
     """struct(xmin, ymin, xmax, ymax)."""
-    vs = vertices(rings)
-    xs, ys = F.transform(vs, lambda v: v["x"]), F.transform(vs, lambda v: v["y"])
-    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"),
-                    F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    xs, ys = (f"transform(flatten({rings}), v -> v.{c})" for c in "xy")
+    return F.expr(f"named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), 'xmax', array_max({xs}), 'ymax', array_max({ys}))")
 
 
-def dissolve(rings, strict: bool = False) -> Column:
+def dissolve(rings: str, strict: bool = False) -> Column:
     """One shape from several parts. All rings are kept; with `strict`, disjoint parts give an empty shape."""
-    rings = _col(rings)
     if not strict:
-        return rings
-    apart = F.exists(rings, lambda r: ~F.exists(rings, lambda o: (r != o) & (
-        F.exists(ring_segments(r), lambda s: F.exists(ring_segments(o), lambda t: segments_touch(s, t)))
-        | contains_point(F.array(o), r[0]["x"], r[0]["y"]) | contains_point(F.array(r), o[0]["x"], o[0]["y"]))))
-    return F.when((F.size(rings) > 1) & apart, F.array().cast(RINGS_TYPE)).otherwise(rings)
+        return F.expr(rings)
+    near = (f"exists({_ring_segments('p')}, s -> exists({_ring_segments('o')}, t -> {_touch('s', 't')}))"
+            f" OR {covers_point_sql('array(o)', 'p[0].x', 'p[0].y')} OR {covers_point_sql('array(p)', 'o[0].x', 'o[0].y')}")
+    apart = f"exists({rings}, p -> NOT exists({rings}, o -> p <> o AND ({near})))"
+    return F.expr(f"CASE WHEN size({rings}) > 1 AND {apart} THEN CAST(array() AS {RINGS_TYPE}) ELSE {rings} END")
 
 
 # ---- measures ------------------------------------------------------------------------------------
 
-def _cross_sum(ring) -> Column:
-    o = ring[0]
-    return F.aggregate(ring_segments(ring), F.lit(0.0), lambda acc, s: acc
-                       + (s["a"]["x"] - o["x"]) * (s["b"]["y"] - o["y"])
-                       - (s["b"]["x"] - o["x"]) * (s["a"]["y"] - o["y"]))
+def _cross_sum(r: str) -> str:
+    return (f"aggregate({_ring_segments(r)}, 0D, (acc, s) -> acc + (s.a.x - {r}[0].x) * (s.b.y - {r}[0].y)"
+            f" - (s.b.x - {r}[0].x) * (s.a.y - {r}[0].y))")
+
+
+def area_sql(rings: str) -> str:
+    return f"(abs(aggregate({rings}, 0D, (total, q) -> total + {_cross_sum('q')})) / 2D)"
 
 
-def area(rings) -> Column:
+def area(rings: str) -> Column:
     """Shoelace area in the units of the coordinates; holes run against the shell and so subtract."""
-    return F.abs(F.aggregate(_col(rings), F.lit(0.0), lambda acc, r: acc + _cross_sum(r))) / F.lit(2.0)
+    return F.expr(area_sql(rings))
 
 
-def area_m2(rings, mode: str = "mercator") -> Column:
+def area_m2(rings: str, mode: str = "mercator") -> Column:
     """'degrees': degrees^2 x 111320^2; 'mercator': projected metres^2 (stretched by 1 / cos^2 of the latitude)."""
     if mode == "degrees":
-        return area(rings) * F.lit(METERS_PER_DEGREE * METERS_PER_DEGREE)
-    return area(rings_to_mercator(rings))
+        return F.expr(f"{area_sql(rings)} * {METERS_PER_DEGREE * METERS_PER_DEGREE}D")
+    return F.expr(area_sql(rings_to_mercator_sql(rings)))
 
 
-def centroid(rings) -> Column:
+def centroid(rings: str) -> Column:
     """struct(x, y), area-weighted; the mean of the vertices when the area is zero."""
-    rings = _col(rings)
-    o = rings[0][0]
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    ox, oy = f"{rings}[0][0].x", f"{rings}[0][0].y"
+    w = f"((s.a.x - {ox}) * (s.b.y - {oy}) - (s.b.x - {ox}) * (s.a.y - {oy}))"
+    step = (f"named_struct('w', acc.w + {w}, 'x', acc.x + (s.a.x + s.b.x - 2D * {ox}) * {w}, "
+            f"'y', acc.y + (s.a.y + s.b.y - 2D * {oy}) * {w})")
 
-    def step(acc, s):
-        ax, ay = s["a"]["x"] - o["x"], s["a"]["y"] - o["y"]
-        bx, by = s["b"]["x"] - o["x"], s["b"]["y"] - o["y"]
-        w = ax * by - bx * ay
-        return F.struct((acc["w"] + w).alias("w"), (acc["x"] + (ax + bx) * w).alias("x"),
-                        (acc["y"] + (ay + by) * w).alias("y"))
+    def mean(c):
+        return f"aggregate(flatten({rings}), 0D, (t, v) -> t + v.{c}) / size(flatten({rings}))"
 
-    vs = vertices(rings)
+    def end(c, o):
+        return f"CASE WHEN acc.w = 0 THEN {mean(c)} ELSE {o} + try_divide(acc.{c}, acc.w * 3D) END"
+    return F.expr(f"aggregate({segments_sql(rings)}, named_struct('w', 0D, 'x', 0D, 'y', 0D), (acc, s) -> {step}, "
+                  f"acc -> named_struct('x', {end('x', ox)}, 'y', {end('y', oy)}))")
 
-    def finish(acc):
-        mean_x = F.aggregate(vs, F.lit(0.0), lambda s, v: s + v["x"]) / F.size(vs)
-        mean_y = F.aggregate(vs, F.lit(0.0), lambda s, v: s + v["y"]) / F.size(vs)
-        flat = acc["w"] == 0
-        return F.struct(
-            F.when(flat, mean_x).otherwise(o["x"] + F.try_divide(acc["x"], acc["w"] * 3)).alias("x"),
-            F.when(flat, mean_y).otherwise(o["y"] + F.try_divide(acc["y"], acc["w"] * 3)).alias("y"),
-        )
 
-    return F.aggregate(segments(rings), zero, step, finish)
+# ---- predicates ----------------------------------------------------------------------------------
 
+def _side(a: str, b: str, x: str, y: str) -> str:
+    return f"(({b}.x - {a}.x) * ({y} - {a}.y) - ({b}.y - {a}.y) * ({x} - {a}.x))"
 
-# ---- predicates ----------------------------------------------------------------------------------
 
-def _side(a, b, x, y) -> Column:
-    return (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+def on_boundary_sql(rings: str, x: str, y: str) -> str:
+    return (f"exists({segments_sql(rings)}, g -> {_side('g.a', 'g.b', x, y)} = 0"
+            f" AND {x} >= least(g.a.x, g.b.x) AND {x} <= greatest(g.a.x, g.b.x)"
+            f" AND {y} >= least(g.a.y, g.b.y) AND {y} <= greatest(g.a.y, g.b.y))")
 
 
-def _in_box(a, b, x, y) -> Column:
-    return ((x >= F.least(a["x"], b["x"])) & (x <= F.greatest(a["x"], b["x"]))
-            & (y >= F.least(a["y"], b["y"])) & (y <= F.greatest(a["y"], b["y"])))
+def _odd_crossings(rings: str, x: str, y: str) -> str:
+    return (f"(size(filter({segments_sql(rings)}, g -> ((g.a.y > {y}) <> (g.b.y > {y})) AND ((g.b.y > g.a.y) = "
+            f"(({x} - g.a.x) * (g.b.y - g.a.y) < (g.b.x - g.a.x) * ({y} - g.a.y))))) % 2 = 1)")
 
 
-def on_boundary(rings, x, y) -> Column:
-    x, y = _col(x), _col(y)
-    return F.exists(segments(rings), lambda s: (_side(s["a"], s["b"], x, y) == 0) & _in_box(s["a"], s["b"], x, y))
+def contains_point_sql(rings: str, x: str, y: str) -> str:
+    return f"({_odd_crossings(rings, x, y)} AND NOT {on_boundary_sql(rings, x, y)})"
 
 
-def _odd_crossings(rings, x, y) -> Column:
-    def crosses(s):
-        a, b = s["a"], s["b"]
-        left = (x - a["x"]) * (b["y"] - a["y"]) < (b["x"] - a["x"]) * (y - a["y"])
-        return ((a["y"] > y) != (b["y"] > y)) & ((b["y"] > a["y"]) == left)
-    return F.size(F.filter(segments(rings), crosses)) % 2 == 1
+def covers_point_sql(rings: str, x: str, y: str) -> str:
+    return f"({_odd_crossings(rings, x, y)} OR {on_boundary_sql(rings, x, y)})"
 
 
-def contains_point(rings, x, y) -> Column:
+def contains_point(rings: str, x: str, y: str) -> Column:
     """Strictly inside: the boundary does not count."""
-    x, y = _col(x), _col(y)
-    return _odd_crossings(rings, x, y) & ~on_boundary(rings, x, y)
+    return F.expr(contains_point_sql(rings, x, y))
 
 
-def covers_point(rings, x, y) -> Column:
-    x, y = _col(x), _col(y)
-    return _odd_crossings(rings, x, y) | on_boundary(rings, x, y)
+def covers_point(rings: str, x: str, y: str) -> Column:
+    return F.expr(covers_point_sql(rings, x, y))
 
 
-def segments_touch(s, t) -> Column:
-    """Two closed segments share a point."""
-    a, b, c, d = s["a"], s["b"], t["a"], t["b"]
-    boxes = ((F.greatest(a["x"], b["x"]) >= F.least(c["x"], d["x"]))
-             & (F.greatest(c["x"], d["x"]) >= F.least(a["x"], b["x"]))
-             & (F.greatest(a["y"], b["y"]) >= F.least(c["y"], d["y"]))
-             & (F.greatest(c["y"], d["y"]) >= F.least(a["y"], b["y"])))
-    return (boxes & (F.signum(_side(a, b, c["x"], c["y"])) * F.signum(_side(a, b, d["x"], d["y"])) <= 0)
-            & (F.signum(_side(c, d, a["x"], a["y"])) * F.signum(_side(c, d, b["x"], b["y"])) <= 0))
+def _signs(p: str, q: str, u: str, v: str) -> str:
+    """Product of the sides of line p-q on which u and v lie."""
+    return f"signum({_side(p, q, u + '.x', u + '.y')}) * signum({_side(p, q, v + '.x', v + '.y')})"
 
 
-def segments_cross(s, t) -> Column:
-    """Two segments cross properly: each has its ends strictly on both sides of the other."""
-    a, b, c, d = s["a"], s["b"], t["a"], t["b"]
-    return ((F.signum(_side(a, b, c["x"], c["y"])) * F.signum(_side(a, b, d["x"], d["y"])) < 0)
-            & (F.signum(_side(c, d, a["x"], a["y"])) * F.signum(_side(c, d, b["x"], b["y"])) < 0))
+def _touch(s: str, t: str) -> str:
+    """Two closed segments share a point: their boxes meet and neither lies wholly on one side of the other."""
+    boxes = " AND ".join(
+        f"greatest({p}.a.{c}, {p}.b.{c}) >= least({q}.a.{c}, {q}.b.{c})" for c in "xy" for p, q in ((s, t), (t, s)))
+    return f"({boxes} AND {_signs(f'{s}.a', f'{s}.b', f'{t}.a', f'{t}.b')} <= 0 AND {_signs(f'{t}.a', f'{t}.b', f'{s}.a', f'{s}.b')} <= 0)"
 
 
-def polygon_intersects(p, q) -> Column:
-    p, q = _col(p), _col(q)
-    touch = F.exists(segments(p), lambda s: F.exists(segments(q), lambda t: segments_touch(s, t)))
-    return touch | covers_point(q, p[0][0]["x"], p[0][0]["y"]) | covers_point(p, q[0][0]["x"], q[0][0]["y"])
+def _cross(s: str, t: str) -> str:
+    """Two segments cross properly."""
+    return f"({_signs(f'{s}.a', f'{s}.b', f'{t}.a', f'{t}.b')} < 0 AND {_signs(f'{t}.a', f'{t}.b', f'{s}.a', f'{s}.b')} < 0)"
 
 
-def polygon_within(p, q) -> Column:
-    """p lies in q: every vertex in q (its edge allowed) and no edge crosses."""
-    p, q = _col(p), _col(q)
-    return F.forall(vertices(p), lambda v: covers_point(q, v["x"], v["y"])) & ~F.exists(
-        segments(p), lambda s: F.exists(segments(q), lambda t: segments_cross(s, t))
-    )
+def polygon_intersects(p: str, q: str) -> Column:
+    return F.expr(f"exists({segments_sql(p)}, s -> exists({segments_sql(q)}, t -> {_touch('s', 't')}))"
+                  f" OR {covers_point_sql(q, p + '[0][0].x', p + '[0][0].y')} OR {covers_point_sql(p, q + '[0][0].x', q + '[0][0].y')}")
 
 
-def point_segment_distance(s, x, y) -> Column:
-    a, b = s["a"], s["b"]
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    t = F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return distance(x, y, a["x"] + t * dx, a["y"] + t * dy)
+def polygon_within(p: str, q: str) -> Column:
+    """p lies in q: every vertex in q (its edge allowed) and no edge crosses."""
+    return F.expr(f"forall(flatten({p}), v -> {covers_point_sql(q, 'v.x', 'v.y')})"
+                  f" AND NOT exists({segments_sql(p)}, s -> exists({segments_sql(q)}, t -> {_cross('s', 't')}))")
 
 
-def boundary_distance(rings, x, y) -> Column:
-    x, y = _col(x), _col(y)
-    return F.array_min(F.transform(segments(rings), lambda s: point_segment_distance(s, x, y)))
+def boundary_distance_sql(rings: str, x: str, y: str) -> str:
+    dx, dy = "(g.b.x - g.a.x)", "(g.b.y - g.a.y)"
+    t = (f"least(greatest(coalesce(try_divide(({x} - g.a.x) * {dx} + ({y} - g.a.y) * {dy}, {dx} * {dx} + {dy} * {dy}), 0D), 0D), 1D)")
+    near = f"named_struct('x', g.a.x + {t} * {dx}, 'y', g.a.y + {t} * {dy})"
+    return (f"array_min(transform(transform({segments_sql(rings)}, g -> {near}), n -> {distance_sql(x, y, 'n.x', 'n.y')}))")
 
 
-def polygon_distance(rings, x, y) -> Column:
+def polygon_distance(rings: str, x: str, y: str) -> Column:
     """0 inside the polygon, else the distance to its nearest edge."""
-    x, y = _col(x), _col(y)
-    return F.when(_odd_crossings(rings, x, y), F.lit(0.0)).otherwise(boundary_distance(rings, x, y))
+    return F.expr(f"CASE WHEN {_odd_crossings(rings, x, y)} THEN 0D ELSE {boundary_distance_sql(rings, x, y)} END")
 
 
-def polygon_dwithin(rings, x, y, r) -> Column:
+def polygon_dwithin(rings: str, x: str, y: str, r: float) -> Column:
     return polygon_distance(rings, x, y) <= F.lit(float(r))
 
 
-def within_buffer(rings, x, y, meters: float) -> Column:
+def within_buffer(rings: str, x: str, y: str, meters: float) -> Column:
     """Inside the polygon grown by `meters` (as degrees, metres / 111320), edge excluded."""
     if meters < 0:
         raise ValueError("buffer distance cannot be negative")
-    return F.when(F.lit(meters == 0), contains_point(rings, x, y)).otherwise(
-        polygon_distance(rings, x, y) < F.lit(meters / METERS_PER_DEGREE)
-    )
+    if meters == 0:
+        return contains_point(rings, x, y)
+    return polygon_distance(rings, x, y) < F.lit(meters / METERS_PER_DEGREE)
 
 
-def valid_geometry(rings) -> Column:
+def valid_geometry(rings: str) -> Column:
     """Each ring closed, >= 4 vertices, finite, not flat, and no edge of a ring crosses another one of it."""
-    def good(r):
-        finite = F.forall(r, lambda v: ~(F.isnan(v["x"]) | F.isnan(v["y"]) | (F.abs(v["x"]) == float("inf"))
-                                         | (F.abs(v["y"]) == float("inf"))))
-        simple = ~F.exists(ring_segments(r), lambda s: F.exists(ring_segments(r), lambda t: segments_cross(s, t)))
-        return (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & finite & (_cross_sum(r) != 0) & simple
-    rings = _col(rings)
-    return F.coalesce((F.size(rings) > 0) & F.forall(rings, good), F.lit(False))
+    inf = "double('infinity')"
+    finite = f"forall(q, v -> NOT (isnan(v.x) OR isnan(v.y) OR abs(v.x) = {inf} OR abs(v.y) = {inf}))"
+    simple = f"NOT exists({_ring_segments('q')}, s -> exists({_ring_segments('q')}, t -> {_cross('s', 't')}))"
+    good = f"size(q) >= 4 AND q[0] = element_at(q, -1) AND {finite} AND {_cross_sum('q')} <> 0 AND {simple}"
+    return F.expr(f"coalesce(size({rings}) > 0 AND forall({rings}, q -> {good}), false)")
 
 
 # ---- text ----------------------------------------------------------------------------------------
 
-def to_wkt(x, y) -> Column:
-    return F.concat(F.lit("POINT ("), _col(x).cast("string"), F.lit(" "), _col(y).cast("string"), F.lit(")"))
+def to_wkt(x: str, y: str) -> Column:
+    return F.expr(f"concat('POINT (', CAST({x} AS string), ' ', CAST({y} AS string), ')')")
 
 
 WKT_POINT = r"^POINT\s*\(\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s+(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*\)$"

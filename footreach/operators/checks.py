@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from footreach.functions import geometry as G
 from footreach.functions import vectors as V
+from footreach.session import inline_table
 
 # --- fixed values: check, metric, severity, comparison, bound (a row fires when `metric <op> bound`) ---
 RULES = [
@@ -77,7 +78,7 @@ def ratio_rules() -> list[tuple]:
 
 def rules_table(spark, rules=None) -> DataFrame:
     rows = [(c, m, s, o, float(b)) for c, m, s, o, b in (rules or RULES + ratio_rules())]
-    return spark.createDataFrame(rows, "check string, metric string, severity string, op string, bound double")
+    return inline_table(spark, rows, "check string, metric string, severity string, op string, bound double")
 
 
 def long_metrics(df: DataFrame, entity: str, metrics: dict[str, Column] | list[str]) -> DataFrame:

@@ -11,17 +11,18 @@ from footreach.constants import (BUILDING_RADIUS_M, CATEGORIES, CATEGORY_TAGS, F
                                  N_CATEGORIES, SERVICE_FEATURES, WALK_RADIUS_M)
 from footreach.functions import scalars as S
 from footreach.functions import vectors as V
-from footreach.operators.spatial import disc_offsets, distance_join, radius_aggregate
+from footreach.operators.spatial import _offset_array, disc_offsets, distance_join, radius_aggregate
+from footreach.session import inline_table
 
 
 def tag_map(spark) -> DataFrame:
     """tag, category, category_index: the fixed map, 91 rows."""
     rows = [(t, c, i) for i, (c, tags) in enumerate(CATEGORY_TAGS.items()) for t in tags]
-    return spark.createDataFrame(rows, "tag string, category string, category_index int")
+    return inline_table(spark, rows, "tag string, category string, category_index int")
 
 
 def category_dim(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CATEGORIES)), "category_index int, category string")
+    return inline_table(spark, list(enumerate(CATEGORIES)), "category_index int, category string")
 
 
 def service_counts(points: DataFrame, services: DataFrame, r: float = WALK_RADIUS_M, category: str = "category_index",
@@ -65,8 +66,7 @@ def star_cells(targets: DataFrame, radius: float = WALK_RADIUS_M, cell: float =
     Targets are gathered by tile first, so that the overlap of neighbouring discs collapses before the shuffle.
     """
     k = _lattice_multiple(step, cell)
-    table = F.array(*[F.struct(F.lit(i * k).cast("long").alias("i"), F.lit(j * k).cast("long").alias("j"))
-                      for i, j in disc_offsets(radius, cell)])
+    table = _offset_array(disc_offsets(radius, cell), scale=k)
     tiled = targets.select(key, "ix", "iy").repartition(F.col(key), F.floor(F.col("ix") / 64), F.floor(F.col("iy") / 64))
     return tiled.withColumn("_o", F.explode(table)).select(
         key, (F.col("ix") + F.col("_o.i")).alias("ix"), (F.col("iy") + F.col("_o.j")).alias("iy")).distinct()
@@ -85,7 +85,7 @@ def assemble_stars(targets: DataFrame, cells: DataFrame, radius: float = WALK_RA
     offsets = disc_offsets(radius, cell)
     halo = k * max(i for i, _ in offsets)
     c = float(cell)
-    table = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in offsets])
+    table = _offset_array(offsets)
 
     def tile_of(col, grow=0):
         return F.floor((F.col(col) + grow) / F.lit(tile))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,42 +11,89 @@ from footreach.constants import MISSING_SERVICE_PENALTY_M, N_CATEGORIES, STREET_
 from footreach.functions import vectors as V
 from footreach.operators.skew import salted_join
 from footreach.operators.spatial import radius_aggregate, snap_to_nodes
-from footreach.session import cut_lineage
+from footreach.session import cut_lineage, settle
 
 
-def shortest_distances(edges: DataFrame, seeds: DataFrame, *, label: list[str], reverse: bool = False,
-                       bound: float | None = None, max_rounds: int = 100_000, hops_per_round: int = 2) -> DataFrame:
-    """Least distance from any seed to every node it reaches, for all labels at once: node, *label, distance.
+BLOCK_NODES = 1024
+LABELS_PER_GROUP = 64
 
-    edges(src, dst, length), seeds(node, *label, distance). Only rows that got better in the last round travel on;
-    each round does a few hops, then the state is written to the checkpoint folder. `reverse` walks edges backwards
-    (distance *to* the seeds). `bound` prunes paths longer than it, for callers that do not need them.
+
+def _relax_block(key, front: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Least distances inside one block from its frontier: at most BLOCK_NODES nodes and LABELS_PER_GROUP labels."""
+    nodes = np.unique(np.concatenate([front["node"].to_numpy(), links["node"].to_numpy(), links["to"].to_numpy()]))
+    labels, label_at = np.unique(front["label"].to_numpy(), return_inverse=True)
+    dist = np.full((len(nodes), len(labels)), np.inf)
+    np.minimum.at(dist, (np.searchsorted(nodes, front["node"].to_numpy()), label_at), front["distance"].to_numpy())
+    a, b = np.searchsorted(nodes, links["node"].to_numpy()), np.searchsorted(nodes, links["to"].to_numpy())
+    length = links["len"].to_numpy()[:, None]
+    while len(a):
+        new = dist.copy()
+        np.minimum.at(new, b, dist[a] + length)
+        if (new == dist).all():
+            break
+        dist = new
+    i, j = np.nonzero(np.isfinite(dist))
+    return pd.DataFrame({"node": nodes[i], "label": labels[j], "distance": dist[i, j]})
+
+
+def shortest_distances(edges: DataFrame, seeds: DataFrame, *, label: str, reverse: bool = False, n_labels: int = 8,
+                       blocks: DataFrame | None = None, bound: float | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """Least distance from any seed to every node it reaches, for all labels at once: node, label, distance.
+
+    edges(src, dst, length), seeds(node, label, distance), integer nodes and labels. Nodes belong to blocks of at most
+    1024 (by id, or a `blocks(node, block)` table, e.g. map tiles). A round settles every block that holds a frontier
+    row for itself, then sends what got better over the links between blocks; so rounds count block crossings, not
+    hops, and only improved rows travel. A hub with very many links is no hot group: its links leave its block and go
+    through the join. `reverse` walks edges backwards; `bound` drops longer paths for callers that need none.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    hop = cut_lineage(edges.filter(F.col("src") != F.col("dst")).groupBy(
-        F.col(a).alias("node"), F.col(b).alias("_to")).agg(F.min("length").alias("_len")))
-    key = ["node", *label]
-    best = cut_lineage(seeds.groupBy(*key).agg(F.min("distance").alias("distance")))
-    front = best
+    hop = edges.filter(F.col("src") != F.col("dst")).groupBy(F.col(a).alias("node"), F.col(b).alias("to")).agg(
+        F.min("length").cast("double").alias("len"))
+    if blocks is None:
+        hop = hop.withColumn("block", _block("node")).withColumn("to_block", _block("to"))
+    else:
+        to = blocks.select(F.col("node").alias("to"), F.col("block").alias("to_block"))
+        hop = salted_join(salted_join(hop, blocks, ["node"], "left"), to, ["to"], "left").withColumn(
+            "block", F.coalesce("block", _block("node"))).withColumn("to_block", F.coalesce("to_block", _block("to")))
+    hop = cut_lineage(hop)
+    inside = hop.filter(F.col("block") == F.col("to_block")).select("block", "node", "to", "len")
+    across = hop.filter(F.col("block") != F.col("to_block")).select("node", "to", "len", "to_block")
+    groups = max(1, -(-n_labels // LABELS_PER_GROUP))
+    key = ["node", "label"]
+    seeded = seeds.select("node", F.col(label).cast("bigint").alias("label"), F.col("distance").cast("double").alias("distance"))
+    if blocks is None:
+        seeded = seeded.withColumn("block", _block("node"))
+    else:
+        seeded = seeded.join(blocks, "node", "left").withColumn("block", F.coalesce("block", _block("node")))
+    front = cut_lineage(seeded.groupBy("block", *key).agg(F.min("distance").alias("distance")))
+    best = front.limit(0)
     for _ in range(max_rounds):
-        wave, reached = front, None
-        for _ in range(hops_per_round):
-            wave = salted_join(wave, hop, ["node"]).select(
-                F.col("_to").alias("node"), *label, (F.col("distance") + F.col("_len")).alias("distance"))
-            if bound is not None:
-                wave = wave.filter(F.col("distance") <= F.lit(float(bound)))
-            wave = wave.groupBy(*key).agg(F.min("distance").alias("distance"))
-            reached = wave if reached is None else reached.unionByName(wave)
-        old = best.withColumnRenamed("distance", "_old")
-        better = reached.groupBy(*key).agg(F.min("distance").alias("distance")).join(old, key, "left").filter(
-            F.col("_old").isNull() | (F.col("distance") < F.col("_old"))).drop("_old")
-        front = cut_lineage(better)
         if front.isEmpty():
-            return best
-        best = cut_lineage(best.unionByName(front).groupBy(*key).agg(F.min("distance").alias("distance")))
+            return best.select("node", F.col("label").alias(label), "distance")
+        lit_up = front.select("block", F.pmod("label", F.lit(groups)).alias("grp")).distinct()
+        local = front.withColumn("grp", F.pmod("label", F.lit(groups))).groupBy("block", "grp").cogroup(
+            inside.join(lit_up, "block").groupBy("block", "grp")).applyInPandas(
+            lambda k, f, e: _relax_block(k, f, e).assign(block=k[0]), "node bigint, label bigint, distance double, block bigint")
+        wave = local if bound is None else local.filter(F.col("distance") <= F.lit(float(bound)))
+        moved = cut_lineage(_better(wave, best, key))
+        best = cut_lineage(best.unionByName(moved).groupBy("block", *key).agg(F.min("distance").alias("distance")))
+        sent = salted_join(moved.drop("block"), across, ["node"]).select(
+            F.col("to_block").alias("block"), F.col("to").alias("node"), "label", (F.col("distance") + F.col("len")).alias("distance"))
+        if bound is not None:
+            sent = sent.filter(F.col("distance") <= F.lit(float(bound)))
+        front = cut_lineage(_better(sent.groupBy("block", *key).agg(F.min("distance").alias("distance")), best, key))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def _block(col: str) -> Column:
+    return F.floor(F.col(col) / F.lit(BLOCK_NODES))
+
+
+def _better(rows: DataFrame, best: DataFrame, key: list[str]) -> DataFrame:
+    old = best.select(*key, F.col("distance").alias("_old"))
+    return rows.join(old, key, "left").filter(F.col("_old").isNull() | (F.col("distance") < F.col("_old"))).drop("_old")
+
+
 def path_length(edges: DataFrame, pairs: DataFrame, *, pair_id: str = "pair_id", src: str = "from_node",
                 dst: str = "to_node") -> DataFrame:
     """Shortest directed length of each (from, to) pair; infinity when there is no path or no such node.
@@ -55,7 +104,7 @@ def path_length(edges: DataFrame, pairs: DataFrame, *, pair_id: str = "pair_id",
     seeds = starts.select("node", F.col("node").alias("_start"), F.lit(0.0).alias("distance"))
     known = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     seeds = seeds.join(known, "node", "left_semi")
-    d = shortest_distances(edges, seeds, label=["_start"])
+    d = shortest_distances(edges, seeds, label="_start", n_labels=starts.count())
     return pairs.join(d, (F.col(src) == F.col("_start")) & (F.col(dst) == F.col("node")), "left").withColumn(
         "path_length", F.coalesce(F.col("distance"), F.lit(float("inf")))).drop("_start", "node", "distance")
 
@@ -74,7 +123,7 @@ def nearest_by_network(targets: DataFrame, services: DataFrame, nodes: DataFrame
         services.select(service_id, F.col(category).alias("category")).join(placed, service_id)
         .select("node", "category", F.lit(0.0).alias("distance")).distinct()
     )
-    d = shortest_distances(edges, seeds, label=["category"], reverse=True)
+    d = shortest_distances(edges, seeds, label="category", reverse=True, n_labels=n)
     wide = d.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("category", "distance"))).alias("_d"))
     joined = salted_join(targets.select(target_id).join(at, target_id, "left"), wide, ["node"], "left")
     slots = [F.coalesce(F.try_element_at("_d", F.lit(i)), F.lit(float(penalty))) for i in range(n)]
@@ -96,19 +145,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, node_id: str = "
     links = cut_lineage(
         edges.filter(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    now = _digest(links)
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both.filter(F.col("v") > F.col("u")), least, ["u"]).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settle(salted_join(both.filter(F.col("v") > F.col("u")), least, ["u"]).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, low, ["u"]).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = cut_lineage(small.select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct())
-        if _digest(new) == _digest(links):
+        links, before, now = new, now, _digest(new)
+        if now == before:
             break
-        links = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = links.groupBy("u").agg(F.min("v").alias("component"))
@@ -158,7 +208,7 @@ def edge_centres(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = nodes.select("node_id", "x", "y")
     a = ends.select(F.col("node_id").alias("src"), F.col("x").alias("_ax"), F.col("y").alias("_ay"))
     b = ends.select(F.col("node_id").alias("dst"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
-    return salted_join(salted_join(edges, a, ["src"]), b, ["dst"]).withColumn(
+    return salted_join(salted_join(edges, a, ["src"]), b, ["dst"], hot_from=edges).withColumn(
         "fx", (F.col("_ax") + F.col("_bx")) / 2).withColumn("fy", (F.col("_ay") + F.col("_by")) / 2).drop(
         "_ax", "_ay", "_bx", "_by")
 

@@ -14,28 +14,37 @@ from pyspark.sql import functions as F
 from footreach.constants import GRID_CELL_M, LATTICE_STEP_M, WALK_RADIUS_M
 from footreach.functions import geometry as G
 from footreach.operators.skew import number_rows, salted_join
-from footreach.session import cut_lineage
+from footreach.session import cut_lineage, settle
 
 
 def with_mercator(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     return df.withColumn(x, G.mercator_x(lon)).withColumn(y, G.mercator_y(lat))
 
 
-def cell_of(v, size: float) -> Column:
-    return F.floor((F.col(v) if isinstance(v, str) else v) / F.lit(float(size)))
+def cell_of_sql(v: str, size: float) -> str:
+    return f"floor({v} / {float(size)!r}D)"
+
+
+def cell_of(v: str, size: float) -> Column:
+    return F.expr(cell_of_sql(v, size))
 
 
 def _cover(df: DataFrame, box: Column, size: float, grow: float = 0.0) -> DataFrame:
     """One row per cell that the box, grown by `grow`, touches; adds _cx, _cy and the box as _box."""
-    g = F.lit(float(grow))
-    out = df.withColumn("_box", box)
-    xs = F.sequence(cell_of(F.col("_box.xmin") - g, size), cell_of(F.col("_box.xmax") + g, size))
-    ys = F.sequence(cell_of(F.col("_box.ymin") - g, size), cell_of(F.col("_box.ymax") + g, size))
-    return out.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+    def span(c):
+        lo, hi = (cell_of_sql(f"(_box.{c}{end} {sign} {float(grow)!r}D)", size) for end, sign in (("min", "-"), ("max", "+")))
+        return F.expr(f"explode(sequence({lo}, {hi}))")
+    return df.withColumn("_box", box).withColumn("_cx", span("x")).withColumn("_cy", span("y"))
 
 
 def _point_box(x: str, y: str) -> Column:
-    return F.struct(F.col(x).alias("xmin"), F.col(y).alias("ymin"), F.col(x).alias("xmax"), F.col(y).alias("ymax"))
+    return F.expr(f"named_struct('xmin', {x}, 'ymin', {y}, 'xmax', {x}, 'ymax', {y})")
+
+
+def _offset_array(offsets, kind: str = "bigint", scale: int = 1) -> Column:
+    """Literal array of (i, j) structs, in one piece."""
+    pairs = ", ".join(f"({i * scale}, {j * scale})" for i, j in offsets)
+    return F.expr(f"CAST(array({pairs}) AS array<struct<i:{kind},j:{kind}>>)")
 
 
 # ---- joins ---------------------------------------------------------------------------------------
@@ -53,12 +62,11 @@ def distance_join(points: DataFrame, features: DataFrame, radius: float, *, x: s
     box = G.bounds(rings) if rings else _point_box(fx, fy)
     left = points.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
     right = _cover(features, box, size, radius)
-    r = F.lit(float(radius))
+    r = f"{float(radius)!r}D"
     pairs = salted_join(left, right, ["_cx", "_cy"], "inner").filter(
-        (F.col(x) >= F.col("_box.xmin") - r) & (F.col(x) <= F.col("_box.xmax") + r)
-        & (F.col(y) >= F.col("_box.ymin") - r) & (F.col(y) <= F.col("_box.ymax") + r))
+        f"{x} >= _box.xmin - {r} AND {x} <= _box.xmax + {r} AND {y} >= _box.ymin - {r} AND {y} <= _box.ymax + {r}")
     exact = G.polygon_distance(rings, x, y) if rings else G.distance(x, y, fx, fy)
-    pairs = pairs.withColumn("distance", exact).filter(F.col("distance") <= r).drop("_cx", "_cy", "_box")
+    pairs = pairs.withColumn("distance", exact).filter(f"distance <= {r}").drop("_cx", "_cy", "_box")
     if how == "inner":
         return pairs
     return points.join(pairs, points.columns, "left")
@@ -84,11 +92,10 @@ def intersects_join(left: DataFrame, right: DataFrame, cell: float, *, rings: st
     """
     a = _cover(left, G.bounds(rings), cell).withColumnRenamed("_box", "_a")
     b = _cover(right, G.bounds(other), cell).withColumnRenamed("_box", "_b")
-    lo_x = F.greatest(F.col("_a.xmin"), F.col("_b.xmin"))
-    lo_y = F.greatest(F.col("_a.ymin"), F.col("_b.ymin"))
+    lo_x, lo_y = "greatest(_a.xmin, _b.xmin)", "greatest(_a.ymin, _b.ymin)"
     met = salted_join(a, b, ["_cx", "_cy"]).filter(
-        (lo_x <= F.least(F.col("_a.xmax"), F.col("_b.xmax"))) & (lo_y <= F.least(F.col("_a.ymax"), F.col("_b.ymax")))
-        & (cell_of(lo_x, cell) == F.col("_cx")) & (cell_of(lo_y, cell) == F.col("_cy")))
+        f"{lo_x} <= least(_a.xmax, _b.xmax) AND {lo_y} <= least(_a.ymax, _b.ymax)"
+        f" AND {cell_of_sql(lo_x, cell)} = _cx AND {cell_of_sql(lo_y, cell)} = _cy")
     test = G.polygon_intersects if relation == "intersects" else G.polygon_within
     return met.filter(test(rings, other)).drop("_cx", "_cy", "_a", "_b")
 
@@ -109,9 +116,8 @@ def _ring_offsets(sub: int) -> tuple[list, list]:
 
 
 def _explode_offsets(df: DataFrame, offsets, cx: str = "_px", cy: str = "_py") -> DataFrame:
-    table = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in offsets])
-    return df.withColumn("_o", F.explode(table)).withColumn("_cx", F.col(cx) + F.col("_o.i")).withColumn(
-        "_cy", F.col(cy) + F.col("_o.j")).drop("_o")
+    return df.withColumn("_o", F.explode(_offset_array(offsets))).selectExpr(
+        *df.columns, f"{cx} + _o.i AS _cx", f"{cy} + _o.j AS _cy")
 
 
 def radius_aggregate(points: DataFrame, features: DataFrame, radius: float, measures: dict[str, Column], *,
@@ -127,13 +133,13 @@ def radius_aggregate(points: DataFrame, features: DataFrame, radius: float, meas
     sums = [F.sum(n).alias(n) for n in names]
     placed = features.select(F.col(fx).alias("_fx"), F.col(fy).alias("_fy"), *[
         e.alias(n) for n, e in measures.items()])
-    places = placed.groupBy("_fx", "_fy").agg(*sums).withColumn("_cx", cell_of("_fx", h)).withColumn(
-        "_cy", cell_of("_fy", h))
+    places = settle(placed.groupBy("_fx", "_fy").agg(*sums).withColumn("_cx", cell_of("_fx", h)).withColumn(
+        "_cy", cell_of("_fy", h)))
     cells = places.groupBy("_cx", "_cy").agg(*sums)
     inner, edge = _ring_offsets(sub)
 
-    spots = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct().withColumn(
-        "_px", cell_of("_x", h)).withColumn("_py", cell_of("_y", h))
+    spots = settle(points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct().withColumn(
+        "_px", cell_of("_x", h)).withColumn("_py", cell_of("_y", h)))
     inside = (
         _explode_offsets(spots.select("_px", "_py").distinct(), inner).join(cells, ["_cx", "_cy"])
         .groupBy("_px", "_py").agg(*sums)
@@ -211,12 +217,11 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, *, id_col: str, lon: str = "lon", lat: str = "lat",
                   node_id: str = "node_id", node_lon: str = "node_lon", node_lat: str = "node_lat") -> DataFrame:
     """Nearest network node of each point by great circle: id_col, node_id, distance."""
-    p = points.select(F.col(id_col), F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat")).alias("_p"))
     top = points.agg(F.max(F.abs(F.col(lat)))).first()[0] or 0.0
     top = max(top, nodes.agg(F.max(F.abs(F.col(node_lat)))).first()[0] or 0.0)
     p = points.select(id_col, G.mercator_x(lon).alias("x"), G.mercator_y(lat).alias("y"))
     n = nodes.select(node_id, G.mercator_x(node_lon).alias("fx"), G.mercator_y(node_lat).alias("fy"))
-    exact = G.haversine(G.lon_of("x"), G.lat_of("y"), G.lon_of("fx"), G.lat_of("fy"))
+    exact = G.haversine(G.lon_of_sql("x"), G.lat_of_sql("y"), G.lon_of_sql("fx"), G.lat_of_sql("fy"))
     return nearest_join(p, n, id_col=id_col, feature_id=node_id, exact=exact,
                         shrink=math.cos(math.radians(top)) * 0.99)
 
@@ -266,15 +271,11 @@ def disc_cells(targets: DataFrame, radius: float = WALK_RADIUS_M, cell: float =
     factor=None keeps the whole square, 1.25 is the looser filter, 1.0 the walking disc. The membership test is on
     integers, so cells exactly at the radius are in. network_distance is the Euclidean stand-in.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disc_offsets(radius, cell, factor)])
-    c = F.lit(float(cell))
-    return (
-        targets.withColumn("_o", F.explode(table)).select("*", "_o.i", "_o.j").drop("_o")
-        .withColumn("dx", F.col("i") * c).withColumn("dy", F.col("j") * c)
-        .withColumn("euclidean_distance", F.sqrt((F.col("i") * F.col("i") + F.col("j") * F.col("j")).cast("double")) * c)
-        .withColumn("network_distance", F.col("euclidean_distance"))
-        .withColumn("cell_x", F.col(x) + F.col("dx")).withColumn("cell_y", F.col(y) + F.col("dy"))
-    )
+    c = f"{float(cell)!r}D"
+    d = f"sqrt(CAST(_o.i * _o.i + _o.j * _o.j AS double)) * {c}"
+    return targets.withColumn("_o", F.explode(_offset_array(disc_offsets(radius, cell, factor), "int"))).selectExpr(
+        *targets.columns, "_o.i", "_o.j", f"_o.i * {c} AS dx", f"_o.j * {c} AS dy", f"{d} AS euclidean_distance",
+        f"{d} AS network_distance", f"{x} + _o.i * {c} AS cell_x", f"{y} + _o.j * {c} AS cell_y")
 
 
 def lattice_impact(areas: DataFrame, steps: list[float], *, key: str = "neighborhood_name",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "footreach") -> SparkSession:
@@ -17,6 +19,8 @@ def local_session(cpus: int | str = "*", app: str = "footreach") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FOOTREACH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .getOrCreate()
     )
 
@@ -37,6 +41,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    A lost executor then costs a re-read, plans stay short in loops, and the next join knows the real size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/footreach-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short fixed table as literals in the plan, so that its size is known to Spark."""
+    cols = [c.strip().split(" ", 1) for c in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, cols)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+SALT_ABOVE = "footreach.saltAboveBytes"
+SALT_ABOVE_DEFAULT = 1 << 30
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a plan reads, from file sizes; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def is_small(*dfs: DataFrame) -> bool:
+    """True when all the tables read together are so small that even one hot key of them fits a task.
+
+    Only then are skew counts and extra materialisation skipped. The bound is 1 GiB, or footreach.saltAboveBytes.
+    """
+    limit = int(dfs[0].sparkSession.conf.get(SALT_ABOVE, str(SALT_ABOVE_DEFAULT)))
+    return sum(source_bytes(d) for d in dfs) <= limit
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise a table that is used several times, unless it comes from small sources."""
+    return df if is_small(df) else cut_lineage(df)
