@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footreach.functions import scalars as S
 from footreach.functions.geometry import RINGS_TYPE
 from footreach.operators import runs as R
+from footreach.session import inline_table
 
 GEOJSON_FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 
@@ -49,7 +50,7 @@ def read_areas(spark: SparkSession, path, lines: bool = False) -> DataFrame:
 def read_graphml(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, x, y) and edges (src, dst, key, length) of a GraphML street network."""
     def rows(tag, schema):
-        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        return spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", tag).schema(schema).load(path)
 
     names = {r["_id"]: r["_name"] for r in rows("key", "`_id` string, `_attr.name` string").select(
         F.col("_id"), F.col("`_attr.name`").alias("_name")).distinct().collect()}
@@ -108,14 +109,13 @@ def read_runs(spark: SparkSession, glob, schema=None) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, root, required: list[str]) -> DataFrame:
-    """Required relative names against what is there: found, empty or missing. Only names and lengths are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
-        F.col("path"), F.col("length"))
-    need = spark.createDataFrame([(n,) for n in required], "name string")
-    here = files.select(F.explode(F.array(*[F.when(F.col("path").endswith("/" + n), F.struct(
-        F.lit(n).alias("name"), F.col("length"))) for n in required])).alias("h")).filter(F.col("h").isNotNull()).select("h.*")
-    best = here.groupBy("name").agg(F.max("length").alias("length"))
-    return need.join(best, "name", "left").withColumn("state", F.when(F.col("length").isNull(), "missing").when(
+    """Required files or folders against what is there: found, empty or missing. Only names and lengths are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    need = inline_table(spark, [(n,) for n in required], "name string")
+    hits = files.withColumn("name", F.explode(F.array(*[F.lit(n) for n in required]))).filter(
+        F.endswith("path", F.concat(F.lit("/"), F.col("name"))) | F.contains("path", F.concat(F.lit("/"), F.col("name"), F.lit("/"))))
+    sizes = hits.groupBy("name").agg(F.sum("length").alias("length"))
+    return need.join(sizes, "name", "left").withColumn("state", F.when(F.col("length").isNull(), "missing").when(
         F.col("length") == 0, "empty").otherwise("found"))
 
 

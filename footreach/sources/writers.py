@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from footreach.functions import scalars as S
 from footreach.operators.checks import status_rollup
+from footreach.session import inline_table
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -71,3 +72,19 @@ def geojson_lines(df: DataFrame, properties: list[str], x: str | None = "x", y:
 
 def write_geojson(df: DataFrame, path: str, properties: list[str], **kw) -> None:
     geojson_lines(df, properties, **kw).write.mode("overwrite").text(path)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes(node_id, x, y) and edges(src, dst, key, length) as GraphML parts: every file is a whole document."""
+    spark = nodes.sparkSession
+
+    def put(df: DataFrame, tag: str) -> None:
+        df.write.mode("overwrite").format("xml").option("rootTag", "graphml").option("rowTag", tag).save(f"{path}/{tag}s")
+
+    def data(**values):
+        return F.array(*[F.struct(F.col(c).cast("string").alias("_VALUE"), F.lit(k).alias("_key")) for k, c in values.items()]).alias("data")
+
+    put(inline_table(spark, [("d1", "node", "x"), ("d2", "node", "y"), ("d3", "edge", "length")], "_id string, _for string, name string")
+        .withColumnRenamed("name", "_attr.name"), "key")
+    put(nodes.select(F.col("node_id").alias("_id"), data(d1="x", d2="y")), "node")
+    put(edges.select(F.col("src").alias("_source"), F.col("dst").alias("_target"), F.col("key").alias("_id"), data(d3="length")), "edge")
