@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach.functions.scalars import row_bytes
@@ -11,6 +11,11 @@ from footreach.operators.skew import salted_join
 SPLITS = 512
 
 
+def _cut_points(col: str) -> Column:
+    steps = ", ".join(repr(i / SPLITS) for i in range(1, SPLITS))
+    return F.expr(f"percentile_approx({col}, array({steps}), {10 * SPLITS})")
+
+
 def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: by..., prob, value.
 
@@ -20,8 +25,7 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = ()) -
     by = list(by)
     vals = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
     uniq = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    steps = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    cuts = vals.groupBy(*by).agg(F.percentile_approx("_v", steps, F.lit(10 * SPLITS)).alias("_cuts"))
+    cuts = vals.groupBy(*by).agg(_cut_points("_v").alias("_cuts"))
     if by:
         uniq = uniq.join(cuts, by)
     else:
@@ -55,8 +59,7 @@ def ranks(df: DataFrame, col: str, by: list[str] = (), ascending: bool = True) -
     sign = 1.0 if ascending else -1.0
     vals = df.withColumn("_v", F.col(col).cast("double") * F.lit(sign))
     uniq = vals.filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    steps = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    cuts = uniq.groupBy(*by).agg(F.percentile_approx("_v", steps, F.lit(10 * SPLITS)).alias("_cuts"))
+    cuts = uniq.groupBy(*by).agg(_cut_points("_v").alias("_cuts"))
     uniq = uniq.join(cuts, by) if by else uniq.withColumn("_cuts", cuts.select("_cuts").scalar())
     uniq = uniq.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

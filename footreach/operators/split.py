@@ -81,9 +81,13 @@ def sample_neighbours(df: DataFrame, ratio: float = 0.8, min_n: int = 3, seed: i
         return F.struct(u.alias("u"), i.alias("i"), (s["euclidean_distance"].cast("double") / F.lit(float(scale))).alias("d"))
 
     marks = F.transform("neighbor_data", seeded)
+
+    def in_band(lo, hi):
+        return lambda m: (m["d"] >= lo) & (m["d"] < hi)
+
     kept = None
     for lo, hi in zip(edges, edges[1:]):
-        band = F.array_sort(F.filter(F.col("_marks"), lambda m, lo=lo, hi=hi: (m["d"] >= lo) & (m["d"] < hi)))
+        band = F.array_sort(F.filter(F.col("_marks"), in_band(lo, hi)))
         quota = F.when(F.size(band) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.size(band) * F.lit(ratio)).cast("int")))
         part = F.slice(band, F.lit(1), quota)
         kept = part if kept is None else F.concat(kept, part)
