@@ -4,7 +4,7 @@ A ring is ``array<struct<x:double,y:double>>``, closed; a polygon is an array of
 shells of several parts): inside means inside an odd number of rings. Nothing here needs a UDF or a UDT.
 
 The shape functions take column names or SQL text and return a Column made by one `expr`: long expressions built
-call by call from Python cost seconds per query. Names ending in `_sql` return the text.
+call by call from Python cost seconds per query. Names ending in `_sql` return the text. Lambda variables start with an underscore, which no shape column should.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def box(x0: str, y0: str, x1: str, y1: str) -> Column:
 
 
 def rings_to_mercator_sql(rings: str) -> str:
-    return (f"transform({rings}, r -> transform(r, v -> named_struct('x', {mercator_x_sql('v.x')}, 'y', {mercator_y_sql('v.y')})))")
+    return (f"transform({rings}, _r -> transform(_r, _v -> named_struct('x', {mercator_x_sql('_v.x')}, 'y', {mercator_y_sql('_v.y')})))")
 
 
 def rings_to_mercator(rings: str) -> Column:
@@ -91,16 +91,16 @@ def rings_to_mercator(rings: str) -> Column:
 
 def _ring_segments(r: str) -> str:
     n = f"greatest(size({r}) - 1, 0)"
-    return f"zip_with(slice({r}, 1, {n}), slice({r}, 2, {n}), (a, b) -> named_struct('a', a, 'b', b))"
+    return f"zip_with(slice({r}, 1, {n}), slice({r}, 2, {n}), (_a, _b) -> named_struct('a', _a, 'b', _b))"
 
 
 def segments_sql(rings: str) -> str:
-    return f"flatten(transform({rings}, r -> {_ring_segments('r')}))"
+    return f"flatten(transform({rings}, _r -> {_ring_segments('_r')}))"
 
 
 def bounds(rings: str) -> Column:
     """struct(xmin, ymin, xmax, ymax)."""
-    xs, ys = (f"transform(flatten({rings}), v -> v.{c})" for c in "xy")
+    xs, ys = (f"transform(flatten({rings}), _v -> _v.{c})" for c in "xy")
     return F.expr(f"named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), 'xmax', array_max({xs}), 'ymax', array_max({ys}))")
 
 
@@ -108,21 +108,21 @@ def dissolve(rings: str, strict: bool = False) -> Column:
     """One shape from several parts. All rings are kept; with `strict`, disjoint parts give an empty shape."""
     if not strict:
         return F.expr(rings)
-    near = (f"exists({_ring_segments('p')}, s -> exists({_ring_segments('o')}, t -> {_touch('s', 't')}))"
-            f" OR {covers_point_sql('array(o)', 'p[0].x', 'p[0].y')} OR {covers_point_sql('array(p)', 'o[0].x', 'o[0].y')}")
-    apart = f"exists({rings}, p -> NOT exists({rings}, o -> p <> o AND ({near})))"
+    near = (f"exists({_ring_segments('_p')}, _s -> exists({_ring_segments('_o')}, _t -> {_touch('_s', '_t')}))"
+            f" OR {covers_point_sql('array(_o)', '_p[0].x', '_p[0].y')} OR {covers_point_sql('array(_p)', '_o[0].x', '_o[0].y')}")
+    apart = f"exists({rings}, _p -> NOT exists({rings}, _o -> _p <> _o AND ({near})))"
     return F.expr(f"CASE WHEN size({rings}) > 1 AND {apart} THEN CAST(array() AS {RINGS_TYPE}) ELSE {rings} END")
 
 
 # ---- measures ------------------------------------------------------------------------------------
 
 def _cross_sum(r: str) -> str:
-    return (f"aggregate({_ring_segments(r)}, 0D, (acc, s) -> acc + (s.a.x - {r}[0].x) * (s.b.y - {r}[0].y)"
-            f" - (s.b.x - {r}[0].x) * (s.a.y - {r}[0].y))")
+    return (f"aggregate({_ring_segments(r)}, 0D, (_acc, _s) -> _acc + (_s.a.x - {r}[0].x) * (_s.b.y - {r}[0].y)"
+            f" - (_s.b.x - {r}[0].x) * (_s.a.y - {r}[0].y))")
 
 
 def area_sql(rings: str) -> str:
-    return f"(abs(aggregate({rings}, 0D, (total, q) -> total + {_cross_sum('q')})) / 2D)"
+    return f"(abs(aggregate({rings}, 0D, (_total, _q) -> _total + {_cross_sum('_q')})) / 2D)"
 
 
 def area(rings: str) -> Column:
@@ -140,17 +140,17 @@ def area_m2(rings: str, mode: str = "mercator") -> Column:
 def centroid(rings: str) -> Column:
     """struct(x, y), area-weighted; the mean of the vertices when the area is zero."""
     ox, oy = f"{rings}[0][0].x", f"{rings}[0][0].y"
-    w = f"((s.a.x - {ox}) * (s.b.y - {oy}) - (s.b.x - {ox}) * (s.a.y - {oy}))"
-    step = (f"named_struct('w', acc.w + {w}, 'x', acc.x + (s.a.x + s.b.x - 2D * {ox}) * {w}, "
-            f"'y', acc.y + (s.a.y + s.b.y - 2D * {oy}) * {w})")
+    w = f"((_s.a.x - {ox}) * (_s.b.y - {oy}) - (_s.b.x - {ox}) * (_s.a.y - {oy}))"
+    step = (f"named_struct('w', _acc.w + {w}, 'x', _acc.x + (_s.a.x + _s.b.x - 2D * {ox}) * {w}, "
+            f"'y', _acc.y + (_s.a.y + _s.b.y - 2D * {oy}) * {w})")
 
     def mean(c):
-        return f"aggregate(flatten({rings}), 0D, (t, v) -> t + v.{c}) / size(flatten({rings}))"
+        return f"aggregate(flatten({rings}), 0D, (_t, _v) -> _t + _v.{c}) / size(flatten({rings}))"
 
     def end(c, o):
-        return f"CASE WHEN acc.w = 0 THEN {mean(c)} ELSE {o} + try_divide(acc.{c}, acc.w * 3D) END"
-    return F.expr(f"aggregate({segments_sql(rings)}, named_struct('w', 0D, 'x', 0D, 'y', 0D), (acc, s) -> {step}, "
-                  f"acc -> named_struct('x', {end('x', ox)}, 'y', {end('y', oy)}))")
+        return f"CASE WHEN _acc.w = 0 THEN {mean(c)} ELSE {o} + try_divide(_acc.{c}, _acc.w * 3D) END"
+    return F.expr(f"aggregate({segments_sql(rings)}, named_struct('w', 0D, 'x', 0D, 'y', 0D), (_acc, _s) -> {step}, "
+                  f"_acc -> named_struct('x', {end('x', ox)}, 'y', {end('y', oy)}))")
 
 
 # ---- predicates ----------------------------------------------------------------------------------
@@ -160,14 +160,14 @@ def _side(a: str, b: str, x: str, y: str) -> str:
 
 
 def on_boundary_sql(rings: str, x: str, y: str) -> str:
-    return (f"exists({segments_sql(rings)}, g -> {_side('g.a', 'g.b', x, y)} = 0"
-            f" AND {x} >= least(g.a.x, g.b.x) AND {x} <= greatest(g.a.x, g.b.x)"
-            f" AND {y} >= least(g.a.y, g.b.y) AND {y} <= greatest(g.a.y, g.b.y))")
+    return (f"exists({segments_sql(rings)}, _g -> {_side('_g.a', '_g.b', x, y)} = 0"
+            f" AND {x} >= least(_g.a.x, _g.b.x) AND {x} <= greatest(_g.a.x, _g.b.x)"
+            f" AND {y} >= least(_g.a.y, _g.b.y) AND {y} <= greatest(_g.a.y, _g.b.y))")
 
 
 def _odd_crossings(rings: str, x: str, y: str) -> str:
-    return (f"(size(filter({segments_sql(rings)}, g -> ((g.a.y > {y}) <> (g.b.y > {y})) AND ((g.b.y > g.a.y) = "
-            f"(({x} - g.a.x) * (g.b.y - g.a.y) < (g.b.x - g.a.x) * ({y} - g.a.y))))) % 2 = 1)")
+    return (f"(size(filter({segments_sql(rings)}, _g -> ((_g.a.y > {y}) <> (_g.b.y > {y})) AND ((_g.b.y > _g.a.y) = "
+            f"(({x} - _g.a.x) * (_g.b.y - _g.a.y) < (_g.b.x - _g.a.x) * ({y} - _g.a.y))))) % 2 = 1)")
 
 
 def contains_point_sql(rings: str, x: str, y: str) -> str:
@@ -205,21 +205,21 @@ def _cross(s: str, t: str) -> str:
 
 
 def polygon_intersects(p: str, q: str) -> Column:
-    return F.expr(f"exists({segments_sql(p)}, s -> exists({segments_sql(q)}, t -> {_touch('s', 't')}))"
+    return F.expr(f"exists({segments_sql(p)}, _s -> exists({segments_sql(q)}, _t -> {_touch('_s', '_t')}))"
                   f" OR {covers_point_sql(q, p + '[0][0].x', p + '[0][0].y')} OR {covers_point_sql(p, q + '[0][0].x', q + '[0][0].y')}")
 
 
 def polygon_within(p: str, q: str) -> Column:
     """p lies in q: every vertex in q (its edge allowed) and no edge crosses."""
-    return F.expr(f"forall(flatten({p}), v -> {covers_point_sql(q, 'v.x', 'v.y')})"
-                  f" AND NOT exists({segments_sql(p)}, s -> exists({segments_sql(q)}, t -> {_cross('s', 't')}))")
+    return F.expr(f"forall(flatten({p}), _v -> {covers_point_sql(q, '_v.x', '_v.y')})"
+                  f" AND NOT exists({segments_sql(p)}, _s -> exists({segments_sql(q)}, _t -> {_cross('_s', '_t')}))")
 
 
 def boundary_distance_sql(rings: str, x: str, y: str) -> str:
-    dx, dy = "(g.b.x - g.a.x)", "(g.b.y - g.a.y)"
-    t = (f"least(greatest(coalesce(try_divide(({x} - g.a.x) * {dx} + ({y} - g.a.y) * {dy}, {dx} * {dx} + {dy} * {dy}), 0D), 0D), 1D)")
-    near = f"named_struct('x', g.a.x + {t} * {dx}, 'y', g.a.y + {t} * {dy})"
-    return (f"array_min(transform(transform({segments_sql(rings)}, g -> {near}), n -> {distance_sql(x, y, 'n.x', 'n.y')}))")
+    dx, dy = "(_g.b.x - _g.a.x)", "(_g.b.y - _g.a.y)"
+    t = (f"least(greatest(coalesce(try_divide(({x} - _g.a.x) * {dx} + ({y} - _g.a.y) * {dy}, {dx} * {dx} + {dy} * {dy}), 0D), 0D), 1D)")
+    near = f"named_struct('x', _g.a.x + {t} * {dx}, 'y', _g.a.y + {t} * {dy})"
+    return (f"array_min(transform(transform({segments_sql(rings)}, _g -> {near}), _n -> {distance_sql(x, y, '_n.x', '_n.y')}))")
 
 
 def polygon_distance(rings: str, x: str, y: str) -> Column:
@@ -243,10 +243,10 @@ def within_buffer(rings: str, x: str, y: str, meters: float) -> Column:
 def valid_geometry(rings: str) -> Column:
     """Each ring closed, >= 4 vertices, finite, not flat, and no edge of a ring crosses another one of it."""
     inf = "double('infinity')"
-    finite = f"forall(q, v -> NOT (isnan(v.x) OR isnan(v.y) OR abs(v.x) = {inf} OR abs(v.y) = {inf}))"
-    simple = f"NOT exists({_ring_segments('q')}, s -> exists({_ring_segments('q')}, t -> {_cross('s', 't')}))"
-    good = f"size(q) >= 4 AND q[0] = element_at(q, -1) AND {finite} AND {_cross_sum('q')} <> 0 AND {simple}"
-    return F.expr(f"coalesce(size({rings}) > 0 AND forall({rings}, q -> {good}), false)")
+    finite = f"forall(_q, _v -> NOT (isnan(_v.x) OR isnan(_v.y) OR abs(_v.x) = {inf} OR abs(_v.y) = {inf}))"
+    simple = f"NOT exists({_ring_segments('_q')}, _s -> exists({_ring_segments('_q')}, _t -> {_cross('_s', '_t')}))"
+    good = f"size(_q) >= 4 AND _q[0] = element_at(_q, -1) AND {finite} AND {_cross_sum('_q')} <> 0 AND {simple}"
+    return F.expr(f"coalesce(size({rings}) > 0 AND forall({rings}, _q -> {good}), false)")
 
 
 # ---- text ----------------------------------------------------------------------------------------

@@ -23,12 +23,12 @@ def carried_metrics(spark, sf):
 
 @query("early_stopping", "W6", B.sql("history", """
 , o AS (SELECT run, epoch, val_loss AS v, row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS n FROM history),
-walk(run, n, best, at, bad) AS (SELECT run, n, v, n, CAST(0 AS bigint) FROM o WHERE n = 0
-  UNION ALL SELECT o.run, o.n, CASE WHEN o.v < best - 0.5e0 THEN o.v ELSE best END, CASE WHEN o.v < best - 0.5e0 THEN o.n ELSE at END, CASE WHEN o.v < best - 0.5e0 THEN 0 ELSE bad + 1 END
+walk(run, n, best, hit, bad) AS (SELECT run, n, v, n, CAST(0 AS bigint) FROM o WHERE n = 0
+  UNION ALL SELECT o.run, o.n, CASE WHEN o.v < best - 0.5e0 THEN o.v ELSE best END, CASE WHEN o.v < best - 0.5e0 THEN o.n ELSE hit END, CASE WHEN o.v < best - 0.5e0 THEN 0 ELSE bad + 1 END
   FROM walk w JOIN o ON o.run = w.run AND o.n = w.n + 1 WHERE w.bad < 20),
 ends AS (SELECT run, max(n) AS n FROM walk GROUP BY 1)
 SELECT w.run, round(w.best, 6) AS best_loss, b.epoch AS best_epoch, CASE WHEN w.bad >= 20 THEN s.epoch END AS stop_epoch, (SELECT count(*) FROM o WHERE o.run = w.run) AS checks
-FROM walk w JOIN ends USING (run, n) JOIN o b ON b.run = w.run AND b.n = w.at JOIN o s ON s.run = w.run AND s.n = w.n""", recursive=True))
+FROM walk w JOIN ends USING (run, n) JOIN o b ON b.run = w.run AND b.n = w.hit JOIN o s ON s.run = w.run AND s.n = w.n""", recursive=True))
 def early_stopping(spark, sf):
     return RU.patience(B.history(spark, sf), 20, 0.5).withColumn("best_loss", r6("best_loss"))
 
@@ -154,7 +154,7 @@ def streamed_metrics(spark, sf):
     """Running metrics per run in update mode; every batch upserts its changed rows, the latest batch wins."""
     root = B.scratch(spark, "stream")
     e = B.table(spark, sf, "events")
-    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet")
+    src = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     m = T.stream_metrics(src.select(F.col("user_id").alias("run"), F.col("value").alias("loss")), ["run"], ["loss"])
 
     def put(df, batch_id):

@@ -128,10 +128,10 @@ _CONTRACTS = ["permanent_employment_ratio", "temporary_employment_ratio"]
 
 
 @query("ratio_sums", "Q24", _D_SQL + f", m AS ({_long('d', 'IRIS', {'age_sum': ' + '.join(_AGES), 'mode_share_sum': ' + '.join(_MODES), 'contract_sum': ' + '.join(_CONTRACTS)})})"
-       + judged_sql("m") + "SELECT entity, metric, round(value, 4) AS value, severity FROM judged")
+       + judged_sql("m") + "SELECT entity, metric, round(value, 6) AS value, severity FROM judged")
 def ratio_sums(spark, sf):
     m = CH.ratio_sums(demographics_query(spark, sf), "IRIS", {"age_sum": _AGES, "mode_share_sum": _MODES, "contract_sum": _CONTRACTS})
-    return CH.check_rules(m, CH.rules_table(spark)).select("entity", "metric", F.round("value", 4).alias("value"), "severity")
+    return CH.check_rules(m, CH.rules_table(spark)).select("entity", "metric", F.round("value", 6).alias("value"), "severity")
 
 
 @query("column_profile", "A7", _D_SQL + " UNION ALL ".join(
