@@ -32,8 +32,8 @@ def soft_rows(df: DataFrame, target: str = "target_prob_vector", class_weights=N
     p = V.as_double(target)
     w = V.lit_array(class_weights or [1.0] * n)
     items = F.transform(F.zip_with(p, w, lambda a, b: a * b), lambda x, i: F.struct(
-        i.cast("double").alias("label"), x.alias("weight")))
-    return df.withColumn("_s", F.explode(items)).select("*", "_s.label", "_s.weight").drop("_s").filter(F.col("weight") > 0)
+        i.cast("double").alias("class_label"), x.alias("class_weight")))
+    return df.withColumn("_s", F.explode(items)).select("*", "_s.class_label", "_s.class_weight").drop("_s").filter(F.col("class_weight") > 0)
 
 
 def _vectors(df: DataFrame, features: str) -> DataFrame:
@@ -43,10 +43,10 @@ def _vectors(df: DataFrame, features: str) -> DataFrame:
 def fit_soft_labels(df: DataFrame, features: str = "features", target: str = "target_prob_vector", class_weights=None,
                     reg: float = 0.01, max_iter: int = 50):
     """Multinomial regression on soft labels: its weighted log loss is the KL to the target plus a constant."""
-    lr = LogisticRegression(family="multinomial", featuresCol="_x", labelCol="label", weightCol="weight",
+    lr = LogisticRegression(family="multinomial", featuresCol="_x", labelCol="class_label", weightCol="class_weight",
                             regParam=float(reg), maxIter=int(max_iter), probabilityCol="_prob", rawPredictionCol="_raw",
                             predictionCol="_pred")
-    return lr.fit(soft_rows(_vectors(df, features), target, class_weights).select("_x", "label", "weight"))
+    return lr.fit(soft_rows(_vectors(df, features), target, class_weights).select("_x", "class_label", "class_weight"))
 
 
 def score(model, df: DataFrame, features: str = "features") -> DataFrame:

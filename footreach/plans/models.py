@@ -394,7 +394,7 @@ def training_rows(spark, sf):
 , e AS (SELECT target_id, unnest(generate_series(1, 8)) AS i, target_probs FROM preds)
 SELECT CAST(i - 1 AS double) AS label, count(*) AS n, round(sum(target_probs[i]), 6) AS weight FROM e GROUP BY 1"""))
 def soft_label_rows(spark, sf):
-    return L.soft_rows(training_rows(spark, sf)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("weight")).alias("weight"))
+    return L.soft_rows(training_rows(spark, sf)).groupBy(F.col("class_label").alias("label")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("class_weight")).alias("weight"))
 
 
 @query("soft_label_model", "M2 M4", None)
