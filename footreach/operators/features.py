@@ -11,6 +11,7 @@ from footreach.constants import (BUILDING_RADIUS_M, CATEGORIES, CATEGORY_TAGS, F
                                  N_CATEGORIES, SERVICE_FEATURES, WALK_RADIUS_M)
 from footreach.functions import scalars as S
 from footreach.functions import vectors as V
+from footreach.operators.skew import salted_join
 from footreach.operators.spatial import _offset_array, disc_offsets, distance_join, radius_aggregate
 from footreach.session import inline_table
 
@@ -74,46 +75,53 @@ def star_cells(targets: DataFrame, radius: float = WALK_RADIUS_M, cell: float =
 
 def assemble_stars(targets: DataFrame, cells: DataFrame, radius: float = WALK_RADIUS_M, cell: float = GRID_CELL_M,
                    step: float = LATTICE_STEP_M, *, key: str = "neighborhood_name", features: str = "features",
-                   tile: int = 64) -> DataFrame:
+                   tile: int | None = None) -> DataFrame:
     """Targets with `neighbor_data`, the array of the cells in the disc with their features.
 
-    targets: key, target_id, ix, iy, ...; cells: key, ix, iy, features (one row per lattice point). Cells are copied
-    to the tiles whose border they touch (at most 4 when the tile is wider than the disc) and both sides are laid out
-    by tile; the join and the grouping then stay inside a tile. A tile holds at most tile^2 targets: no hot group.
+    targets: key, target_id, ix, iy, ...; cells: key, ix, iy, features (one row per lattice point). A star is built
+    once per lattice point that holds targets. Cells are copied to the tiles whose border they touch (at most 4 when
+    the tile is wider than the disc) and both sides are laid out by tile; the join and the grouping then stay inside a
+    tile, so only cells travel, not the pairs. A tile holds at most tile^2 lattice points: no hot group.
+
+    Spark joins in place on part of the join keys only with spark.sql.requireAllClusterKeysForCoPartition off; it is
+    switched off here for the session.
     """
     k = _lattice_multiple(step, cell)
     offsets = disc_offsets(radius, cell)
     halo = k * max(i for i, _ in offsets)
-    c = float(cell)
-    table = _offset_array(offsets)
+    tile = tile or max(16, 3 * halo)
+    targets.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
     def tile_of(col, grow=0):
-        return F.floor((F.col(col) + grow) / F.lit(tile))
+        return f"floor(({col} + {grow}) / {tile})"
+
+    def tiles(col):
+        return F.expr(f"explode(sequence({tile_of(col, -halo)}, {tile_of(col, halo)}))")
 
+    tile_id = f"concat_ws('/', {key}, _tx, _ty) AS _tile"
     side = (
-        cells.select(F.col(key), F.col("ix").alias("_cx"), F.col("iy").alias("_cy"), F.col(features).alias("_f"))
-        .withColumn("_tx", F.explode(F.sequence(tile_of("_cx", -halo), tile_of("_cx", halo))))
-        .withColumn("_ty", F.explode(F.sequence(tile_of("_cy", -halo), tile_of("_cy", halo))))
-        .repartition(key, "_tx", "_ty")
+        cells.selectExpr(f"{key} AS _key", "ix AS _cx", "iy AS _cy", f"{features} AS _f")
+        .withColumn("_tx", tiles("_cx")).withColumn("_ty", tiles("_cy"))
+        .selectExpr("_key", "_cx", "_cy", "_f", tile_id.replace(key, "_key")).repartition("_tile")
     )
+    spot = [key, "ix", "iy"]
     hub = (
-        targets.select(key, "target_id", "ix", "iy").withColumn("_tx", tile_of("ix")).withColumn("_ty", tile_of("iy"))
-        .repartition(key, "_tx", "_ty")
-        .withColumn("_o", F.explode(table))
-        .select(key, "_tx", "_ty", "target_id", F.col("_o.i").alias("_i"), F.col("_o.j").alias("_j"),
-                (F.col("ix") + F.col("_o.i") * k).alias("_cx"), (F.col("iy") + F.col("_o.j") * k).alias("_cy"))
+        targets.select(*spot).distinct().selectExpr(*spot, f"{tile_of('ix')} AS _tx", f"{tile_of('iy')} AS _ty")
+        .selectExpr(*spot, tile_id).repartition("_tile").withColumn("_o", F.explode(_offset_array(offsets)))
+        .selectExpr(*spot, "_tile", "_o.i AS _i", "_o.j AS _j", f"ix + _o.i * {k} AS _cx", f"iy + _o.j * {k} AS _cy")
+        .withColumn("_key", F.col(key))
     )
-    d = F.sqrt((F.col("_i") * F.col("_i") + F.col("_j") * F.col("_j")).cast("double")) * F.lit(c)
-    entry = F.struct(
-        F.col("_i"), F.col("_j"), F.col("_f").alias("features"), d.alias("network_distance"), d.alias("euclidean_distance"),
-        (F.col("_i") * F.lit(c)).alias("dx"), (F.col("_j") * F.lit(c)).alias("dy"))
+    c = f"{float(cell)!r}D"
+    d = f"sqrt(CAST(_i * _i + _j * _j AS double)) * {c}"
+    entry = F.expr(f"named_struct('_i', _i, '_j', _j, 'features', _f, 'network_distance', {d}, 'euclidean_distance', {d}, "
+                   f"'dx', _i * {c}, 'dy', _j * {c})")
     stars = (
-        hub.join(side, [key, "_tx", "_ty", "_cx", "_cy"])
-        .groupBy(key, "_tx", "_ty", "target_id").agg(F.array_sort(F.collect_list(entry)).alias("_n"))
-        .select(key, "target_id", F.transform("_n", lambda s: s.dropFields("_i", "_j")).alias("neighbor_data"))
+        hub.join(side, ["_tile", "_key", "_cx", "_cy"])
+        .groupBy("_tile", *spot).agg(F.array_sort(F.collect_list(entry)).alias("_n"))
+        .select(*spot, F.transform("_n", lambda s: s.dropFields("_i", "_j")).alias("neighbor_data"))
     )
     empty = F.array().cast(stars.schema["neighbor_data"].dataType)
-    return targets.join(stars, [key, "target_id"], "left").withColumn(
+    return salted_join(targets, stars, spot, "left").select(*targets.columns, "neighbor_data").withColumn(
         "neighbor_data", F.coalesce("neighbor_data", empty)).withColumn("num_neighbors", F.size("neighbor_data"))
 
 

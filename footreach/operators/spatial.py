@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from footreach.constants import GRID_CELL_M, LATTICE_STEP_M, WALK_RADIUS_M
 from footreach.functions import geometry as G
 from footreach.operators.skew import number_rows, salted_join
-from footreach.session import cut_lineage, settle
+from footreach.session import cut_lineage, settle, spread
 
 
 def with_mercator(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
@@ -61,7 +61,7 @@ def distance_join(points: DataFrame, features: DataFrame, radius: float, *, x: s
     size = cell or radius
     box = G.bounds(rings) if rings else _point_box(fx, fy)
     left = points.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
-    right = _cover(features, box, size, radius)
+    right = _cover(spread(features) if rings else features, box, size, radius)
     r = f"{float(radius)!r}D"
     pairs = salted_join(left, right, ["_cx", "_cy"], "inner").filter(
         f"{x} >= _box.xmin - {r} AND {x} <= _box.xmax + {r} AND {y} >= _box.ymin - {r} AND {y} <= _box.ymax + {r}")
@@ -76,7 +76,7 @@ def within_join(points: DataFrame, polygons: DataFrame, cell: float, *, x: str =
                 rings: str = "rings", strict: bool = True, how: str = "left") -> DataFrame:
     """Point in polygon by cell key and exact test; with `left`, points outside every polygon stay, with nulls."""
     test = G.contains_point if strict else G.covers_point
-    left = points.withColumn("_cx", cell_of(x, cell)).withColumn("_cy", cell_of(y, cell))
+    left = spread(points).withColumn("_cx", cell_of(x, cell)).withColumn("_cy", cell_of(y, cell))
     right = _cover(polygons, G.bounds(rings), cell)
     hits = salted_join(left, right, ["_cx", "_cy"]).filter(test(rings, x, y)).drop("_cx", "_cy", "_box")
     if how == "inner":
@@ -90,7 +90,7 @@ def intersects_join(left: DataFrame, right: DataFrame, cell: float, *, rings: st
 
     Both boxes may share several cells; only the cell of the lower-left corner of the common box keeps the pair.
     """
-    a = _cover(left, G.bounds(rings), cell).withColumnRenamed("_box", "_a")
+    a = _cover(spread(left), G.bounds(rings), cell).withColumnRenamed("_box", "_a")
     b = _cover(right, G.bounds(other), cell).withColumnRenamed("_box", "_b")
     lo_x, lo_y = "greatest(_a.xmin, _b.xmin)", "greatest(_a.ymin, _b.ymin)"
     met = salted_join(a, b, ["_cx", "_cy"]).filter(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from footreach.constants import CATEGORY_TAGS
 from footreach.functions import geometry as G
 from footreach.functions import vectors as V
-from footreach.session import ensure_checkpoint_dir
+from footreach.session import ensure_checkpoint_dir, spread
 
 LON0, LAT0, LON_SPAN, LAT_SPAN = 2.2, 48.8, 0.2, 0.1
 
@@ -93,7 +93,7 @@ def tagged(spark, sf) -> DataFrame:
 
 def buildings(spark, sf) -> DataFrame:
     """Square footprints in degrees (rings) and in metres (mrings)."""
-    return role(spark, sf, "buildings").withColumn("rings", G.box("lon - half", "lat - half", "lon + half", "lat + half")).withColumn("mrings", G.rings_to_mercator("rings"))
+    return spread(role(spark, sf, "buildings")).withColumn("rings", G.box("lon - half", "lat - half", "lon + half", "lat + half")).withColumn("mrings", G.rings_to_mercator("rings"))
 
 
 def nodes(spark, sf) -> DataFrame:

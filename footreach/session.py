@@ -19,8 +19,8 @@ def local_session(cpus: int | str = "*", app: str = "footreach") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FOOTREACH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .getOrCreate()
     )
 
@@ -77,6 +77,11 @@ def is_small(*dfs: DataFrame) -> bool:
     return sum(source_bytes(d) for d in dfs) <= limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small source over the cores before costly per-row work; large sources come in many splits."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise a table that is used several times, unless it comes from small sources."""
     return df if is_small(df) else cut_lineage(df)
