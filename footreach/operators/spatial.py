@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach.constants import GRID_CELL_M, LATTICE_STEP_M, WALK_RADIUS_M
@@ -160,58 +160,97 @@ def _extent(df: DataFrame, x: str, y: str):
     return df.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.count(F.lit(1))).first()
 
 
+STEP = 4  # each level of the search is this many times finer than the one above
+
+
 def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature_id: str, by: str | None = None,
                  by_values: list | None = None, max_distance: float | None = None, x: str = "x", y: str = "y",
                  fx: str = "fx", fy: str = "fy", exact: Column | None = None, shrink: float = 1.0) -> DataFrame:
     """Nearest feature of each point (per value of `by`): id_col, [by], feature_id, distance.
 
-    Expanding search: a first cell size from the feature density, 3 x 3 cells, keep what is proven nearest (found
-    within one cell size), widen the cell fourfold for the rest. Dense places are settled in small cells; only the few
-    remote points look far. `exact` replaces planar distance; `shrink` is a bound on exact / planar.
-    Ties go to the smaller feature id. Points with nothing within `max_distance` give no row.
+    First the 3 x 3 cells around the point, the cell size taken from the feature density: what is found within one
+    cell size is proven nearest, and that settles dense places. The other points search from coarse cells down to
+    fine ones (`_descend`), so a remote point meets few features however many there are. Features at one place count
+    once. `exact` replaces planar distance, with shrink * planar <= exact <= planar. Ties go to the smaller feature id.
+    Points with nothing within `max_distance` give no row.
     """
     keys = [id_col] + ([by] if by else [])
-    feats = features.select(F.col(feature_id), F.col(fx), F.col(fy), *([by] if by else []))
-    x0, y0, x1, y1, n = _extent(feats, fx, fy)
+    group = [by] if by else []
+    feats = settle(features.groupBy(fx, fy, *group).agg(F.min(feature_id).alias(feature_id)))
     todo = points.select(F.col(id_col), F.col(x), F.col(y))
     if by:
         if by_values is None:
             raise ValueError("by_values (a short list of the group values) is needed with by")
         todo = todo.withColumn(by, F.explode(F.array(*[F.lit(v) for v in by_values])))
+    x0, y0, x1, y1, n = _extent(feats, fx, fy)
     if not n:
-        return todo.select(*keys).withColumn(feature_id, F.lit(None)).withColumn(
+        return todo.select(*keys).withColumn(feature_id, F.lit(None).cast(features.schema[feature_id].dataType)).withColumn(
             "distance", F.lit(None).cast("double")).filter(F.lit(False))
     px0, py0, px1, py1, _ = _extent(points, x, y)
-    groups = len(by_values) if by else 1
-    spread = max((x1 - x0) * (y1 - y0), 1.0)
-    size = max(math.sqrt(spread * groups / n), 1e-6)
-    widest = max(max(x1, px1 or x1) - min(x0, px0 or x0), max(y1, py1 or y1) - min(y0, py0 or y0), size)
+    widest = max(max(x1, px1 or x1) - min(x0, px0 or x0), max(y1, py1 or y1) - min(y0, py0 or y0), 1e-6)
+    size = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * (len(by_values) if by else 1) / n), widest / STEP**12)
     if max_distance is not None:
         size, widest = min(size, max_distance / shrink), min(widest, max_distance / shrink)
     d = exact if exact is not None else G.distance(x, y, fx, fy)
-    settled: DataFrame | None = None
-    while True:
-        last = size >= widest
-        left = todo.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
-        right = _cover(feats, _point_box(fx, fy), size, size).drop("_box")
-        cand = salted_join(left, right, ["_cx", "_cy"] + ([by] if by else [])).withColumn("distance", d)
-        reach = F.lit(size * shrink)
-        best = cand.groupBy(*keys).agg(F.min(F.struct("distance", feature_id)).alias("_b")).select(
+
+    def best_of(candidates: DataFrame) -> DataFrame:
+        return candidates.withColumn("distance", d).groupBy(*keys).agg(F.min(F.struct("distance", feature_id)).alias("_b")).select(
             *keys, F.col(f"_b.{feature_id}").alias(feature_id), F.col("_b.distance").alias("distance"))
-        if not last:
-            best = best.filter(F.col("distance") <= reach)
-        elif max_distance is not None:
-            best = best.filter(F.col("distance") <= F.lit(float(max_distance)))
-        if last and settled is None:
-            return best
-        best = cut_lineage(best)
-        settled = best if settled is None else settled.unionByName(best)
-        if last:
-            return settled
-        todo = cut_lineage(todo.join(best.select(*keys), keys, "left_anti"))
-        if todo.isEmpty():
-            return settled
-        size = min(size * 4, max(widest, size))
+
+    left = todo.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
+    right = _cover(feats, _point_box(fx, fy), size, size).drop("_box")
+    near = best_of(salted_join(left, right, ["_cx", "_cy", *group]))
+    if size >= widest:
+        return near if max_distance is None else near.filter(F.col("distance") <= F.lit(float(max_distance)))
+    near = cut_lineage(near.filter(F.col("distance") <= F.lit(size * shrink)))
+    rest = cut_lineage(todo.join(near.select(*keys), keys, "left_anti"))
+    if rest.isEmpty():
+        return near
+    found = best_of(_descend(rest, feats, keys, group, size, widest, max_distance, shrink, x, y, fx, fy))
+    if max_distance is not None:
+        found = found.filter(F.col("distance") <= F.lit(float(max_distance)))
+    return near.unionByName(found)
+
+
+def _descend(todo: DataFrame, feats: DataFrame, keys: list[str], group: list[str], size: float, widest: float,
+             max_distance: float | None, shrink: float, x: str, y: str, fx: str, fy: str) -> DataFrame:
+    """Points with the features of every finest cell that may hold their nearest one.
+
+    From 3 x 3 cells as wide as the whole search, cells with features are split level by level; of a point's cells only
+    those stay that begin before the nearest of them certainly ends.
+    """
+    levels = [size]
+    while levels[-1] < widest:
+        levels.append(levels[-1] * STEP)
+    cells = settle(feats.select(cell_of(fx, size).alias("_cx"), cell_of(fy, size).alias("_cy"), *group).distinct())
+
+    def occupied(k: int) -> DataFrame:
+        up = STEP**k
+        return cells.selectExpr(f"floor(_cx / {up}) AS _cx", f"floor(_cy / {up}) AS _cy", *group).distinct()
+
+    def pruned(cand: DataFrame, width: float) -> DataFrame:
+        w = f"{width!r}D"
+        gap_x, gap_y = (f"greatest(_c{c} * {w} - {v}, {v} - (_c{c} + 1) * {w}, 0D)" for c, v in (("x", x), ("y", y)))
+        far_x, far_y = (f"greatest(abs({v} - _c{c} * {w}), abs({v} - (_c{c} + 1) * {w}))" for c, v in (("x", x), ("y", y)))
+        cand = cand.selectExpr("*", f"sqrt({gap_x} * {gap_x} + {gap_y} * {gap_y}) * {shrink!r}D AS _from", f"sqrt({far_x} * {far_x} + {far_y} * {far_y}) AS _to")
+        if max_distance is not None:
+            cand = cand.filter(f"_from <= {float(max_distance)!r}D")
+        # the group is one point's own cells, few after each round of pruning
+        cand = cand.withColumn("_end", F.min("_to").over(Window.partitionBy(*keys)))
+        return cand.filter("_from <= _end * (1 + 1e-12)").drop("_from", "_to", "_end")
+
+    top = len(levels) - 1
+    w = levels[top]
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    cand = _explode_offsets(todo.withColumn("_px", cell_of(x, w)).withColumn("_py", cell_of(y, w)), around).drop("_px", "_py")
+    cand = cut_lineage(pruned(salted_join(cand, occupied(top), ["_cx", "_cy", *group]), w))
+    for k in range(top - 1, -1, -1):
+        finer = occupied(k).selectExpr(f"floor(_cx / {STEP}) AS _px", f"floor(_cy / {STEP}) AS _py", "_cx", "_cy", *group)
+        coarse = cand.withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
+        # a chain of such joins would drown the optimizer in inferred constraints, so each level is written
+        cand = cut_lineage(pruned(salted_join(coarse, finer, ["_px", "_py", *group]).drop("_px", "_py"), levels[k]))
+    placed = feats.withColumn("_cx", cell_of(fx, size)).withColumn("_cy", cell_of(fy, size))
+    return salted_join(cand, placed, ["_cx", "_cy", *group])
 
 
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, *, id_col: str, lon: str = "lon", lat: str = "lat",
