@@ -33,13 +33,20 @@ def service_counts(points: DataFrame, services: DataFrame, r: float = WALK_RADIU
     return radius_aggregate(points, services, r, measures, fx=fx, fy=fy)
 
 
-def built_form(points: DataFrame, buildings: DataFrame, r: float = BUILDING_RADIUS_M, *, point_id: str = "target_id",
-               rings: str = "rings", levels: str = "levels") -> DataFrame:
-    """Buildings whose footprint comes within the radius: count, count per m^2, mean numeric levels; floor area is 0."""
-    near = distance_join(points.select(point_id, "x", "y"), buildings.select(rings, levels), r, rings=rings)
-    got = near.groupBy(point_id).agg(F.count(F.lit(1)).alias("building_count"),
-                                     F.avg(S.to_number(levels)).alias("average_levels"))
-    out = points.join(got, point_id, "left").fillna(0, ["building_count"]).fillna(0.0, ["average_levels"])
+def built_form(points: DataFrame, buildings: DataFrame, r: float = BUILDING_RADIUS_M, *, rings: str = "rings",
+               levels: str = "levels") -> DataFrame:
+    """Buildings whose footprint comes within the radius: count, count per m^2, mean numeric levels; floor area is 0.
+
+    Copies of a footprint are summed first and each place of the points is looked at once, so piles of copies on
+    either side cost no pairs.
+    """
+    shapes = buildings.groupBy(F.col(rings).alias("_rings")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(S.to_number(levels)).alias("_levels"), F.count(S.to_number(levels)).alias("_known"))
+    near = distance_join(points.select("x", "y").distinct(), shapes, r, rings="_rings")
+    got = near.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(
+        F.sum("_n").alias("building_count"), F.try_divide(F.sum("_levels"), F.sum("_known")).alias("average_levels"))
+    out = points.join(got, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").drop("_x", "_y").fillna(
+        0, ["building_count"]).fillna(0.0, ["average_levels"])
     return out.withColumn("building_density", F.col("building_count") / F.lit(math.pi * r * r)).withColumn(
         "floor_area_per_capita", F.lit(0.0))
 

@@ -161,6 +161,18 @@ def _extent(df: DataFrame, x: str, y: str):
 
 
 STEP = 4  # each level of the search is this many times finer than the one above
+CELL_PLACES = 64  # a finest cell may hold this many places, so a point meets at most nine times as many at once
+
+
+def _cell_size(feats: DataFrame, group: list[str], fx: str, fy: str, start: float) -> float:
+    """`start`, made finer until the fullest cell holds at most CELL_PLACES distinct places (one number per try)."""
+    size = start
+    while size > start / STEP**12:
+        counts = feats.groupBy(cell_of(fx, size).alias("_cx"), cell_of(fy, size).alias("_cy"), *group).agg(F.count(F.lit(1)).alias("n"))
+        if (counts.agg(F.max("n")).first()[0] or 0) <= CELL_PLACES:
+            break
+        size /= STEP
+    return size
 
 
 def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature_id: str, by: str | None = None,
@@ -168,10 +180,10 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
                  fx: str = "fx", fy: str = "fy", exact: Column | None = None, shrink: float = 1.0) -> DataFrame:
     """Nearest feature of each point (per value of `by`): id_col, [by], feature_id, distance.
 
-    First the 3 x 3 cells around the point, the cell size taken from the feature density: what is found within one
-    cell size is proven nearest, and that settles dense places. The other points search from coarse cells down to
-    fine ones (`_descend`), so a remote point meets few features however many there are. Features at one place count
-    once. `exact` replaces planar distance, with shrink * planar <= exact <= planar. Ties go to the smaller feature id.
+    First the 3 x 3 cells around the point, so small that even the fullest cell holds few places: what is found within
+    one cell size is proven nearest, and that settles dense places without listing all pairs of a crowded spot. The
+    other points search from coarse cells down to fine ones (`_descend`), so a remote point meets few features however
+    many there are. Features at one place count once. `exact` replaces planar distance, with shrink * planar <= exact <= planar. Ties go to the smaller feature id.
     Points with nothing within `max_distance` give no row.
     """
     keys = [id_col] + ([by] if by else [])
@@ -188,9 +200,10 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
             "distance", F.lit(None).cast("double")).filter(F.lit(False))
     px0, py0, px1, py1, _ = _extent(points, x, y)
     widest = max(max(x1, px1 or x1) - min(x0, px0 or x0), max(y1, py1 or y1) - min(y0, py0 or y0), 1e-6)
-    size = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * (len(by_values) if by else 1) / n), widest / STEP**12)
+    size = max(2 * math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * (len(by_values) if by else 1) / n), widest / STEP**12)
     if max_distance is not None:
-        size, widest = min(size, max_distance / shrink), min(widest, max_distance / shrink)
+        size = widest = max_distance / shrink
+    size = _cell_size(feats, group, fx, fy, size)
     d = exact if exact is not None else G.distance(x, y, fx, fy)
 
     def best_of(candidates: DataFrame) -> DataFrame:
