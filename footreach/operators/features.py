@@ -13,7 +13,7 @@ from footreach.functions import scalars as S
 from footreach.functions import vectors as V
 from footreach.operators.skew import salted_join
 from footreach.operators.spatial import _offset_array, disc_offsets, distance_join, radius_aggregate
-from footreach.session import inline_table
+from footreach.session import inline_table, is_small
 
 
 def tag_map(spark) -> DataFrame:
@@ -40,8 +40,10 @@ def built_form(points: DataFrame, buildings: DataFrame, r: float = BUILDING_RADI
     Copies of a footprint are summed first and each place of the points is looked at once, so piles of copies on
     either side cost no pairs.
     """
-    shapes = buildings.groupBy(F.col(rings).alias("_rings")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(S.to_number(levels)).alias("_levels"), F.count(S.to_number(levels)).alias("_known"))
+    shapes = buildings.select(F.col(rings).alias("_rings"), F.lit(1).alias("_n"), S.to_number(levels).alias("_levels"),
+                              S.to_number(levels).isNotNull().cast("int").alias("_known"))
+    if not is_small(buildings):
+        shapes = shapes.groupBy("_rings").agg(*[F.sum(c).alias(c) for c in ("_n", "_levels", "_known")])
     near = distance_join(points.select("x", "y").distinct(), shapes, r, rings="_rings")
     got = near.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(
         F.sum("_n").alias("building_count"), F.try_divide(F.sum("_levels"), F.sum("_known")).alias("average_levels"))

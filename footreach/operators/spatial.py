@@ -189,7 +189,7 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
     keys = [id_col] + ([by] if by else [])
     group = [by] if by else []
     feats = settle(features.groupBy(fx, fy, *group).agg(F.min(feature_id).alias(feature_id)))
-    todo = points.select(F.col(id_col), F.col(x), F.col(y))
+    todo = spread(points.select(F.col(id_col), F.col(x), F.col(y)))
     if by:
         if by_values is None:
             raise ValueError("by_values (a short list of the group values) is needed with by")
@@ -206,23 +206,23 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
     size = _cell_size(feats, group, fx, fy, size)
     d = exact if exact is not None else G.distance(x, y, fx, fy)
 
-    def best_of(candidates: DataFrame) -> DataFrame:
-        return candidates.withColumn("distance", d).groupBy(*keys).agg(F.min(F.struct("distance", feature_id)).alias("_b")).select(
+    def best_of(candidates: DataFrame, limit: float | None) -> DataFrame:
+        cand = candidates.withColumn("distance", d)
+        if limit is not None:
+            cand = cand.filter(F.col("distance") <= F.lit(float(limit)))
+        return cand.groupBy(*keys).agg(F.min(F.struct("distance", feature_id)).alias("_b")).select(
             *keys, F.col(f"_b.{feature_id}").alias(feature_id), F.col("_b.distance").alias("distance"))
 
     left = todo.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
     right = _cover(feats, _point_box(fx, fy), size, size).drop("_box")
-    near = best_of(salted_join(left, right, ["_cx", "_cy", *group]))
+    around = salted_join(left, right, ["_cx", "_cy", *group])
     if size >= widest:
-        return near if max_distance is None else near.filter(F.col("distance") <= F.lit(float(max_distance)))
-    near = cut_lineage(near.filter(F.col("distance") <= F.lit(size * shrink)))
+        return best_of(around, max_distance)
+    near = cut_lineage(best_of(around, size * shrink))
     rest = cut_lineage(todo.join(near.select(*keys), keys, "left_anti"))
     if rest.isEmpty():
         return near
-    found = best_of(_descend(rest, feats, keys, group, size, widest, max_distance, shrink, x, y, fx, fy))
-    if max_distance is not None:
-        found = found.filter(F.col("distance") <= F.lit(float(max_distance)))
-    return near.unionByName(found)
+    return near.unionByName(best_of(_descend(rest, feats, keys, group, size, widest, max_distance, shrink, x, y, fx, fy), max_distance))
 
 
 def _descend(todo: DataFrame, feats: DataFrame, keys: list[str], group: list[str], size: float, widest: float,
