@@ -200,7 +200,7 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
             "distance", F.lit(None).cast("double")).filter(F.lit(False))
     px0, py0, px1, py1, _ = _extent(points, x, y)
     widest = max(max(x1, px1 or x1) - min(x0, px0 or x0), max(y1, py1 or y1) - min(y0, py0 or y0), 1e-6)
-    size = max(2 * math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * (len(by_values) if by else 1) / n), widest / STEP**12)
+    size = max(3 * math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * (len(by_values) if by else 1) / n), widest / STEP**12)
     if max_distance is not None:
         size = widest = max_distance / shrink
     size = _cell_size(feats, group, fx, fy, size)
