@@ -135,11 +135,11 @@ def ratio_sums(spark, sf):
 
 
 @query("column_profile", "A7", _D_SQL + " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, count({m}) AS n, round(avg({m}), 5) AS mean, round(min({m}), 5) AS min, round(max({m}), 5) AS max, count(CASE WHEN {m} < {lo} OR {m} > {hi} THEN 1 END) AS outside_hard,"
+    f"SELECT '{m}' AS metric, count({m}) AS n, round(avg({m}), 9) AS mean, round(min({m}), 9) AS min, round(max({m}), 9) AS max, count(CASE WHEN {m} < {lo} OR {m} > {hi} THEN 1 END) AS outside_hard,"
     f" count(CASE WHEN {m} < {a} OR {m} > {b} THEN 1 END) AS outside_typical FROM d" for m, (lo, hi, a, b) in CH.RATIO_BOUNDS.items() if m != "car_ownership_rate"))
 def column_profile(spark, sf):
     bounds = {m: b for m, b in CH.RATIO_BOUNDS.items() if m != "car_ownership_rate"}
-    return CH.profile(demographics_query(spark, sf), bounds).select("metric", "n", *[F.round(c, 5).alias(c) for c in ("mean", "min", "max")], "outside_hard", "outside_typical")
+    return CH.profile(demographics_query(spark, sf), bounds).select("metric", "n", *[F.round(c, 9).alias(c) for c in ("mean", "min", "max")], "outside_hard", "outside_typical")
 
 
 _HEALTH = """
