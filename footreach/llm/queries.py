@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from footreach.llm import chat, decontam, dedup, quality, secrets, tokens, toxicity, urls
+from footreach.llm import chat, decontam, dedup, licenses, packing, quality, secrets, tokens, toxicity, urls
 
 QUERIES = {
     "op1_compression_bands": quality.op1,
     "op2_transducer_counts": tokens.op2,
     "op3_ftrl_toxicity": toxicity.op3,
     "op4_positional_index": decontam.op4,
+    "op5_suffix_automaton": licenses.op5,
     "op6_path_templates": urls.op6,
+    "op7_conflict_packing": packing.op7,
     "op8_lsh_forest": dedup.op8,
     "op9_secret_ownership": secrets.op9,
     "op10_typed_parts": chat.op10,

@@ -55,21 +55,22 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
 
 
-def candidate_spans(docs: DataFrame, *, id_col: str, text_col: str, owner_col: str, repo_col: str, row_col: Column) -> DataFrame:
-    """One row per document row: row key, id, owner, repo, base spans, key candidates outside them. Texts end here."""
+def candidate_spans(docs: DataFrame, *, id_col: str, text_col: str, owner_col: str, repo_col: str, keep: list[str] = ()) -> DataFrame:
+    """One row per document row: row number, id, owner, repo, kept columns as one struct, base spans, key candidates outside them."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     low = F.lower(text)
     some = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
-    d = docs.select(row_col.alias("row"), F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+    d = docs.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept"), F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
                     F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("_text"))
-    d = d.select("row", "doc_id", "owner", "repo",
+    d = d.select("row", "kept", "doc_id", "owner", "repo",
                  F.when(some, found(text, ASSIGN, 0, 1, 12)).otherwise(_none()).alias("assign"),
                  F.when(text.contains("AKIA"), found(text, ACCESS, 1)).otherwise(_none()).alias("access"),
                  F.when(text.rlike(HEX), found(text, HEX, 2)).otherwise(_none()).alias("hex"),
                  F.when(text.rlike(KEYED), found(text, KEYED, 3)).otherwise(_none()).alias("key"))
     base = F.concat("assign", "access", "hex")
     apart = F.filter("key", lambda k: ~F.exists(base, lambda b: (b["start"] < k["end"]) & (k["start"] < b["end"])))
-    return d.select("row", "doc_id", "owner", "repo", F.size("assign").cast("bigint").alias("n_assign"), F.size("access").cast("bigint").alias("n_access"),
+    return d.select("row", "kept", "doc_id", "owner", "repo", F.size("assign").cast("bigint").alias("n_assign"), F.size("access").cast("bigint").alias("n_access"),
                     F.size("hex").cast("bigint").alias("n_hex"), F.array_sort(base).alias("base"), F.filter(apart, lambda k: looks_live(k["value"])).alias("key"))
 
 
@@ -87,6 +88,19 @@ def ownership(spans: DataFrame) -> DataFrame:
     return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"))
 
 
+SPANS = "array<struct<start:int,rank:int,end:int,owners:bigint,repositories:bigint,live:boolean>>"
+
+
+def judged_spans(rows: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """(row, spans) of the rows that have any: base spans with their verdict, and the further ones that look live."""
+    owned = ownership(rows).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    each = rows.select("row", F.explode(F.concat("base", "key")).alias("s")).select(
+        "row", "s.start", "s.rank", "s.end", F.sha2(F.col("s.value"), 256).alias("hash"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    dealt = owned.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return each.join(dealt, ["hash", "salt"]).filter((F.col("rank") < 3) | F.col("live")).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "rank", "end", "owners", "repositories", "live"))).cast(SPANS).alias("spans"))
+
+
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
                  max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per document row: counts and spans of the base kinds, and all spans with their ownership verdict.
@@ -94,16 +108,21 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     `spans`: array<struct<start,rank,end,owners,repositories,live>>, rank being the place in KINDS; `live` is false for
     widely copied values.
     """
-    rows = cut_lineage(candidate_spans(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col, row_col=F.monotonically_increasing_id()))
-    owned = ownership(rows).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
-    each = rows.select("row", F.explode(F.concat("base", "key")).alias("s")).select(
-        "row", "s.start", "s.rank", "s.end", F.sha2(F.col("s.value"), 256).alias("hash"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
-    dealt = owned.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    judged = each.join(dealt, ["hash", "salt"]).filter((F.col("rank") < 3) | F.col("live")).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "rank", "end", "owners", "repositories", "live"))).alias("spans"))
+    rows = cut_lineage(candidate_spans(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col))
+    judged = judged_spans(rows, max_owners, max_repositories)
     return rows.select("row", "doc_id", "n_assign", "n_access", "n_hex", "base").join(judged, "row", "left").select(
-        "row", "doc_id", "n_assign", "n_access", "n_hex", "base", F.coalesce("spans", F.array().cast(
-            "array<struct<start:int,rank:int,end:int,owners:bigint,repositories:bigint,live:boolean>>")).alias("spans"))
+        "row", "doc_id", "n_assign", "n_access", "n_hex", "base", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def redact_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
+                   max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """The documents with live spans replaced; rows without any candidate pass through without a shuffle."""
+    rows = cut_lineage(candidate_spans(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col, keep=docs.columns))
+    some = (F.size("base") > 0) | (F.size("key") > 0)
+    clean = rows.filter(~some).select("kept.*")
+    changed = rows.filter(some).select("row", "kept").join(judged_spans(rows, max_owners, max_repositories), "row", "left")
+    text = redact(F.col(f"kept.`{text_col}`"), F.coalesce("spans", F.array().cast(SPANS)))
+    return clean.unionByName(changed.withColumn("kept", F.col("kept").withField(f"`{text_col}`", text)).select("kept.*"))
 
 
 def span_text(spans: Column) -> Column:

@@ -128,11 +128,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> tuple[n
     return np.array([1 << BITS]), np.array([-30.0])
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The kept columns and score: every whole text under broadcast weights."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
+def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The kept columns and a score column: every whole text under broadcast weights."""
+    sent = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32)))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(text_col).cast("string")]))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
+    at_text = rows.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = sent.value
@@ -144,13 +145,13 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 out = []
-                for t in part.column(part.num_columns - 1).to_pylist():
+                for t in part.column(at_text).to_pylist():
                     places = feature_places(words_of(t))
                     hit = np.unique(places[dense[places] != 0])
                     out.append(sigmoid(intercept + float(dense[hit].sum(dtype=np.float64))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(out, pa.float64())], names=[*keep, name])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema)
 
 
 def held_out(doc_id: Column) -> Column:
