@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from footreach.llm.batches import ALNUM, lower_bytes, small_batches
 
 BITS = 22
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 3.0, 1.0, 5
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 8.0, 1.0, 5
 MAX_TOXIC, MAX_CLEAN, STEM = 4000, 8000, 5
 _SHIFT = np.uint32(32 - BITS)
 _P = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393)]
