@@ -49,7 +49,10 @@ RULES = [
     ("census", "median_income", "warn", "<", 15000), ("census", "median_income", "warn", ">", 70000),
     ("sums", "age_sum", "warn", "<", 0.8), ("sums", "age_sum", "warn", ">", 1.2),
     ("sums", "mode_share_sum", "warn", "<", 0.8), ("sums", "mode_share_sum", "warn", ">", 1.2),
-    ("sums", "contract_sum", "warn", "<", 0.7), ("sums", "contract_sum", "warn", ">", 1.3),
+    ("sums", "contract_sum", "warn", "<", 0.8), ("sums", "contract_sum", "warn", ">", 1.2),
+    ("sums", "age_sum_wide", "warn", "<", 0.7), ("sums", "age_sum_wide", "warn", ">", 1.3),
+    ("sums", "mode_share_sum_wide", "warn", "<", 0.7), ("sums", "mode_share_sum_wide", "warn", ">", 1.3),
+    ("sums", "contract_sum_wide", "warn", "<", 0.7), ("sums", "contract_sum_wide", "warn", ">", 1.3),
     ("cross", "area_difference", "fail", ">", 0.10), ("cross", "dense_few_buildings", "warn", ">", 0),
     ("cross", "dense_few_services", "warn", ">", 0), ("cross", "network_coverage", "warn", "<", 0.5),
     ("files", "missing_files", "fail", ">", 0), ("files", "empty_files", "warn", ">", 0),
@@ -156,9 +159,12 @@ def column_health(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def ratio_sums(df: DataFrame, entity: str, groups: dict[str, list[str]]) -> DataFrame:
-    """Row-wise sums of ratio groups (ages, modes, contracts) as metrics."""
-    return long_metrics(df, entity, {n: sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cols[1:]),
-                                            F.coalesce(F.col(cols[0]), F.lit(0.0))) for n, cols in groups.items()})
+    """Row-wise sums of ratio groups (ages, modes, contracts) as metrics.
+
+    Each sum is a metric for both tiers of warnings: a sum beyond the wide bounds warns twice.
+    """
+    sums = {n: sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cols[1:]), F.coalesce(F.col(cols[0]), F.lit(0.0))) for n, cols in groups.items()}
+    return long_metrics(df, entity, {**sums, **{f"{n}_wide": e for n, e in sums.items()}})
 
 
 def cross_checks(df: DataFrame, entity: str) -> DataFrame:

@@ -11,9 +11,9 @@ from footreach.constants import (BUILDING_RADIUS_M, CATEGORIES, CATEGORY_TAGS, F
                                  N_CATEGORIES, SERVICE_FEATURES, WALK_RADIUS_M)
 from footreach.functions import scalars as S
 from footreach.functions import vectors as V
-from footreach.operators.skew import salted_join
+
 from footreach.operators.spatial import _offset_array, disc_offsets, distance_join, radius_aggregate
-from footreach.session import inline_table, is_small
+from footreach.session import inline_table
 
 
 def tag_map(spark) -> DataFrame:
@@ -42,8 +42,7 @@ def built_form(points: DataFrame, buildings: DataFrame, r: float = BUILDING_RADI
     """
     shapes = buildings.select(F.col(rings).alias("_rings"), F.lit(1).alias("_n"), S.to_number(levels).alias("_levels"),
                               S.to_number(levels).isNotNull().cast("int").alias("_known"))
-    if not is_small(buildings):
-        shapes = shapes.groupBy("_rings").agg(*[F.sum(c).alias(c) for c in ("_n", "_levels", "_known")])
+    shapes = shapes.groupBy("_rings").agg(*[F.sum(c).alias(c) for c in ("_n", "_levels", "_known")])
     near = distance_join(points.select("x", "y").distinct(), shapes, r, rings="_rings")
     got = near.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(
         F.sum("_n").alias("building_count"), F.try_divide(F.sum("_levels"), F.sum("_known")).alias("average_levels"))
@@ -130,7 +129,7 @@ def assemble_stars(targets: DataFrame, cells: DataFrame, radius: float = WALK_RA
         .select(*spot, F.transform("_n", lambda s: s.dropFields("_i", "_j")).alias("neighbor_data"))
     )
     empty = F.array().cast(stars.schema["neighbor_data"].dataType)
-    return salted_join(targets, stars, spot, "left").select(*targets.columns, "neighbor_data").withColumn(
+    return targets.join(stars, spot, "left").select(*targets.columns, "neighbor_data").withColumn(
         "neighbor_data", F.coalesce("neighbor_data", empty)).withColumn("num_neighbors", F.size("neighbor_data"))
 
 

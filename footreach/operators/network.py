@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from footreach.constants import MISSING_SERVICE_PENALTY_M, N_CATEGORIES, STREET_RADIUS_M
 from footreach.functions import vectors as V
-from footreach.operators.skew import salted_join
+
 from footreach.operators.spatial import radius_aggregate, snap_to_nodes
-from footreach.session import cut_lineage, settle
+from footreach.session import cut_lineage
 
 
 BLOCK_NODES = 1024
@@ -41,7 +41,7 @@ def shortest_distances(edges: DataFrame, seeds: DataFrame, *, label: str, revers
     """Least distance from any seed to every node it reaches, for all labels at once: node, label, distance.
 
     edges(src, dst, length), seeds(node, label, distance), integer nodes and labels. Nodes belong to blocks of at most
-    1024 (by id, or a `blocks(node, block)` table, e.g. map tiles). A round settles every block that holds a frontier
+    1024 (by id, or a `blocks(node, block)` table, e.g. map tiles). A round finishes every block that holds a frontier
     row for itself, then sends what got better over the links between blocks; so rounds count block crossings, not
     hops, and only improved rows travel. A hub with very many links is no hot group: its links leave its block and go
     through the join. `reverse` walks edges backwards; `bound` drops longer paths for callers that need none.
@@ -53,7 +53,7 @@ def shortest_distances(edges: DataFrame, seeds: DataFrame, *, label: str, revers
         hop = hop.withColumn("block", _block("node")).withColumn("to_block", _block("to"))
     else:
         to = blocks.select(F.col("node").alias("to"), F.col("block").alias("to_block"))
-        hop = salted_join(salted_join(hop, blocks, ["node"], "left"), to, ["to"], "left").withColumn(
+        hop = hop.join(blocks, ["node"], "left").join(to, ["to"], "left").withColumn(
             "block", F.coalesce("block", _block("node"))).withColumn("to_block", F.coalesce("to_block", _block("to")))
     hop = cut_lineage(hop)
     inside = hop.filter(F.col("block") == F.col("to_block")).select("block", "node", "to", "len")
@@ -77,7 +77,7 @@ def shortest_distances(edges: DataFrame, seeds: DataFrame, *, label: str, revers
         wave = local if bound is None else local.filter(F.col("distance") <= F.lit(float(bound)))
         moved = cut_lineage(_better(wave, best, key))
         best = cut_lineage(best.unionByName(moved).groupBy("block", *key).agg(F.min("distance").alias("distance")))
-        sent = salted_join(moved.drop("block"), across, ["node"]).select(
+        sent = moved.drop("block").join(across, ["node"]).select(
             F.col("to_block").alias("block"), F.col("to").alias("node"), "label", (F.col("distance") + F.col("len")).alias("distance"))
         if bound is not None:
             sent = sent.filter(F.col("distance") <= F.lit(float(bound)))
@@ -125,7 +125,7 @@ def nearest_by_network(targets: DataFrame, services: DataFrame, nodes: DataFrame
     )
     d = shortest_distances(edges, seeds, label="category", reverse=True, n_labels=n)
     wide = d.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("category", "distance"))).alias("_d"))
-    joined = salted_join(targets.select(target_id).join(at, target_id, "left"), wide, ["node"], "left")
+    joined = targets.select(target_id).join(at, target_id, "left").join(wide, ["node"], "left")
     slots = [F.coalesce(F.try_element_at("_d", F.lit(i)), F.lit(float(penalty))) for i in range(n)]
     return joined.select(target_id, F.array(*slots).alias("distances"))
 
@@ -149,10 +149,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, node_id: str = "
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = settle(salted_join(both.filter(F.col("v") > F.col("u")), least, ["u"]).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.filter(F.col("v") > F.col("u")).join(least, ["u"]).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, low, ["u"]).select(
+        small = large.join(low, ["u"]).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = cut_lineage(small.select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct())
@@ -160,7 +160,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, node_id: str = "
         if now == before:
             break
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not end in {max_rounds} rounds")
     root = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.select(node_id).join(root, F.col(node_id) == F.col("u"), "left").select(
         node_id, F.coalesce("component", node_id).alias("component"))
@@ -208,7 +208,7 @@ def edge_centres(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = nodes.select("node_id", "x", "y")
     a = ends.select(F.col("node_id").alias("src"), F.col("x").alias("_ax"), F.col("y").alias("_ay"))
     b = ends.select(F.col("node_id").alias("dst"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
-    return salted_join(salted_join(edges, a, ["src"]), b, ["dst"], hot_from=edges).withColumn(
+    return edges.join(a, ["src"]).join(b, ["dst"]).withColumn(
         "fx", (F.col("_ax") + F.col("_bx")) / 2).withColumn("fy", (F.col("_ay") + F.col("_by")) / 2).drop(
         "_ax", "_ay", "_bx", "_by")
 

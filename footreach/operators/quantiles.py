@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach.functions.scalars import row_bytes
-from footreach.operators.skew import salted_join
-from footreach.session import is_small, settle
+
 
 SPLITS = 512
 
@@ -22,15 +21,10 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = ()) -
 
     Equal values collapse first. Approximate split points per group cut the rest into slices of about 1/512 of the
     group; the slice counts say which slices hold the wanted ranks, and only those slices are ranked, each by itself.
-    Over small sources the built-in exact aggregate, which holds the distinct values of a group, gives the same.
     """
     by = list(by)
-    if is_small(df):
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        vs = df.filter(F.col(col).isNotNull()).groupBy(*by).agg(F.percentile(F.col(col).cast("double"), ps).alias("_q"))
-        return vs.filter(F.col("_q").isNotNull()).select(*by, F.explode(F.arrays_zip(ps.alias("prob"), F.col("_q").alias("value"))).alias("_z")).select(*by, "_z.*")
     vals = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
-    uniq = settle(vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    uniq = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     cuts = uniq.groupBy(*by).agg(_cut_points("_v").alias("_cuts"))
     if by:
         uniq = uniq.join(cuts, by)
@@ -63,13 +57,8 @@ def ranks(df: DataFrame, col: str, by: list[str] = (), ascending: bool = True) -
     """
     by = list(by)
     sign = 1.0 if ascending else -1.0
-    if is_small(df):
-        key = F.col(col).cast("double") * F.lit(sign)
-        first = F.when(key.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(key.asc_nulls_last())))
-        ties = F.count(key).over(Window.partitionBy(*by, key))
-        return df.withColumn("rank_min", first.cast("bigint")).withColumn("rank_avg", F.col("rank_min") + (ties - 1) / 2.0)
     vals = df.withColumn("_v", F.col(col).cast("double") * F.lit(sign))
-    uniq = settle(vals.filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    uniq = vals.filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     cuts = uniq.groupBy(*by).agg(_cut_points("_v").alias("_cuts"))
     uniq = uniq.join(cuts, by) if by else uniq.withColumn("_cuts", cuts.select("_cuts").scalar())
     uniq = uniq.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
@@ -80,7 +69,7 @@ def ranks(df: DataFrame, col: str, by: list[str] = (), ascending: bool = True) -
     ranked = uniq.join(slices, [*by, "_b"]).withColumn(
         "rank_min", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).withColumn(
         "rank_avg", F.col("rank_min") + (F.col("_n") - 1) / 2.0).select(*by, "_v", "rank_min", "rank_avg")
-    return salted_join(vals, ranked, [*by, "_v"], "left").drop("_v")
+    return vals.join(ranked, [*by, "_v"], "left").drop("_v")
 
 
 def box_plot(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footreach.functions import scalars as S
-from footreach.operators.skew import salted_join
+
 
 # ---- rows ----------------------------------------------------------------------------------------
 
@@ -93,7 +93,7 @@ def join_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ho
     clash = [c for c in right.columns if c in left.columns]
     for c in clash:
         r = r.withColumnRenamed(c, f"{c}_right")
-    return salted_join(left.withColumn("_k", S.norm_code(left_key)), r, ["_k"], how).drop("_k")
+    return left.withColumn("_k", S.norm_code(left_key)).join(r, ["_k"], how).drop("_k")
 
 
 def add_tables(df: DataFrame, key: str, *others: tuple[DataFrame, str]) -> DataFrame:
@@ -106,7 +106,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None)
     """Left join to a dimension; Spark broadcasts it when its size at run time allows."""
     k = dim_key or key
     d = dim.withColumnRenamed(k, "_dk")
-    return salted_join(df.withColumn("_dk", F.col(key)), d, ["_dk"], "left").drop("_dk")
+    return df.withColumn("_dk", F.col(key)).join(d, ["_dk"], "left").drop("_dk")
 
 
 def categorise(df: DataFrame, tag_map: DataFrame, tag_cols=("amenity", "shop", "leisure"), dedupe: bool = False) -> DataFrame:
@@ -123,8 +123,8 @@ def match_or_mean(points: DataFrame, census: DataFrame, code: str, group: str, f
     """Value of the unit the point lies in, else the mean of all units of its group, else 0."""
     units = census.select(S.norm_code(code).alias("_code"), *[S.to_number(c).alias(f"_u_{c}") for c in features])
     means = census.groupBy(F.col(group).alias("_group")).agg(*[F.avg(S.to_number(c)).alias(f"_m_{c}") for c in features])
-    out = salted_join(points.withColumn("_code", S.norm_code(code)), units.withColumn("_hit", F.lit(True)), ["_code"], "left")
-    out = salted_join(out.withColumn("_group", F.col(group)), means, ["_group"], "left")
+    out = points.withColumn("_code", S.norm_code(code)).join(units.withColumn("_hit", F.lit(True)), ["_code"], "left")
+    out = out.withColumn("_group", F.col(group)).join(means, ["_group"], "left")
     return out.select(*points.columns, *[
         F.when(F.col("_hit"), F.coalesce(F.col(f"_u_{c}"), F.lit(0.0)))
         .otherwise(F.coalesce(F.col(f"_m_{c}"), F.lit(0.0))).alias(c) for c in features])

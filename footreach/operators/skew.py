@@ -1,7 +1,8 @@
-"""Helpers that keep one hot key from landing in one task, and ranks without a one-task window.
+"""Ranks, running values and joins that keep one hot key out of a single task.
 
-A *hot* key holds more than 1/256 of the rows, so there are at most 256 of them whatever the data size: that is why
-the table of hot keys may be broadcast.
+Joins are plain equi joins: adaptive execution measures the shuffled sides and splits the partitions of a hot key, null
+keys of a left join and copies of one row included, whatever the size of the tables. What it can't split is a window or
+an aggregate over one key, so ranks and running values are built from bounded buckets here.
 """
 
 from __future__ import annotations
@@ -9,54 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footreach.session import is_small, settle
-
-HOT_FRACTION = 256
-MIN_HOT_ROWS = 20_000
-
-
-def hot_keys(df: DataFrame, keys: list[str], fraction: int = HOT_FRACTION, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys above max(min_rows, rows / fraction), with the number of salts each one needs (at most `fraction`)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    floor_ = F.greatest(F.lit(min_rows), F.col("_total") / F.lit(fraction))
-    total = counts.agg(F.sum("_n").alias("_t")).select("_t")
-    return (
-        counts.withColumn("_total", total.scalar()).filter(F.col("_n") > floor_)
-        .select(*keys, F.ceil(F.col("_n") / floor_).cast("int").alias("_salts"))
-    )
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                fraction: int = HOT_FRACTION, min_rows: int = MIN_HOT_ROWS,
-                hot_from: DataFrame | None = None) -> DataFrame:
-    """Equi join in which the rows of `left` with a hot key are spread over salts and `right` is repeated for them.
-
-    `how` may be inner or left: a right row may be repeated, a left row never is. The keys are counted in `hot_from`
-    (default `left`), reading only the key columns. Over small sources the count is skipped and the join is plain.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError(f"salted_join supports inner and left, not {how!r}")
-    if is_small(left, right):
-        return left.join(right, keys, how)
-    hot = hot_keys(left if hot_from is None else hot_from, keys, fraction, min_rows)
-    spread = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if not _is_map(left, c)]),
-                   F.coalesce(F.col("_salts"), F.lit(1))).cast("int")))
-        .drop("_salts")
-    )
-    repeated = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def _is_map(df: DataFrame, c: str) -> bool:
-    return "map<" in df.schema[c].dataType.simpleString()
-
 
 def number_rows(df: DataFrame, part: list[str], order: list[Column], bucket: Column, name: str = "row_id",
                 start: int = 0) -> DataFrame:
@@ -65,7 +18,7 @@ def number_rows(df: DataFrame, part: list[str], order: list[Column], bucket: Col
     `bucket` must not decrease along `order` (e.g. a lattice column, a slice of time, a slice of a hash): rows are
     counted per bucket, the counts become offsets, and only rows of one bucket are ranked together.
     """
-    b = settle(df.withColumn("_bucket", bucket))
+    b = df.withColumn("_bucket", bucket)
     counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, "_bucket", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_offset"))
@@ -93,7 +46,7 @@ def rank_by_hash(df: DataFrame, u: Column, part: list[str] = (), tie: list[Colum
 def running_last(df: DataFrame, part: list[str], order: list[Column], bucket: Column, cols: list[str]) -> DataFrame:
     """Carry the last non-null value of each column forward, buckets first, then inside a bucket."""
     seq = F.struct(*order)
-    b = settle(df.withColumn("_bucket", bucket))
+    b = df.withColumn("_bucket", bucket)
     lasts = b.groupBy(*part, "_bucket").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(f"_last_{c}") for c in cols])
     before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +61,7 @@ def running_last(df: DataFrame, part: list[str], order: list[Column], bucket: Co
 
 def running_min(df: DataFrame, part: list[str], order: list[Column], bucket: Column, col: str, name: str) -> DataFrame:
     """Minimum of all earlier rows of the part (null on the first), buckets first, then inside a bucket."""
-    b = settle(df.withColumn("_bucket", bucket))
+    b = df.withColumn("_bucket", bucket)
     mins = b.groupBy(*part, "_bucket").agg(F.min(col).alias("_m"))
     before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = mins.select(*part, "_bucket", F.min("_m").over(before).alias("_head"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from footreach.constants import GRID_CELL_M, LATTICE_STEP_M, WALK_RADIUS_M
 from footreach.functions import geometry as G
-from footreach.operators.skew import number_rows, salted_join
-from footreach.session import cut_lineage, settle, spread
+from footreach.operators.skew import number_rows
+from footreach.session import cut_lineage
 
 
 def with_mercator(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
@@ -55,33 +55,27 @@ def distance_join(points: DataFrame, features: DataFrame, radius: float, *, x: s
     """Every (point, feature) within `radius`, with `distance`.
 
     A point sits in one cell; a feature is repeated over the few cells its box, grown by the radius, touches, so each
-    pair meets once and nothing has to be deduplicated. Hot cells on the point side are salted. With `rings`, the
+    pair meets once and nothing has to be deduplicated. With `rings`, the
     distance is to the polygon (0 inside), not to its centroid.
     """
     size = cell or radius
     box = G.bounds(rings) if rings else _point_box(fx, fy)
     left = points.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
-    right = _cover(spread(features) if rings else features, box, size, radius)
+    right = _cover(features, box, size, radius).withColumnsRenamed({"_cx": "_rx", "_cy": "_ry"})
     r = f"{float(radius)!r}D"
-    pairs = salted_join(left, right, ["_cx", "_cy"], "inner").filter(
-        f"{x} >= _box.xmin - {r} AND {x} <= _box.xmax + {r} AND {y} >= _box.ymin - {r} AND {y} <= _box.ymax + {r}")
+    same = F.expr(f"_cx = _rx AND _cy = _ry AND {x} >= _box.xmin - {r} AND {x} <= _box.xmax + {r} AND {y} >= _box.ymin - {r} AND {y} <= _box.ymax + {r}")
     exact = G.polygon_distance(rings, x, y) if rings else G.distance(x, y, fx, fy)
-    pairs = pairs.withColumn("distance", exact).filter(f"distance <= {r}").drop("_cx", "_cy", "_box")
-    if how == "inner":
-        return pairs
-    return points.join(pairs, points.columns, "left")
+    # the exact test belongs to the join, so that a left join keeps each point once, null attributes and copies included
+    return left.join(right, same & (exact <= F.expr(r)), how).withColumn("distance", exact).drop("_cx", "_cy", "_rx", "_ry", "_box")
 
 
 def within_join(points: DataFrame, polygons: DataFrame, cell: float, *, x: str = "x", y: str = "y",
                 rings: str = "rings", strict: bool = True, how: str = "left") -> DataFrame:
     """Point in polygon by cell key and exact test; with `left`, points outside every polygon stay, with nulls."""
     test = G.contains_point if strict else G.covers_point
-    left = spread(points).withColumn("_cx", cell_of(x, cell)).withColumn("_cy", cell_of(y, cell))
-    right = _cover(polygons, G.bounds(rings), cell)
-    hits = salted_join(left, right, ["_cx", "_cy"]).filter(test(rings, x, y)).drop("_cx", "_cy", "_box")
-    if how == "inner":
-        return hits
-    return points.join(hits, points.columns, "left")
+    left = points.withColumn("_cx", cell_of(x, cell)).withColumn("_cy", cell_of(y, cell))
+    right = _cover(polygons, G.bounds(rings), cell).withColumnsRenamed({"_cx": "_rx", "_cy": "_ry"})
+    return left.join(right, F.expr("_cx = _rx AND _cy = _ry") & test(rings, x, y), how).drop("_cx", "_cy", "_rx", "_ry", "_box")
 
 
 def intersects_join(left: DataFrame, right: DataFrame, cell: float, *, rings: str = "rings",
@@ -90,10 +84,10 @@ def intersects_join(left: DataFrame, right: DataFrame, cell: float, *, rings: st
 
     Both boxes may share several cells; only the cell of the lower-left corner of the common box keeps the pair.
     """
-    a = _cover(spread(left), G.bounds(rings), cell).withColumnRenamed("_box", "_a")
+    a = _cover(left, G.bounds(rings), cell).withColumnRenamed("_box", "_a")
     b = _cover(right, G.bounds(other), cell).withColumnRenamed("_box", "_b")
     lo_x, lo_y = "greatest(_a.xmin, _b.xmin)", "greatest(_a.ymin, _b.ymin)"
-    met = salted_join(a, b, ["_cx", "_cy"]).filter(
+    met = a.join(b, ["_cx", "_cy"]).filter(
         f"{lo_x} <= least(_a.xmax, _b.xmax) AND {lo_y} <= least(_a.ymax, _b.ymax)"
         f" AND {cell_of_sql(lo_x, cell)} = _cx AND {cell_of_sql(lo_y, cell)} = _cy")
     test = G.polygon_intersects if relation == "intersects" else G.polygon_within
@@ -133,21 +127,21 @@ def radius_aggregate(points: DataFrame, features: DataFrame, radius: float, meas
     sums = [F.sum(n).alias(n) for n in names]
     placed = features.select(F.col(fx).alias("_fx"), F.col(fy).alias("_fy"), *[
         e.alias(n) for n, e in measures.items()])
-    places = settle(placed.groupBy("_fx", "_fy").agg(*sums).withColumn("_cx", cell_of("_fx", h)).withColumn(
-        "_cy", cell_of("_fy", h)))
+    places = placed.groupBy("_fx", "_fy").agg(*sums).withColumn("_cx", cell_of("_fx", h)).withColumn(
+        "_cy", cell_of("_fy", h))
     cells = places.groupBy("_cx", "_cy").agg(*sums)
     inner, edge = _ring_offsets(sub)
 
-    spots = settle(points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct().withColumn(
-        "_px", cell_of("_x", h)).withColumn("_py", cell_of("_y", h)))
+    spots = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct().withColumn(
+        "_px", cell_of("_x", h)).withColumn("_py", cell_of("_y", h))
     inside = (
         _explode_offsets(spots.select("_px", "_py").distinct(), inner).join(cells, ["_cx", "_cy"])
         .groupBy("_px", "_py").agg(*sums)
     )
-    inside = salted_join(spots, inside, ["_px", "_py"]).select("_x", "_y", *names)
+    inside = spots.join(inside, ["_px", "_py"]).select("_x", "_y", *names)
     r = F.lit(float(radius))
     cut = (
-        salted_join(places, _explode_offsets(spots, edge), ["_cx", "_cy"])
+        places.join(_explode_offsets(spots, edge), ["_cx", "_cy"])
         .filter(G.distance("_x", "_y", "_fx", "_fy") <= r).select("_x", "_y", *names)
     )
     found = inside.unionByName(cut).groupBy("_x", "_y").agg(*sums)
@@ -188,8 +182,8 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
     """
     keys = [id_col] + ([by] if by else [])
     group = [by] if by else []
-    feats = settle(features.groupBy(fx, fy, *group).agg(F.min(feature_id).alias(feature_id)))
-    todo = spread(points.select(F.col(id_col), F.col(x), F.col(y)))
+    feats = features.groupBy(fx, fy, *group).agg(F.min(feature_id).alias(feature_id))
+    todo = points.select(F.col(id_col), F.col(x), F.col(y))
     if by:
         if by_values is None:
             raise ValueError("by_values (a short list of the group values) is needed with by")
@@ -215,7 +209,7 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
 
     left = todo.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
     right = _cover(feats, _point_box(fx, fy), size, size).drop("_box")
-    around = salted_join(left, right, ["_cx", "_cy", *group])
+    around = left.join(right, ["_cx", "_cy", *group])
     if size >= widest:
         return best_of(around, max_distance)
     near = cut_lineage(best_of(around, size * shrink))
@@ -235,7 +229,7 @@ def _descend(todo: DataFrame, feats: DataFrame, keys: list[str], group: list[str
     levels = [size]
     while levels[-1] < widest:
         levels.append(levels[-1] * STEP)
-    cells = settle(feats.select(cell_of(fx, size).alias("_cx"), cell_of(fy, size).alias("_cy"), *group).distinct())
+    cells = feats.select(cell_of(fx, size).alias("_cx"), cell_of(fy, size).alias("_cy"), *group).distinct()
 
     def occupied(k: int) -> DataFrame:
         up = STEP**k
@@ -256,14 +250,14 @@ def _descend(todo: DataFrame, feats: DataFrame, keys: list[str], group: list[str
     w = levels[top]
     around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     cand = _explode_offsets(todo.withColumn("_px", cell_of(x, w)).withColumn("_py", cell_of(y, w)), around).drop("_px", "_py")
-    cand = cut_lineage(pruned(salted_join(cand, occupied(top), ["_cx", "_cy", *group]), w))
+    cand = cut_lineage(pruned(cand.join(occupied(top), ["_cx", "_cy", *group]), w))
     for k in range(top - 1, -1, -1):
         finer = occupied(k).selectExpr(f"floor(_cx / {STEP}) AS _px", f"floor(_cy / {STEP}) AS _py", "_cx", "_cy", *group)
         coarse = cand.withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
         # a chain of such joins would drown the optimizer in inferred constraints, so each level is written
-        cand = cut_lineage(pruned(salted_join(coarse, finer, ["_px", "_py", *group]).drop("_px", "_py"), levels[k]))
+        cand = cut_lineage(pruned(coarse.join(finer, ["_px", "_py", *group]).drop("_px", "_py"), levels[k]))
     placed = feats.withColumn("_cx", cell_of(fx, size)).withColumn("_cy", cell_of(fy, size))
-    return salted_join(cand, placed, ["_cx", "_cy", *group])
+    return cand.join(placed, ["_cx", "_cy", *group])
 
 
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, *, id_col: str, lon: str = "lon", lat: str = "lat",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footreach.functions import scalars as S
-from footreach.operators.skew import rank_by_hash, salted_join
+from footreach.operators.skew import rank_by_hash
 
 
 def group_counts(df: DataFrame, key: str) -> DataFrame:
@@ -45,7 +45,7 @@ def assign_splits(df: DataFrame, key: str = "neighborhood_name", ratios=(0.7, 0.
 
 def group_split(df: DataFrame, key: str = "neighborhood_name", ratios=(0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """Rows with their split; all rows of a group share one."""
-    return salted_join(df, assign_splits(df, key, ratios, seed), [key], "left")
+    return df.join(assign_splits(df, key, ratios, seed), [key], "left")
 
 
 def sample_n(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:

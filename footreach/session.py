@@ -56,32 +56,3 @@ def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     cols = [c.strip().split(" ", 1) for c in schema.split(",")]
     structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, cols)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-SALT_ABOVE = "footreach.saltAboveBytes"
-SALT_ABOVE_DEFAULT = 1 << 30
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the tables a plan reads, from file sizes; no job runs."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(*dfs: DataFrame) -> bool:
-    """True when all the tables read together are so small that even one hot key of them fits a task.
-
-    Only then are skew counts and extra materialisation skipped. The bound is 1 GiB, or footreach.saltAboveBytes.
-    """
-    limit = int(dfs[0].sparkSession.conf.get(SALT_ABOVE, str(SALT_ABOVE_DEFAULT)))
-    return sum(source_bytes(d) for d in dfs) <= limit
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small source over the cores before costly per-row work; large sources come in many splits."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise a table that is used several times, unless it comes from small sources."""
-    return df if is_small(df) else cut_lineage(df)

@@ -36,7 +36,7 @@ def graph():
     return ids, e
 
 
-def test_relaxation_equals_dijkstra(spark, mode, graph):
+def test_relaxation_equals_dijkstra(spark, graph):
     ids, e = graph
     seeds = spark.createDataFrame([(ids[4], 0, 0.0), (ids[9], 0, 0.0), (ids[20], 1, 0.0)], "node bigint, label bigint, distance double")
     for reverse in (False, True):
@@ -79,7 +79,7 @@ def test_nearest_service_penalty(spark):
     assert {tuple(r.distances) for r in nothing.collect()} == {(2400.0,) * 8}
 
 
-def test_components_equal_union_find(spark, mode, graph):
+def test_components_equal_union_find(spark, graph):
     ids, e = graph
     rnd = random.Random(2)
     e = [x for x in e if rnd.random() < 0.25]

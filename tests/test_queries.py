@@ -9,10 +9,10 @@ from conftest import SF
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
-from footreach.session import SALT_ABOVE  # noqa: E402
+from footreach.plans import catalog  # noqa: E402
 from tools.compare import rows_of  # noqa: E402
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -26,24 +26,10 @@ def test_query_matches_sql(spark, duck, name):
     assert rows_of(df.columns, got) == rows_of(rel.columns, rel.fetchall())
 
 
-# queries whose plan changes most when sources are large: run them again on the skew-safe path
-@pytest.mark.parametrize("name", ["service_counts", "service_access", "points_in_areas", "units_meeting_areas", "target_lattice", "box_plots", "overall_quantiles",
-                                  "loss_leaderboard", "group_comparison", "early_stopping", "carried_metrics", "boundary_census", "group_split"])
-def test_query_matches_sql_on_the_skew_safe_path(spark, duck, name):
-    spark.conf.set(SALT_ABOVE, "-1")
-    try:
-        df = QUERIES[name](spark, SF)
-        got = [tuple(r) for r in df.collect()]
-    finally:
-        spark.conf.unset(SALT_ABOVE)
-    rel = duck.sql(ORACLE[name])
-    assert rows_of(df.columns, got) == rows_of(rel.columns, rel.fetchall())
-
-
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert len(set(QUERIES) - set(ORACLE)) <= 3

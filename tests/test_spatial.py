@@ -5,7 +5,7 @@ import pytest
 from footreach.functions import geometry as G
 from footreach.operators import features as FT
 from footreach.operators import spatial as SP
-from footreach.operators.skew import hot_keys, number_rows, rank_by_hash, salted_join
+from footreach.operators.skew import number_rows, rank_by_hash
 from pyspark.sql import functions as F
 
 
@@ -26,7 +26,7 @@ def cloud(spark):
         [(i, x, y, i % 3) for i, x, y in f], "fid bigint, fx double, fy double, kind int")
 
 
-def test_distance_join_is_brute_force(cloud, mode):
+def test_distance_join_is_brute_force(cloud):
     p, f, points, feats = cloud
     got = {(r.target_id, r.fid) for r in SP.distance_join(points, feats, 700.0).collect()}
     assert got == {(i, j) for i, x, y in p for j, a, b in f if math.hypot(x - a, y - b) <= 700}
@@ -34,7 +34,7 @@ def test_distance_join_is_brute_force(cloud, mode):
     assert left.select("target_id").distinct().count() == len(p)
 
 
-def test_radius_aggregate_is_brute_force(cloud, mode):
+def test_radius_aggregate_is_brute_force(cloud):
     p, f, points, feats = cloud
     out = SP.radius_aggregate(points, feats, 700.0, {"n": F.lit(1), "s": F.col("kind")}).collect()
     assert len(out) == len(p)
@@ -44,7 +44,7 @@ def test_radius_aggregate_is_brute_force(cloud, mode):
 
 
 @pytest.mark.parametrize("limit", [None, 900.0])
-def test_nearest_join_is_brute_force(cloud, mode, limit):
+def test_nearest_join_is_brute_force(cloud, limit):
     p, f, points, feats = cloud
     got = {(r.target_id, r.kind): r.distance for r in SP.nearest_join(
         points, feats, id_col="target_id", feature_id="fid", by="kind", by_values=[0, 1, 2], max_distance=limit).collect()}
@@ -57,7 +57,7 @@ def test_nearest_join_is_brute_force(cloud, mode, limit):
                 assert (i, k) not in got
 
 
-def test_snap_is_brute_force(spark, mode):
+def test_snap_is_brute_force(spark):
     rnd = random.Random(3)
     p = [(i, rnd.uniform(2.2, 2.4), rnd.uniform(48.8, 48.9)) for i in range(60)] + [(99, 5.0, 45.0)]
     n = [(i, rnd.uniform(2.2, 2.4), rnd.uniform(48.8, 48.9)) for i in range(80)]
@@ -79,7 +79,7 @@ def test_disc():
     assert len(SP.disc_offsets(factor=1.25)) > 317
 
 
-def test_lattice_is_inside_and_numbered(spark, mode):
+def test_lattice_is_inside_and_numbered(spark):
     areas = spark.sql("SELECT 'a' AS neighborhood_name").withColumn("rings", G.box("2.35D", "48.85D", "2.36D", "48.86D"))
     rows = SP.target_lattice(areas, 200.0).orderBy("target_id").collect()
     assert [r.target_id for r in rows] == list(range(len(rows)))
@@ -90,20 +90,32 @@ def test_lattice_is_inside_and_numbered(spark, mode):
     assert SP.target_lattice(empty, 200.0).count() == 0
 
 
-def test_hot_keys_and_salted_join(spark, mode):
-    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    right = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).filter("k % 2 = 0")
-    hot = hot_keys(left, ["k"], min_rows=100).collect()
-    assert [(r.k, r._salts > 1) for r in hot] == [(0, True)]
-    for how in ("inner", "left"):
-        a = salted_join(left, right, ["k"], how, min_rows=100).select("id", "k", "v")
-        b = left.join(right, "k", how).select("id", "k", "v")
-        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-    with pytest.raises(ValueError):
-        salted_join(left, right, ["k"], "full")
-
-
-def test_number_rows_matches_a_window(spark, mode):
+def skewed_reads(df):
+    """Joins of the finished plan that adaptive execution has split."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("skew=true")
+
+
+@pytest.mark.parametrize("hot", ["0", "cast(null as bigint)"])
+def test_hot_and_null_keys_are_split(spark, hot):
+    """A third of the rows has one key, or none, and half of those are copies of one row: the left join still spreads them."""
+    keep = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+            "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in keep}
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        left = spark.range(90_000, numPartitions=12).selectExpr("CASE WHEN id % 6 = 0 THEN 0 ELSE id END AS id", f"CASE WHEN id % 3 = 0 THEN {hot} ELSE id END AS k")
+        right = spark.range(90_000).selectExpr("id AS k", "id * 2 AS v").filter("k % 2 = 0")
+        joined = left.join(right, "k", "left")
+        assert skewed_reads(joined) > 0
+        assert joined.count() == 90_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_number_rows_matches_a_window(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 500).alias("o"))
     rows = number_rows(df, ["g"], [F.col("o")], F.floor(F.col("o") / 16), "n").collect()
     for g in range(3):
@@ -113,7 +125,7 @@ def test_number_rows_matches_a_window(spark, mode):
     assert [r.r for r in ranked] == list(range(500)) and [r.o for r in ranked] == list(range(500))
 
 
-def test_stars(spark, mode):
+def test_stars(spark):
     t = spark.sql("SELECT 'a' AS neighborhood_name, CAST(id AS int) AS target_id, id % 5 AS ix, id div 5 AS iy FROM range(20)")
     cells = FT.star_cells(t, 200.0, 100.0, 50.0)
     want = {(x + 2 * i, y + 2 * j) for x in range(5) for y in range(4) for i, j in SP.disc_offsets(200.0, 100.0)}

@@ -87,7 +87,7 @@ def test_quality_report(spark):
     assert r == {"missing:x": (0, 0.0), "missing:y": (2, 40.0), "duplicate_rows": (3, 60.0)}
 
 
-def test_quantiles_ranks_histogram(spark, mode):
+def test_quantiles_ranks_histogram(spark):
     vals = [5.0] * 40 + [float(i * i % 97) for i in range(80)] + [None]
     df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(vals)], "v double, g int")
     clean = sorted(v for v in vals if v is not None)

@@ -138,7 +138,7 @@ def sequential(losses, patience, delta):
     return best, at, stop
 
 
-def test_patience_equals_the_sequential_walk(spark, mode):
+def test_patience_equals_the_sequential_walk(spark):
     import random
     rnd = random.Random(11)
     rows = []
@@ -156,7 +156,7 @@ def test_patience_equals_the_sequential_walk(spark, mode):
                 assert got[run] == sequential(seq, patience, delta)
 
 
-def test_carry_forward_and_upsert(spark, mode):
+def test_carry_forward_and_upsert(spark):
     h = spark.createDataFrame([(0, e, None if e % 4 else float(e)) for e in range(1, 12)], "run int, epoch bigint, m double")
     assert [r.m for r in RU.carry_forward(h, ["m"]).orderBy("epoch").collect()] == [None] * 3 + [4.0] * 4 + [8.0] * 4
     base = spark.createDataFrame([(1, "a"), (3, "c")], "epoch int, v string")
@@ -164,7 +164,7 @@ def test_carry_forward_and_upsert(spark, mode):
     assert [tuple(r) for r in RU.upsert_by_key(base, new, ["epoch"]).collect()] == [(1, "a"), (2, "b"), (3, "z")]
 
 
-def test_leaderboard_and_log(spark, mode):
+def test_leaderboard_and_log(spark):
     runs = spark.createDataFrame([("a", 0.4, 0.9, None), ("b", 0.3, 0.8, None), ("c", 0.1, 1.0, "boom"), ("d", 0.3, 0.95, None)], "name string, val_loss double, top1 double, error string")
     assert [(r.name, r.rank) for r in RU.leaderboard(runs, "val_loss").collect()] == [("b", 1), ("d", 1), ("a", 3)]
     assert [r.name for r in RU.leaderboard(runs, "top1", 2).collect()] == ["d", "a"]
