@@ -1,7 +1,8 @@
 """Planar geometry as SQL expressions over doubles.
 
-A ring is ``array<struct<x:double,y:double>>``, closed; a polygon is an array of rings (shell and holes, or the
-shells of several parts): inside means inside an odd number of rings. Nothing here needs a UDF or a UDT.
+A ring is ``array<struct<x:double,y:double>>``, closed; a polygon is an array of rings: the shells of its parts and
+their holes. A hole is a ring that lies in another one and runs against it; parts may overlap and run in any order.
+Nothing here needs a UDF or a UDT.
 
 The shape functions take column names or SQL text and return a Column made by one `expr`: long expressions built
 call by call from Python cost seconds per query. Names ending in `_sql` return the text. Lambda variables start with an underscore, which no shape column should.
@@ -104,6 +105,26 @@ def bounds(rings: str) -> Column:
     return F.expr(f"named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), 'xmax', array_max({xs}), 'ymax', array_max({ys}))")
 
 
+def _hole(h: str, rings: str) -> str:
+    """Whether more of the rings around a ring run against it than with it: a hole. All others are shells of parts."""
+    around = covers_point_sql("array(_w)", "_v.x", "_v.y")
+    return (f"aggregate({rings}, 0D, (_n, _w) -> _n + CASE WHEN _w <> {h} AND forall({h}, _v -> {around})"
+            f" THEN -signum({_cross_sum('_w')}) * signum({_cross_sum(h)}) ELSE 0D END) > 0D")
+
+
+def oriented_sql(rings: str) -> str:
+    """The same rings with shells counter-clockwise and holes clockwise, whatever their order was."""
+    return (f"(CASE WHEN size({rings}) <= 1 THEN {rings} ELSE transform({rings}, _q -> CASE WHEN ({_cross_sum('_q')} < 0D) = ({_hole('_q', rings)})"
+            f" THEN _q ELSE reverse(_q) END) END)")
+
+
+def parts(rings: str) -> Column:
+    """array of polygons: each shell with the holes that lie in it."""
+    o = "_shape"
+    own = f"filter({o}, _k -> {_cross_sum('_k')} < 0D AND forall(_k, _v -> {covers_point_sql('array(_z)', '_v.x', '_v.y')}))"
+    return F.expr(f"transform(array({oriented_sql(rings)}), {o} -> transform(filter({o}, _z -> {_cross_sum('_z')} >= 0D OR size({o}) = 1), _z -> concat(array(_z), {own})))[0]")
+
+
 def dissolve(rings: str, strict: bool = False) -> Column:
     """One shape from several parts. All rings are kept; with `strict`, disjoint parts give an empty shape."""
     if not strict:
@@ -122,11 +143,11 @@ def _cross_sum(r: str) -> str:
 
 
 def area_sql(rings: str) -> str:
-    return f"(abs(aggregate({rings}, 0D, (_total, _q) -> _total + {_cross_sum('_q')})) / 2D)"
+    return f"(abs(aggregate({oriented_sql(rings)}, 0D, (_total, _u) -> _total + {_cross_sum('_u')})) / 2D)"
 
 
 def area(rings: str) -> Column:
-    """Shoelace area in the units of the coordinates; holes run against the shell and so subtract."""
+    """Shoelace area in the units of the coordinates: parts add, holes subtract, whatever the order of their vertices."""
     return F.expr(area_sql(rings))
 
 
@@ -149,7 +170,7 @@ def centroid(rings: str) -> Column:
 
     def end(c, o):
         return f"CASE WHEN _acc.w = 0 THEN {mean(c)} ELSE {o} + try_divide(_acc.{c}, _acc.w * 3D) END"
-    return F.expr(f"aggregate({segments_sql(rings)}, named_struct('w', 0D, 'x', 0D, 'y', 0D), (_acc, _s) -> {step}, "
+    return F.expr(f"aggregate({segments_sql(oriented_sql(rings))}, named_struct('w', 0D, 'x', 0D, 'y', 0D), (_acc, _s) -> {step}, "
                   f"_acc -> named_struct('x', {end('x', ox)}, 'y', {end('y', oy)}))")
 
 
@@ -165,17 +186,26 @@ def on_boundary_sql(rings: str, x: str, y: str) -> str:
             f" AND {y} >= least(_g.a.y, _g.b.y) AND {y} <= greatest(_g.a.y, _g.b.y))")
 
 
+def _inside(rings: str, x: str, y: str) -> str:
+    """Inside more shells than holes; a single ring needs no look at kinds, nor does a point that one ring holds."""
+    around = f"filter({rings}, _c -> {_odd_crossings('array(_c)', x, y)})"
+    return (f"(CASE WHEN size({rings}) = 1 THEN {_odd_crossings(rings, x, y)} ELSE aggregate(array({around}), false, (_acc, _in) -> "
+            f"CASE WHEN size(_in) <= 1 THEN size(_in) = 1 ELSE 2 * size(filter(_in, _h -> {_hole('_h', '_in')})) < size(_in) END) END)")
+
+
 def _odd_crossings(rings: str, x: str, y: str) -> str:
     return (f"(size(filter({segments_sql(rings)}, _g -> ((_g.a.y > {y}) <> (_g.b.y > {y})) AND ((_g.b.y > _g.a.y) = "
             f"(({x} - _g.a.x) * (_g.b.y - _g.a.y) < (_g.b.x - _g.a.x) * ({y} - _g.a.y))))) % 2 = 1)")
 
 
 def contains_point_sql(rings: str, x: str, y: str) -> str:
-    return f"({_odd_crossings(rings, x, y)} AND NOT {on_boundary_sql(rings, x, y)})"
+    return f"({_inside(rings, x, y)} AND NOT {on_boundary_sql(rings, x, y)})"
 
 
 def covers_point_sql(rings: str, x: str, y: str) -> str:
-    return f"({_odd_crossings(rings, x, y)} OR {on_boundary_sql(rings, x, y)})"
+    if rings.startswith("array("):
+        return f"({_odd_crossings(rings, x, y)} OR {on_boundary_sql(rings, x, y)})"  # one ring
+    return f"({_inside(rings, x, y)} OR {on_boundary_sql(rings, x, y)})"
 
 
 def contains_point(rings: str, x: str, y: str) -> Column:

@@ -127,8 +127,12 @@ _AGES, _MODES = ["children_per_capita", "elderly_ratio", "working_age_ratio"], [
 _CONTRACTS = ["permanent_employment_ratio", "temporary_employment_ratio"]
 
 
-@query("ratio_sums", "Q24", _D_SQL + f", m AS ({_long('d', 'IRIS', {'age_sum': ' + '.join(_AGES), 'mode_share_sum': ' + '.join(_MODES), 'contract_sum': ' + '.join(_CONTRACTS)})})"
-       + judged_sql("m") + "SELECT entity, metric, round(value, 6) AS value, severity FROM judged")
+_SUMS = {"age_sum": " + ".join(_AGES), "mode_share_sum": " + ".join(_MODES), "contract_sum": " + ".join(_CONTRACTS)}
+
+
+@query("ratio_sums", "Q24", _D_SQL + f""", m AS ({_long('d', 'IRIS', _SUMS)})
+SELECT entity, metric, round(value, 6) AS value, CASE WHEN value < 0.8 OR value > 1.2 THEN 'warn' ELSE 'pass' END AS severity FROM m
+UNION ALL SELECT entity, metric || '_wide', round(value, 6), CASE WHEN value < 0.7 OR value > 1.3 THEN 'warn' ELSE 'pass' END FROM m""")
 def ratio_sums(spark, sf):
     m = CH.ratio_sums(demographics_query(spark, sf), "IRIS", {"age_sum": _AGES, "mode_share_sum": _MODES, "contract_sum": _CONTRACTS})
     return CH.check_rules(m, CH.rules_table(spark)).select("entity", "metric", F.round("value", 6).alias("value"), "severity")

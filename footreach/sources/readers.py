@@ -31,8 +31,16 @@ def read_geojson(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     def as_ring(r):
         return F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
-    polygon = F.when(kind == "Polygon", F.transform(parsed(3), as_ring)).when(
-        kind == "MultiPolygon", F.transform(F.flatten(parsed(4)), as_ring))
+    def as_part(p):
+        """First ring the shell, the others its holes: shells run counter-clockwise and holes clockwise from here on."""
+        def turned(r, i):
+            twice = F.aggregate(F.zip_with(F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))),
+                                           lambda a, b: (a["x"] - r[0]["x"]) * (b["y"] - r[0]["y"]) - (b["x"] - r[0]["x"]) * (a["y"] - r[0]["y"])), F.lit(0.0), lambda t, v: t + v)
+            return F.when((twice < 0) == (i > 0), r).otherwise(F.reverse(r))
+        return F.transform(F.transform(p, as_ring), turned)
+
+    polygon = F.when(kind == "Polygon", as_part(parsed(3))).when(
+        kind == "MultiPolygon", F.flatten(F.transform(parsed(4), as_part)))
     return feats.select(
         "properties", kind.alias("geometry_type"),
         F.when(kind == "Point", F.get(parsed(1), F.lit(0))).alias("x"), F.when(kind == "Point", F.get(parsed(1), F.lit(1))).alias("y"),
@@ -48,21 +56,27 @@ def read_areas(spark: SparkSession, path, lines: bool = False) -> DataFrame:
 
 
 def read_graphml(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, x, y) and edges (src, dst, key, length) of a GraphML street network."""
+    """Nodes (node_id, x, y) and edges (src, dst, key, length) of GraphML street networks.
+
+    Key ids mean what their own graph says. A graph is one file, or the folder of parts that `write_graphml` makes, so
+    the ids are looked up by the folder above `keys`, `nodes` and `edges`, else by the file.
+    """
     def rows(tag, schema):
-        return spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", tag).schema(schema).load(path)
+        read = spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", tag).schema(schema).load(path)
+        return read.withColumn("_graph", F.regexp_replace(F.input_file_name(), "/(keys|nodes|edges)/[^/]*$", ""))
 
-    names = {r["_id"]: r["_name"] for r in rows("key", "`_id` string, `_attr.name` string").select(
-        F.col("_id"), F.col("`_attr.name`").alias("_name")).distinct().collect()}
+    # a map of key ids per graph: as small as the files' headers, and joined, never gathered
+    names = rows("key", "`_id` string, `_attr.name` string").select("_graph", F.col("`_attr.name`").alias("_name"), "_id").distinct().groupBy("_graph").agg(
+        F.collect_list(F.struct("_name", "_id")).alias("_names"))
     data = "data array<struct<_VALUE:string,_key:string>>"
 
     def value(name):
-        ids = [k for k, v in names.items() if v == name]
-        hit = F.filter("data", lambda d: d["_key"].isin(ids) if ids else F.lit(False))
+        ids = F.transform(F.filter("_names", lambda n: n["_name"] == name), lambda n: n["_id"])
+        hit = F.filter("data", lambda d: F.array_contains(ids, d["_key"]))
         return F.get(hit, F.lit(0))["_VALUE"].try_cast("double")
 
-    nodes = rows("node", f"_id string, {data}").select(F.col("_id").cast("bigint").alias("node_id"), value("x").alias("x"), value("y").alias("y"))
-    edges = rows("edge", f"_source string, _target string, _id string, {data}").select(
+    nodes = rows("node", f"_id string, {data}").join(names, "_graph", "left").select(F.col("_id").cast("bigint").alias("node_id"), value("x").alias("x"), value("y").alias("y"))
+    edges = rows("edge", f"_source string, _target string, _id string, {data}").join(names, "_graph", "left").select(
         F.col("_source").cast("bigint").alias("src"), F.col("_target").cast("bigint").alias("dst"),
         F.coalesce(F.col("_id").try_cast("int"), F.lit(0)).alias("key"), value("length").alias("length"))
     return nodes, edges
@@ -105,10 +119,10 @@ def read_boundaries(spark: SparkSession, paths: list[str], codes=("CODE_IRIS", "
     return df.select(S.norm_code(code).alias("code"), "properties", "rings")
 
 
-def read_runs(spark: SparkSession, glob, schema=None) -> DataFrame:
-    """History or metadata JSON files with the file they came from."""
+def read_runs(spark: SparkSession, glob, schema=None, lines: bool = True) -> DataFrame:
+    """History or metadata JSON files with the file they came from; without `lines` a file is one value or array."""
     r = spark.read.schema(schema) if schema else spark.read
-    return r.option("multiLine", True).json(glob).withColumn("path", F.input_file_name())
+    return r.option("multiLine", not lines).json(glob).withColumn("path", F.input_file_name())
 
 
 def file_inventory(spark: SparkSession, root, required: list[str]) -> DataFrame:
@@ -122,4 +136,7 @@ def file_inventory(spark: SparkSession, root, required: list[str]) -> DataFrame:
 
 
 def scan_log(spark: SparkSession, path) -> DataFrame:
-    return R.parse_log(spark.read.text(path).withColumn("path", F.input_file_name()))
+    """Last value of each result line per file: lines are ordered by their place, the split's start and the line in it."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    return R.parse_log(lines, order="place")

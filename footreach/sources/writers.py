@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footreach.functions import geometry as G
 from footreach.functions import scalars as S
 from footreach.operators.checks import status_rollup
 from footreach.session import inline_table
@@ -61,13 +62,15 @@ def write_evaluation(summary: DataFrame, path: str, split: str) -> None:
 
 
 def geojson_lines(df: DataFrame, properties: list[str], x: str | None = "x", y: str | None = "y", rings: str | None = None) -> DataFrame:
-    """One GeoJSON feature per row as text."""
+    """One GeoJSON feature per row as text; several parts make a MultiPolygon."""
     if rings:
-        coords = F.transform(F.col(rings), lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"])))
-        geom = F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates"))
+        coords = F.transform(G.parts(rings), lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))))
+        one = F.size(coords) == 1
+        kind, text = F.when(one, "Polygon").otherwise("MultiPolygon"), F.when(one, F.to_json(F.get(coords, F.lit(0)))).otherwise(F.to_json(coords))
     else:
-        geom = F.struct(F.lit("Point").alias("type"), F.array(F.col(x), F.col(y)).alias("coordinates"))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geom.alias("geometry"))).alias("value"))
+        kind, text = F.lit("Point"), F.to_json(F.array(F.col(x), F.col(y)))
+    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*properties)), F.lit(',"geometry":{"type":"'), kind,
+                              F.lit('","coordinates":'), text, F.lit("}}")).alias("value"))
 
 
 def write_geojson(df: DataFrame, path: str, properties: list[str], **kw) -> None:
