@@ -20,8 +20,8 @@ from footreach.session import cut_lineage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out(F.col("doc_id")))
-    scored = toxicity.scores(docs, toxicity.fit(docs, labels), docs.columns, name="_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    name = "_" + max(docs.columns, key=len)  # longer than any column's name, so none of them
+    return toxicity.scores(docs, toxicity.fit(docs, labels), docs.columns, name=name).filter(F.col(f"`{name}`") < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter(decontam.contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = found.filter(decontam.contaminated(F.size("hits"), F.col("n_words"))).select("doc_id", "text_hash").distinct()
+    same = F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit(""))) == F.col("bad.text_hash"))
+    return docs.alias("d").join(bad.alias("bad"), same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

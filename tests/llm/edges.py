@@ -15,7 +15,7 @@ ROWS = [
     (16, "çá É ÀÇ naïve Straße ΣΑΣ <|endoftext|> don't 3½", "fr", "e", 1), (17, "a\nb b\na\n\na\nx # $ | <>", "en", "e", 1), (None, "null id text with a few more words here", "en", "e", 1),
     (None, "null id text with a few more words here", "en", "e", 1), (18, "idiot moron scum trash", "en", "f", 1), (19, "spam spam spam " * 300, "en", "f", 1), (20, "x" * 5000, "en", "f", 1),
 ]
-CLASHING = ["score", "key", "row", "rows", "label", "rep", "component", "n", "kept", "hits", "piece", "bin_id", "hash", "_text", "_id", "text_hash", "shard", "cluster"]
+CLASHING = ["score", "key", "row", "rows", "label", "rep", "component", "n", "kept", "hits", "piece", "bin_id", "hash", "_text", "_id", "text_hash", "shard", "cluster", "_toxicity", "_hash"]
 
 
 def key_of(row):
