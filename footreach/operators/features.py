@@ -7,12 +7,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footreach.constants import (BUILDING_RADIUS_M, CATEGORIES, CATEGORY_TAGS, FEATURES, GRID_CELL_M, LATTICE_STEP_M,
-                                 N_CATEGORIES, SERVICE_FEATURES, WALK_RADIUS_M)
+from footreach.constants import (BUILDING_RADIUS_M, CATEGORIES, CATEGORY_TAGS, DEMOGRAPHIC_FEATURES, FEATURES, GRID_CELL_M, LATTICE_STEP_M,
+                                 N_CATEGORIES, SERVICE_FEATURES, STREET_RADIUS_M, WALK_RADIUS_M)
+from footreach.functions import geometry as G
 from footreach.functions import scalars as S
 from footreach.functions import vectors as V
+from footreach.operators import network as N
+from footreach.operators.relational import match_or_mean
 
-from footreach.operators.spatial import _offset_array, disc_offsets, distance_join, radius_aggregate
+from footreach.operators.spatial import _offset_array, disc_offsets, distance_join, radius_aggregate, within_join
 from footreach.session import inline_table
 
 
@@ -52,6 +55,30 @@ def built_form(points: DataFrame, buildings: DataFrame, r: float = BUILDING_RADI
         "floor_area_per_capita", F.lit(0.0))
 
 
+def point_features(points: DataFrame, *, units: DataFrame, boxes: DataFrame, buildings: DataFrame, services: DataFrame, nodes: DataFrame, edges: DataFrame,
+                   pedestrian: DataFrame, group: str = "neighborhood_name", point_id: str = "target_id", unit_cell: float = 0.004,
+                   service_radius: float = WALK_RADIUS_M, building_radius: float = BUILDING_RADIUS_M, street_radius: float = STREET_RADIUS_M) -> DataFrame:
+    """All 33 features of every point, as columns, and its geometry as text.
+
+    points: point_id, group, lon, lat, x, y; units: code, group, the demographic features; boxes: code, rings (degrees);
+    buildings: rings (metres), levels; services: fx, fy, category_index; nodes: node_id, x, y; edges: src, dst, length.
+    A point takes the demographics of the unit it lies in (the least code where units overlap), else the mean of its
+    group's units, else 0. Every other feature is a radius aggregate, so pairs of points and features are not listed.
+    point_id is unique.
+    """
+    spot = points.select(point_id, group, "lon", "lat", "x", "y")
+    inside = within_join(spot.select(point_id, "lon", "lat"), boxes.select("code", "rings"), unit_cell, x="lon", y="lat", how="inner").groupBy(point_id).agg(F.min("code").alias("code"))
+    out = match_or_mean(spot.join(inside, point_id, "left"), units, "code", group, DEMOGRAPHIC_FEATURES).drop("code")
+    degrees = N.node_degrees(nodes, edges).select(F.col("x").alias("fx"), F.col("y").alias("fy"), "degree")
+    centres = N.edge_centres(edges, nodes)
+    # each block starts from the points alone and meets the others by id: chained, every block would compute those before it again
+    place = spot.select(point_id, "x", "y")
+    for block in (built_form(place, buildings, building_radius), service_counts(place, services, service_radius), N.intersection_density(place, degrees, street_radius).drop("intersections"),
+                  N.block_length(place, centres, street_radius), N.pedestrian_ratio(place, pedestrian, centres, street_radius)):
+        out = out.join(block.drop("x", "y"), point_id)
+    return out.select(point_id, group, "lon", "lat", "x", "y", *FEATURES, G.to_wkt("lon", "lat").alias("target_geometry"))
+
+
 def feature_vector(df: DataFrame, name: str = "features") -> DataFrame:
     """The 33 features in their fixed order, padded or cut to length, NaN and infinities to 0, as floats."""
     have = set(df.columns)
