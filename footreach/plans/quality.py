@@ -14,9 +14,11 @@ from footreach.operators import quantiles as Q
 from footreach.operators import spatial as SP
 from footreach.plans import bindings as B
 from footreach.plans.models import stars
-from footreach.plans.registry import query, r6
+from footreach.plans.access import component_share, geometry_validity
+from footreach.plans.registry import ORACLES, query, r6
 from footreach.plans.tables import _DEMO
 from footreach.plans.tables import demographics as demographics_query
+from footreach.plans.tables import file_inventory, missing_categories, unknown_tags
 from footreach.sources import writers as WR
 
 
@@ -238,3 +240,31 @@ def feature_row_check(spark, sf):
     rows = s.withColumn("target_prob_vector", F.when(F.col("home") == 3, F.array(F.lit(0.5))).otherwise(p)).withColumn(
         "target_geometry", F.when(F.col("home") == 4, "LINE").otherwise(G.to_wkt("ix", "iy")))
     return FT.check_feature_rows(rows)
+
+
+# bounds written out once more, so that a wrong rule shows
+_SEVERITY_SQL = f"""
+WITH m AS (
+ SELECT 'tags' AS entity, 'invalid_categories' AS metric, CAST(count(*) AS double) AS value FROM ({ORACLES['unknown_tags']}) a
+ UNION ALL SELECT CAST(area_id AS string), 'absent_categories', CAST(count(category) AS double) FROM (SELECT n_nationkey AS area_id FROM nation) LEFT JOIN ({ORACLES['missing_categories']}) b USING (area_id) GROUP BY area_id
+ UNION ALL SELECT 'network', 'largest_component_share', CAST(share AS double) FROM ({ORACLES['component_share']}) c
+ UNION ALL SELECT CAST(grp AS string), 'invalid_geometries', CAST(invalid_geometries AS double) FROM ({ORACLES['geometry_validity']}) d
+ UNION ALL SELECT 'files', 'missing_files', CAST(count(CASE WHEN state = 'missing' THEN 1 END) AS double) FROM ({ORACLES['file_inventory']}) e
+ UNION ALL SELECT 'files', 'empty_files', 0e0)
+SELECT entity, metric, round(value, 6) AS value, CASE
+ WHEN metric IN ('invalid_categories', 'invalid_geometries', 'missing_files') AND value > 0 THEN 'fail' WHEN metric = 'largest_component_share' AND value < 0.8 THEN 'fail'
+ WHEN metric IN ('absent_categories', 'empty_files') AND value > 0 THEN 'warn' ELSE 'pass' END AS severity FROM m"""
+
+
+@query("measured_severities", "Q3 Q11 Q17 Q18", _SEVERITY_SQL)
+def measured_severities(spark, sf):
+    """Unknown tags, absent categories, the largest component, broken geometries and missing files, each judged by its rule."""
+    tags = unknown_tags(spark, sf).agg(F.count(F.lit(1)).alias("invalid_categories")).withColumn("k", F.lit("tags"))
+    absent = B.areas(spark, sf).select("area_id").join(missing_categories(spark, sf), "area_id", "left").groupBy(F.col("area_id").alias("k")).agg(F.count("category").alias("absent_categories"))
+    largest = component_share(spark, sf).select(F.lit("network").alias("k"), F.col("share").alias("largest_component_share"))
+    shapes = geometry_validity(spark, sf).withColumnRenamed("grp", "k")
+    files = file_inventory(spark, sf).agg(F.count_if(F.col("state") == "missing").alias("missing_files"), F.count_if(F.col("state") == "empty").alias("empty_files")).withColumn("k", F.lit("files"))
+    m = CH.long_metrics(tags, "k", ["invalid_categories"])
+    for df, names in ((absent, ["absent_categories"]), (largest, ["largest_component_share"]), (shapes, ["invalid_geometries"]), (files, ["missing_files", "empty_files"])):
+        m = m.unionByName(CH.long_metrics(df, "k", names))
+    return CH.check_rules(m, CH.rules_table(spark)).select("entity", "metric", r6("value").alias("value"), "severity")
