@@ -271,17 +271,17 @@ def features_by_tag(spark, sf):
 # ---- street network ------------------------------------------------------------------------------
 
 @query("shortest_path_lengths", "N1", B.sql("edges nodes", """
-, pairs AS (SELECT node_id AS pair_id, node_id % 5 AS a, CAST((node_id * 3 + 1) % (SELECT count(*) FROM supplier) AS bigint) AS b FROM nodes),
+, pairs AS (SELECT node_id AS pair_id, node_id AS a, CAST((node_id * 3 + 1) % (SELECT count(*) FROM supplier) AS bigint) AS b FROM nodes),
 hop AS (SELECT src, dst, min(length) AS length FROM edges GROUP BY 1, 2),
 walk(s, node, d) USING KEY (s, node) AS (SELECT DISTINCT a, a, 0e0 FROM pairs
   UNION SELECT w.s, h.dst, min(w.d + h.length) FROM walk w JOIN hop h ON h.src = w.node LEFT JOIN recurring.walk r ON r.s = w.s AND r.node = h.dst
   WHERE r.d IS NULL OR w.d + h.length < r.d GROUP BY 1, 2)
 SELECT pair_id, coalesce(round(d, 6), -1e0) AS path_length FROM pairs LEFT JOIN walk ON s = a AND node = b""", recursive=True))
 def shortest_path_lengths(spark, sf):
-    """One pair per node, from five starts; no path is shown as -1."""
+    """One pair per node, each from its own start; no path is shown as -1."""
     n = B.nodes(spark, sf)
     total = n.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    pairs = n.select(F.col("node_id").alias("pair_id"), (F.col("node_id") % 5).alias("from_node"), ((F.col("node_id") * 3 + 1) % total).alias("to_node"))
+    pairs = n.select(F.col("node_id").alias("pair_id"), F.col("node_id").alias("from_node"), ((F.col("node_id") * 3 + 1) % total).alias("to_node"))
     out = N.path_length(B.edges(spark, sf), pairs)
     return out.select("pair_id", F.when(F.col("path_length") == float("inf"), F.lit(-1.0)).otherwise(r6("path_length")).alias("path_length"))
 

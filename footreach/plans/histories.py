@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from footreach.operators import runs as RU
 from footreach.operators import split as SP
+from footreach.operators.relational import with_scalar
 from footreach.plans import bindings as B
 from footreach.plans.registry import query, r6
 from footreach.sources import readers as RD
@@ -86,15 +87,18 @@ def run_durations(spark, sf):
 @query("run_log", "K4 A23 S10", """
 WITH s AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'cached' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT CAST(sum(n) AS bigint) AS total, CAST(sum(CASE WHEN status = 'success' THEN n ELSE 0 END) AS bigint) AS success, CAST(sum(CASE WHEN status = 'failed' THEN n ELSE 0 END) AS bigint) AS failed,
- CAST(sum(CASE WHEN status = 'cached' THEN n ELSE 0 END) AS bigint) AS cached, CAST(0 AS bigint) AS skipped, (SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_orderstatus = 'F') AS total_amount FROM s""")
+ CAST(sum(CASE WHEN status = 'cached' THEN n ELSE 0 END) AS bigint) AS cached, CAST(0 AS bigint) AS skipped, (SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_orderstatus = 'F') AS total_amount,
+ (SELECT count(*) FROM orders) AS summary_rows, (SELECT round(sum(o_totalprice), 2) FROM orders) AS summary_amount, CAST(0 AS bigint) AS summary_retries FROM s""")
 def run_log(spark, sf):
-    """An extraction log as JSON and CSV, summed up after reading the JSON back."""
+    """An extraction log as JSON and CSV, both read back: the JSON summed up by outcome, the CSV by its counts."""
     path = B.scratch(spark, "log")
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "cached").otherwise("failed")
     log = B.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("name"), status.alias("status"), F.col("o_totalprice").alias("amount"))
     WR.write_run_log(log, path, ["amount", "retries"])
     back = spark.read.schema("name string, status string, amount double").json(f"{path}/log")
-    return RU.run_summary(back, amount="amount").withColumn("total_amount", F.round("total_amount", 2))
+    flat = RD.load_table(spark, f"{path}/summary", "csv", "name string, status string, amount double, retries bigint")
+    flat = flat.agg(F.count(F.lit(1)).alias("summary_rows"), F.round(F.sum("amount"), 2).alias("summary_amount"), F.sum("retries").alias("summary_retries"))
+    return with_scalar(RU.run_summary(back, amount="amount").withColumn("total_amount", F.round("total_amount", 2)), flat)
 
 
 @query("upserted_epochs", "K8", B.sql("history", """

@@ -240,9 +240,9 @@ def per_class_recall(spark, sf):
 
 
 @query("group_accuracy", "A15 W3", B.sql("preds", _CLS + """
-SELECT neighborhood_name, count(*) AS "count", round(avg(CASE WHEN pc = tc THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7"""))
+SELECT neighborhood_name, count(*) AS "count", round(avg(CASE WHEN pc = tc THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""))
 def group_accuracy(spark, sf):
-    return E.group_accuracy(B.predictions(spark, sf), top_n=7).withColumn("accuracy", r6("accuracy"))
+    return E.group_accuracy(B.predictions(spark, sf), top_n=20).withColumn("accuracy", r6("accuracy"))
 
 
 _REL = _CLS + """

@@ -124,11 +124,11 @@ def seeded_uniform(spark, sf):
 # ---- joins ---------------------------------------------------------------------------------------
 
 @query("boundary_census", "J1 J2", B.sql("units unit_boxes", """
-, income AS (SELECT lpad(CAST(l_suppkey AS string), 9, '0') AS code_i, max(l_extendedprice) AS med FROM lineitem WHERE l_tax > 0.04e0 GROUP BY 1)
+, income AS (SELECT lpad(CAST(l_suppkey AS string), 9, '0') AS code_i, max(l_extendedprice) AS med FROM lineitem GROUP BY 1)
 SELECT code, home, P17_POP1564 AS pop, med FROM unit_boxes JOIN units ON code = IRIS LEFT JOIN income ON code = code_i"""))
 def boundary_census(spark, sf):
     u = B.units(spark, sf).select("IRIS", S.to_number("P17_POP1564").alias("pop"))
-    income = B.table(spark, sf, "lineitem").filter(F.col("l_tax") > 0.04).groupBy(F.lpad(F.col("l_suppkey").cast("string"), 9, "0").alias("code_i")).agg(
+    income = B.table(spark, sf, "lineitem").groupBy(F.lpad(F.col("l_suppkey").cast("string"), 9, "0").alias("code_i")).agg(
         F.max("l_extendedprice").alias("med"))
     joined = R.join_on(B.unit_boxes(spark, sf).select("code", "home"), u, "code", "IRIS").drop("IRIS")
     return R.add_tables(joined, "code", (income, "code_i")).select("code", "home", "pop", "med")
@@ -185,11 +185,11 @@ def rows_of_groups(spark, sf):
 
 
 @query("missing_categories", "J13 U4 Q3", B.sql("services categories areas", """
-, present AS (SELECT DISTINCT area_id, category_index FROM services, areas WHERE size < 3 AND lon > x0 AND lon < x1 AND lat > y0 AND lat < y1)
+, present AS (SELECT DISTINCT area_id, category_index FROM services, areas WHERE lon > x0 AND lon < x1 AND lat > y0 AND lat < y1)
 SELECT area_id, c.category FROM areas CROSS JOIN categories c LEFT JOIN present p USING (area_id, category_index) WHERE p.area_id IS NULL"""))
 def missing_categories(spark, sf):
     a = B.areas(spark, sf)
-    s = B.services(spark, sf).filter(F.col("size") < 3).select("category_index", "lon", "lat")
+    s = B.services(spark, sf).select("category_index", "lon", "lat")
     present = SP.within_join(s, a.select("area_id", "rings"), 0.02, x="lon", y="lat", how="inner").select("area_id", "category_index")
     names = F.array(*[F.lit(c) for c in CATEGORIES])
     required = a.select("area_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("category_index"))
@@ -385,20 +385,19 @@ def csv_round_trip(spark, sf):
 
 
 @query("services_by_category_files", "K2 J13", B.sql("services categories", """
-SELECT category_index, c.category, count(s.service_id) AS "count" FROM categories c LEFT JOIN (SELECT * FROM services WHERE category_index <> 5) s USING (category_index) GROUP BY 1, 2"""))
+SELECT category_index, c.category, count(s.service_id) AS "count" FROM categories c LEFT JOIN services s USING (category_index) GROUP BY 1, 2"""))
 def services_by_category_files(spark, sf):
     """One folder per category; a category without services is still counted, as 0."""
     path = B.scratch(spark, "by-category")
-    s = B.services(spark, sf).filter(F.col("category_index") != 5)
-    WR.write_by_category(s, path, "category_index", ["name", "kind", "lon", "lat"])
+    WR.write_by_category(B.services(spark, sf), path, "category_index", ["name", "kind", "lon", "lat"])
     return WR.read_by_category(spark.read.parquet(path), FT.category_dim(spark), "category_index").select("category_index", "category", "count")
 
 
 @query("file_inventory", "S11 Q18 J13", B.sql("services", """
 , need AS (SELECT unnest(generate_series(0, 9)) AS k)
-SELECT 'category_index=' || k AS name, CASE WHEN EXISTS (SELECT 1 FROM services WHERE category_index = k AND size > 45) THEN 'found' ELSE 'missing' END AS state FROM need"""))
+SELECT 'category_index=' || k AS name, CASE WHEN EXISTS (SELECT 1 FROM services WHERE category_index = k) THEN 'found' ELSE 'missing' END AS state FROM need"""))
 def file_inventory(spark, sf):
     """Category folders against a required list that names two too many."""
     path = B.scratch(spark, "inventory")
-    WR.write_by_category(B.services(spark, sf).filter(F.col("size") > 45), path, "category_index", ["name", "kind"])
+    WR.write_by_category(B.services(spark, sf), path, "category_index", ["name", "kind"])
     return RD.file_inventory(spark, path, [f"category_index={i}" for i in range(10)]).select("name", "state")
