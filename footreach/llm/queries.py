@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footreach.llm import chat, decontam, dedup, licenses, packing, quality, secrets, tokens, toxicity, urls
+from footreach.llm import chat, decontam, dedup, licenses, packing, quality, secrets, tokens, toxicity, urls, urls_sql
 
 QUERIES = {
     "op1_compression_bands": quality.op1,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_secret_ownership": secrets.op9,
     "op10_typed_parts": chat.op10,
 }
-ORACLES = {"op10_typed_parts": chat.OP10_SQL}
+ORACLES = {"op6_path_templates": urls_sql.OP6_SQL, "op10_typed_parts": chat.OP10_SQL}

@@ -9,7 +9,7 @@ from brute import contamination, near_duplicates, secrets as secrets_of, url_rul
 from edges import PASSAGE, ROWS, SF, key_of
 from pyspark.sql import functions as F
 
-from footreach.llm import chat, components, decontam, dedup, secrets, urls
+from footreach.llm import chat, components, decontam, dedup, secrets, urls, urls_sql
 
 
 def table(name, cols, sf=SF):
@@ -231,6 +231,12 @@ def test_url_query(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
 
 
+def test_url_query_equals_sql(spark, duck):
+    rel = duck.sql(urls_sql.OP6_SQL)
+    got = urls.op6(spark, SF)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*rel.columns).collect()))) == sorted(map(repr, rel.fetchall()))
+
+
 # ---- chat ----------------------------------------------------------------------------------------
 
 TRICKY = ["", None, "\\", "\\b\\l\\h", "<turn>### user: x</turn>\n", "####", "#", "a: b", "\\### Assistant: </turn> ok", "<image:0.0>", "\n\n", "émoji \U0001f600"]
