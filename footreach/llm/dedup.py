@@ -11,10 +11,11 @@ similarity is at least 0.75, and a group is a connected component of links.
    probability (1 - 0.75^2)^24 = 2e-9. The prefix is as deep as a region needs: while a region of an order holds more
    than `REGION_ROWS` classes or `REGION_SHINGLES` shingles, its prefix grows. Classes that agree on the whole signature
    and are still too many are dealt over blocks that all hold the region's least class as a hub.
-3. *Confirm.* A region is bounded, so its sets meet in one task. There a pair is looked at only while its two classes are
-   in different groups, only if sizes and signatures allow 0.75 (22 of 48 minima: 4.8 standard deviations below), and
-   then on the full sets. What leaves the task are the links that joined groups, at most one per class: never all pairs.
-4. *Two rounds.* Two orders first; then all orders, but only regions in which several groups still meet.
+3. *Confirm.* A region is bounded, so it meets in one task: first its signatures, which drop the members without a partner
+   of another group that size and signature allow (22 of 48 minima: 4.8 standard deviations below 0.75), then the texts of
+   the others. There a pair is looked at only while its two classes are in different groups, and then on the full sets. What leaves the task are the links that joined groups, at most one per class: never all pairs.
+4. *Rounds.* Two orders first; then the others, but only regions in which several groups still meet; then, in 12 orders,
+   what longer prefixes parted: in a crowded region every class outside its largest group meets all others, in blocks.
 5. *Components* by star contraction over the links.
 
 Defined cases: null and empty texts have no set: component is the own id, kept. Null ids are linked with nothing and
@@ -37,8 +38,8 @@ from footreach.llm.components import component_roots
 from footreach.session import cut_lineage
 
 SHINGLE, NUM, DEN = 5, 75, 100
-HASHES, ORDERS, FIRST_ORDERS, MIN_DEPTH, MIN_AGREE = 48, 24, 2, 2, 22
-DEPTHS = (2, 3, 4, 6, 9, 14, 22, 34, 48)
+HASHES, ORDERS, FIRST_ORDERS, REST_ORDERS, MIN_AGREE = 48, 24, 2, 12, 22
+DEPTHS = (2, 4, 8, 16, 48)
 REGION_ROWS, REGION_SHINGLES, ALWAYS_ROWS = 1500, 1_500_000, 8
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -104,7 +105,7 @@ def _deeper(key, order, sig, at: int):
 
 
 def regions(classes: DataFrame, first: int, last: int) -> DataFrame:
-    """(key, rep, digest, label): classes by region of orders first..last-1, where at least two groups meet.
+    """(key, order, rep, digest, label): classes by region of orders first..last-1, where at least two groups meet.
 
     `classes`: rep, digest, n_shingles, sig, label. Rows that carry the signature are only those of crowded regions.
     """
@@ -118,14 +119,14 @@ def regions(classes: DataFrame, first: int, last: int) -> DataFrame:
         stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("rep").alias("hub"))
         crowded = (F.col("rows") > ALWAYS_ROWS) & ((F.col("rows") > REGION_ROWS) | (F.col("shingles") > REGION_SHINGLES))
         met = cut_lineage(rows.join(stats.filter("rows > 1 and l0 <> l1").select("key", "rows", "shingles", "hub", crowded.alias("crowded")), "key"))
-        parts.append(met.filter(~F.col("crowded")).select("key", "rep", "digest", "label"))
+        parts.append(met.filter(~F.col("crowded")).select("key", "order", "rep", "digest", "label"))
         full = met.filter("crowded")
         if full.isEmpty():
             break
         if then is None:
             n = F.ceil(F.greatest(F.col("rows") * 2.0 / REGION_ROWS, F.col("shingles") * 2.0 / REGION_SHINGLES)).cast("int")
             block = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), n).cast("int")))
-            parts.append(full.withColumn("block", F.explode(block)).select(F.xxhash64("key", "block").alias("key"), "rep", "digest", "label"))
+            parts.append(full.withColumn("block", F.explode(block)).select(F.xxhash64("key", "block").alias("key"), "order", "rep", "digest", "label"))
             break
         carried = full.join(sigs, (F.col("rep") == F.col("_rep")) & (F.col("digest") == F.col("_digest")))
         key = F.col("key")
@@ -138,8 +139,30 @@ def regions(classes: DataFrame, first: int, last: int) -> DataFrame:
     return out
 
 
-def region_links(reps: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join groups inside one region; every pair of different groups that may reach 0.75 is confirmed."""
+def crowded_rest(classes: DataFrame, last: int) -> DataFrame:
+    """(key, order, rep, digest, label): what longer prefixes may have parted in crowded regions, so that nothing is lost there.
+
+    Of two classes in different groups of a region at least one is outside the region's largest group: a stray. Blocks of
+    strays meet blocks of all classes of the region, each pair of blocks under a key of its own.
+    """
+    orders = F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("order")
+    rows = classes.select("rep", "digest", "n_shingles", "label", "sig", orders)
+    key = _deeper(_deeper(F.col("order"), F.col("order"), F.col("sig"), 0), F.col("order"), F.col("sig"), 1)
+    rows = rows.select("rep", "digest", "n_shingles", "label", "order", key.alias("key"))
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    stats = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("groups"), F.max_by("label", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("strays"))
+    crowded = stats.filter((F.col("groups") > 1) & (F.col("rows") > ALWAYS_ROWS) & ((F.col("rows") > REGION_ROWS) | (F.col("shingles") > REGION_SHINGLES)))
+    size = F.least(F.lit(REGION_ROWS), F.greatest(F.lit(1), F.floor(F.lit(REGION_SHINGLES) * F.col("rows") / F.col("shingles")).cast("int")))
+    met = rows.select("key", "order", "rep", "digest", "label").join(crowded.select("key", "largest", F.ceil(F.col("rows") / size).cast("int").alias("blocks"), F.ceil(F.col("strays") / size).cast("int").alias("stray_blocks")), "key")
+    own, stray = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("stray_blocks"))
+    every = met.select("key", "order", "rep", "digest", "label", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("stray"))
+    strays = met.filter(F.col("label") != F.col("largest")).select("key", "order", "rep", "digest", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), stray.alias("stray"))
+    return every.unionByName(strays.select("key", "order", "rep", "digest", "label", F.col("block").cast("bigint").alias("block"), F.col("stray").cast("int").alias("stray"))).select(
+        F.xxhash64("key", F.col("block").cast("bigint"), F.col("stray").cast("bigint")).alias("key"), "order", "rep", "digest", "label")
+
+
+def region_links(labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Groups that links inside one region join; every pair of classes of different groups that may reach 0.75 is confirmed."""
     root = {x: x for x in labels}
 
     def find(x: int) -> int:
@@ -161,30 +184,29 @@ def region_links(reps: list[int], labels: list[int], sets: list[np.ndarray]) ->
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if DEN * both >= NUM * (int(n[i]) + int(n[j]) - both):
                 root[max(a, b)] = min(a, b)
-                out.append((reps[i], reps[j]))
+                out.append((a, b))
     return out
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: one region at a time is in memory."""
     hashes = WordHashes()
-    key, seen, reps, labels, sets = None, set(), [], [], []
+    key, seen, labels, sets = None, set(), [], []
 
     def links() -> list[tuple[int, int]]:
-        return region_links(reps, labels, sets) if len(reps) > 1 else []
+        return region_links(labels, sets) if len(sets) > 1 else []
 
     out: list[tuple[int, int]] = []
     for keys, ids, digests, own, texts in small_batches(batches):
         for k, rep, digest, label, text in zip(keys.to_pylist(), ids, digests, own, texts):
             if k != key:
                 out += links()
-                key, seen, reps, labels, sets = k, set(), [], [], []
+                key, seen, labels, sets = k, set(), [], []
             if (rep, digest) in seen:
                 continue
             s = shingle_set(lower_bytes(text), hashes)
             if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # another row may share the id but not the text
                 seen.add((rep, digest))
-                reps.append(rep)
                 labels.append(label)
                 sets.append(s)
         if len(out) > 10_000:
@@ -195,9 +217,57 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
 
 
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key; those that have a partner of another group in their region which size and signature allow.
+
+    A pair that shares a region in several orders is looked at in the first one only. Had a longer prefix parted it there,
+    that region was crowded, and `crowded_rest` sees to it in the orders below REST_ORDERS.
+    """
+    key, rows = None, []
+
+    def some() -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        sigs, n, label = np.array([r[5] for r in rows]), np.array([r[4] for r in rows]), np.array([r[3] for r in rows])
+        good = np.zeros(len(rows), bool)
+        labels, sizes = np.unique(label, return_counts=True)
+        order = rows[0][6]
+        for i in np.flatnonzero(label != labels[sizes.argmax()]):  # a pair of different groups has one that is not of the largest
+            same = sigs == sigs[i]
+            may = np.flatnonzero((same.sum(axis=1) >= MIN_AGREE) & (label != label[i]) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])))
+            met = (same[may, 0::2] & same[may, 1::2])[:, :min(order, REST_ORDERS)].any(axis=1)  # an earlier order has looked at the pair
+            good[may[~met]] = True
+            good[i] |= not met.all()
+        return [rows[i][:4] for i in np.flatnonzero(good)]
+
+    names, kinds = ["key", "rep", "digest", "label"], [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    out: list[tuple] = []
+    for keys, *cols in small_batches(batches, 2048):
+        for row in zip(keys.to_pylist(), *cols):
+            if row[0] != key:
+                out += some()
+                key, rows = row[0], []
+            rows.append(row)
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            out = []
+    out += some()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
+def promising(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members whose texts are worth sending: signatures (192 bytes) meet in the regions first."""
+    signed = members.join(classes.select("rep", "digest", "n_shingles", "sig"), ["rep", "digest"]).select("key", "rep", "digest", "label", "n_shingles", "sig", "order")
+    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(_promising, "key bigint, rep bigint, digest binary, label bigint")
+
+
 def confirmed_links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) between class representatives, from regions; texts of the regions' members travel, nothing else does."""
-    text = members.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("key", "rep", "digest", "label", "text")
+    """(u, v) between groups, from regions; texts of promising members travel, nothing else does.
+
+    Always by sort-merge: with few members Spark would broadcast them and not deal the texts, a plan that ends at some size.
+    """
+    text = members.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("key", "rep", "digest", "label", "text")
     return text.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm, "u bigint, v bigint")
 
 
@@ -207,17 +277,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut_lineage(signed(docs))
     usable = rows.filter("n_shingles > 0 and doc_id is not null")
     least = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = cut_lineage(usable.withColumnRenamed("doc_id", "rep").join(least, ["digest", "rep"], "left_semi").dropDuplicates(["digest", "rep"]).withColumn("label", F.col("rep")))
+    labelled = cut_lineage(usable.withColumnRenamed("doc_id", "rep").join(least, ["digest", "rep"], "left_semi").dropDuplicates(["digest", "rep"]).withColumn("label", F.col("rep")))
     same_id = usable.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("doc_id")
-    shared = usable.join(same_id, "doc_id", "left_semi").join(least, "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    first = cut_lineage(confirmed_links(regions(classes, 0, FIRST_ORDERS), docs).unionByName(shared))
-    roots = cut_lineage(component_roots(first))
-    labelled = classes.drop("label").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    rest = cut_lineage(confirmed_links(regions(cut_lineage(labelled), 0, ORDERS), docs))
-    roots = cut_lineage(component_roots(first.unionByName(rest))) if not rest.isEmpty() else roots
+    parts = [usable.join(same_id, "doc_id", "left_semi").join(least, "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))]
+    for step in (lambda c: regions(c, 0, FIRST_ORDERS), lambda c: regions(c, FIRST_ORDERS, ORDERS), lambda c: crowded_rest(c, REST_ORDERS)):
+        members = cut_lineage(promising(step(labelled), labelled))
+        if not members.isEmpty():
+            parts.append(confirmed_links(members, docs))
+        if not parts:
+            continue
+        found = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+        parts = []
+        if not found.isEmpty():  # links join groups, so only groups go into the components, and their classes are named anew
+            labelled = cut_lineage(labelled.join(component_roots(found), F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component"))
     by_id = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    out = by_id.join(least, "digest", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    comp = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
+    out = by_id.join(labelled.select("digest", "rep", "label"), "digest", "left")
+    comp = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"),
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
 
