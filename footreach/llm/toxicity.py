@@ -6,8 +6,10 @@ gradient sum and a squared-gradient sum per coordinate, which gives each its own
 weights at exactly zero: what is broadcast is the list of the others.
 
 Fit: on at most `MAX_TOXIC` + `MAX_CLEAN` labelled rows, the ones whose hashed id is least (a bound, not a share: the
-model's size and its one training task stay the same at any corpus size). Their features are made in the tasks that hold
-the texts; the passes of the optimiser run over them in one task, in a fixed order. Scores: every whole text, in place.
+model's size and its one training task stay the same at any corpus size). One hash threshold holds for all labelled rows,
+so both classes keep their natural share, and the intercept with it, whether or not the bound acts. Their features are
+made in the tasks that hold the texts; the passes of the optimiser run over them in one task, in a fixed order. Scores:
+every whole text, in place.
 
 Defined cases: a null or empty text has no features and scores by the intercept; a doc id with several labels is toxic if
 one says so; labels without a document and null labels are left out; without labelled rows of both kinds every score is
@@ -110,11 +112,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample_of_labels(labels: DataFrame, label_col: str = "toxic") -> DataFrame:
-    """(doc_id, toxic, rank): at most MAX_TOXIC toxic and MAX_CLEAN other ids, those whose hash is least."""
+    """(doc_id, toxic, rank): at most MAX_TOXIC + MAX_CLEAN ids of either class, those whose hash is least."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rank = F.xxhash64("doc_id").alias("rank")
-    pick = lambda y, n: one.filter(F.col("toxic") == y).select("doc_id", "toxic", rank).orderBy("rank", "doc_id").limit(n)
-    return pick(1, MAX_TOXIC).unionByName(pick(0, MAX_CLEAN))
+    return one.select("doc_id", "toxic", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(MAX_TOXIC + MAX_CLEAN)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:

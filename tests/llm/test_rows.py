@@ -208,6 +208,20 @@ def test_toxicity_held_out(spark):
     assert auc > 0.97 and sum(s >= 0.5 for s in neg) <= 0.01 * len(neg) and sum(s >= 0.5 for s in pos) >= 0.8 * len(pos)
 
 
+def test_toxicity_bound_keeps_class_shares(spark, monkeypatch):
+    """Where the bound on labelled rows acts, both classes keep their share and clean held-out rows stay clean."""
+    sf = SF.replace("sf0.001", "sf0.1")
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 200)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 400)
+    labels = dict(duckdb.sql(f"select doc_id, max(toxic) from '{sf}/labels.parquet' group by 1").fetchall())
+    learned = spark.read.parquet(f"{sf}/labels.parquet").filter(~toxicity.held_out(toxicity.F.col("doc_id")))
+    sample = [r.toxic for r in toxicity.sample_of_labels(learned).collect()]
+    assert len(sample) == 600 and abs(sum(sample) / 600 - sum(labels.values()) / len(labels)) < 0.03
+    held = [(r.predicted, labels[r.doc_id]) for r in toxicity.op3(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    found = [y for p, y in held if p]
+    assert sum(found) >= 0.9 * len(found) and sum(found) >= 0.4 * sum(y for _, y in held)
+
+
 def test_empty_tables(spark, no_docs, library):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     for df in (quality.quality_rules(no_docs), tokens.token_counts(no_docs, library[0]), licenses.license_spans(no_docs), packing.packed(no_docs),
