@@ -1,13 +1,17 @@
 """Secret scans with corpus-wide ownership frequency. Built-in expressions only.
 
 Spans: three base kinds by pattern (assign, access, hex), and further kinds of key-like strings that the corpus decides
-about: every candidate's hash is counted over distinct repositories and distinct owners. A value that several owners
-carry is a widely copied example; one that belongs to few owners, in few repositories, and has the mixed look of a live
-key is taken for an owner's credential and becomes a span. Base spans always stay.
+about: every candidate's hash is counted over distinct repositories, distinct owners and distinct texts. A value that
+several owners carry is a widely copied example; one that belongs to one owner, or to few owners in few texts, and has
+the mixed look of a live key is taken for an owner's credential and becomes a span. Base spans always stay.
 
-Counts are of (hash, owner, repository) triples reduced twice with map-side sums, so a value that a third of all rows
-carries arrives as a few partial rows; the verdict goes back to the documents by a join on the hash that is dealt by
-(hash, salt) for hot values.
+A value of one owner is live in however many documents it stands. A value that stands in one distinct text only is live
+too: its copies are copies of the document, not of the value. For two owners the limit is `MAX_REPOSITORIES` distinct
+texts, or `REPOSITORY_SHARE` of the corpus's distinct texts where that is more.
+
+Counts are of (hash, owner, repository) triples reduced twice with map-side sums, and of (hash, text digest) pairs, so a
+value that a third of all rows carries arrives as a few partial rows; the verdict goes back to the documents by a join on
+the hash that is dealt by (hash, salt) for hot values.
 
 Defined cases: a null text is empty; repeated rows stay one result row each; null owners count as one owner; other
 columns are ignored, whatever their names; an empty table gives an empty table.
@@ -27,7 +31,7 @@ HEX = r"[0-9a-f]{16,}"
 #: Key forms with a public prefix, and long mixed strings. Candidates only: ownership decides.
 KEYED = r"(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk|pk|rk)[_-][A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|[A-Za-z0-9+/_-]{24,}={0,2}"
 KINDS = ("assign", "access", "hex", "key")
-MAX_OWNERS, MAX_REPOSITORIES, SALTS = 2, 50, 16
+MAX_OWNERS, MAX_REPOSITORIES, REPOSITORY_SHARE, SALTS = 2, 50, 0.005, 16
 
 
 def found(text: Column, pattern: str, kind: int, value_group: int | None = None, least: int = 0) -> Column:
@@ -56,21 +60,21 @@ def _none() -> Column:
 
 
 def candidate_spans(docs: DataFrame, *, id_col: str, text_col: str, owner_col: str, repo_col: str, keep: list[str] = ()) -> DataFrame:
-    """One row per document row: row number, id, owner, repo, kept columns as one struct, base spans, key candidates outside them."""
+    """One row per document row: row number, id, owner, repo, text digest, kept columns as one struct, base spans, key candidates outside them."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     low = F.lower(text)
     some = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
     d = docs.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept"), F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
                     F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("_text"))
-    d = d.select("row", "kept", "doc_id", "owner", "repo",
+    d = d.select("row", "kept", "doc_id", "owner", "repo", F.xxhash64(text).alias("digest"),
                  F.when(some, found(text, ASSIGN, 0, 1, 12)).otherwise(_none()).alias("assign"),
                  F.when(text.contains("AKIA"), found(text, ACCESS, 1)).otherwise(_none()).alias("access"),
                  F.when(text.rlike(HEX), found(text, HEX, 2)).otherwise(_none()).alias("hex"),
                  F.when(text.rlike(KEYED), found(text, KEYED, 3)).otherwise(_none()).alias("key"))
     base = F.concat("assign", "access", "hex")
     apart = F.filter("key", lambda k: ~F.exists(base, lambda b: (b["start"] < k["end"]) & (k["start"] < b["end"])))
-    return d.select("row", "kept", "doc_id", "owner", "repo", F.size("assign").cast("bigint").alias("n_assign"), F.size("access").cast("bigint").alias("n_access"),
+    return d.select("row", "kept", "doc_id", "owner", "repo", "digest", F.size("assign").cast("bigint").alias("n_assign"), F.size("access").cast("bigint").alias("n_access"),
                     F.size("hex").cast("bigint").alias("n_hex"), F.array_sort(base).alias("base"), F.filter(apart, lambda k: looks_live(k["value"])).alias("key"))
 
 
@@ -81,11 +85,12 @@ def looks_live(value: Column) -> Column:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """hash, owners, repositories of every candidate value, over the whole corpus."""
-    each = spans.select("owner", "repo", F.explode(F.concat("base", "key")).alias("s")).select("owner", "repo", F.sha2(F.col("s.value"), 256).alias("hash"))
+    """hash, owners, repositories, texts of every candidate value, over the whole corpus."""
+    each = spans.select("owner", "repo", "digest", F.explode(F.concat("base", "key")).alias("s")).select("owner", "repo", "digest", F.sha2(F.col("s.value"), 256).alias("hash"))
     triples = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
     pairs = triples.groupBy("hash", "owner").agg(F.sum("one").alias("repos"))
-    return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"))
+    texts = each.groupBy("hash", "digest").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
+    return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories")).join(texts, "hash")
 
 
 SPANS = "array<struct<start:int,rank:int,end:int,owners:bigint,repositories:bigint,live:boolean>>"
@@ -93,7 +98,9 @@ SPANS = "array<struct<start:int,rank:int,end:int,owners:bigint,repositories:bigi
 
 def judged_spans(rows: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
     """(row, spans) of the rows that have any: base spans with their verdict, and the further ones that look live."""
-    owned = ownership(rows).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    limit = max(max_repositories, REPOSITORY_SHARE * rows.select("digest").distinct().count())
+    carriers = F.when(F.col("texts") == 1, 1).otherwise(F.col("owners"))
+    owned = ownership(rows).withColumn("live", (carriers <= max_owners) & ((carriers == 1) | (F.col("texts") <= limit))).drop("texts")
     each = rows.select("row", F.explode(F.concat("base", "key")).alias("s")).select(
         "row", "s.start", "s.rank", "s.end", F.sha2(F.col("s.value"), 256).alias("hash"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
     dealt = owned.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
