@@ -3,7 +3,8 @@
 The zstandard ratio (compressed bytes over bytes) is taken over the whole text and over its fixed chunks. Repetitive text
 compresses far below ordinary text and random or encoded text far above it; what is ordinary depends on the length, so
 each band of lengths has its own limits. A text is rejected when its whole ratio leaves its band or when more than
-`max_bad_chunks` of its full chunks do.
+`MAX_BAD_CHUNKS` of its chunks do; what follows the last full chunk is a chunk too, held to the band of its own length.
+`n_chunks` counts the full chunks, `n_bad_chunks` all that leave their limits.
 
 Words are runs of anything but the six ASCII white-space characters, which is what ``bytes.split()`` gives.
 
@@ -72,19 +73,26 @@ def text_stats(b: bytes) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated_words(words))
 
 
+def limits(n_bytes: int) -> tuple[float, float]:
+    return next((lo, hi) for below, lo, hi in BANDS if n_bytes < below)
+
+
 def compression(b: bytes, zip_: zstandard.ZstdCompressor) -> tuple[float | None, int, int, bool]:
-    """Whole ratio, full chunks, chunks outside the chunk limits, and whether the text is within its bands."""
+    """Whole ratio, full chunks, chunks outside their limits (the tail included), and whether the text is within its bands."""
     if not b:
         return None, 0, 0, False
     ratio = len(zip_.compress(b)) / len(b)
-    low, high = next((lo, hi) for below, lo, hi in BANDS if len(b) < below)
-    n = len(b) // CHUNK_BYTES
+    low, high = limits(len(b))
+    n, tail = divmod(len(b), CHUNK_BYTES)
     bad = 0
     view = memoryview(b)
-    for k in range(n if n > 1 else 0):
+    for k in range(n):
         r = len(zip_.compress(view[k * CHUNK_BYTES:(k + 1) * CHUNK_BYTES])) / CHUNK_BYTES
         bad += not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1]
-    return ratio, n, bad, low <= ratio <= high and bad <= MAX_BAD_CHUNKS * n
+    if n and tail:
+        least, most = limits(tail)
+        bad += not least <= len(zip_.compress(view[n * CHUNK_BYTES:])) / tail <= most
+    return ratio, n, bad, low <= ratio <= high and bad <= MAX_BAD_CHUNKS * (n + (n > 0 and tail > 0))
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,22 @@ def test_random_text_is_incompressible(spark):
     assert got == {1: False, 2: True}
 
 
+def test_every_chunk_of_a_text_is_judged(spark):
+    """One bad full chunk, and a bad tail, in texts whose whole ratio is within its band."""
+    import random
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeiounrtsl") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    plain = " ".join(rng.choice(words) for _ in range(3000))
+    texts = [(1, "spam " * 820 + plain[:4086]), (2, plain[:8192] + "spam " * 400), (3, plain[:8186])]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    zip_ = quality.zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False)
+    verdict = {d: quality.compression(t.encode(), zip_) for d, t in texts}
+    assert all(lo <= verdict[d][0] <= hi for d, t in texts for lo, hi in [quality.limits(len(t))])
+    assert {d: v[1:] for d, v in verdict.items()} == {1: (1, 1, False), 2: (2, 1, False), 3: (1, 0, True)}
+    assert {d: (r.n_chunks, r.n_bad_chunks) for d, r in got.items()} == {1: (1, 1), 2: (2, 1), 3: (1, 0)}
+    assert not got[1].kept and not got[2].kept and got[3].kept
+
+
 def test_quality_query(spark):
     docs = dict(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
     rows = quality.op1(spark, SF).collect()
