@@ -6,44 +6,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach.functions.scalars import row_bytes
+from footreach.session import cut_lineage
 
 
-SPLITS = 512
+def _sliced(vals: DataFrame, by: list[str]) -> DataFrame:
+    """by..., _v, _n, _b: distinct values with their counts in slices that rise with the value.
 
+    Range partitioning on (by, value) is the slicing: equal keys stay together, a large group is spread over many
+    partitions, a partition's number is the slice. Written once, so that counts and picks see the same slices.
+    """
+    uniq = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return cut_lineage(uniq.repartitionByRange(*by, "_v").withColumn("_b", F.spark_partition_id()))
+
+
+def _slices(uniq: DataFrame, by: list[str]) -> DataFrame:
+    """by..., _b, _bn rows in the slice, _before rows of the group in earlier slices; a group has at most as many rows here as there are partitions."""
+    order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return uniq.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn")).withColumn("_before", F.coalesce(F.sum("_bn").over(order), F.lit(0)))
 
-def _cut_points(col: str) -> Column:
-    steps = ", ".join(repr(i / SPLITS) for i in range(1, SPLITS))
-    return F.expr(f"percentile_approx({col}, array({steps}), {10 * SPLITS})")
+
+def _same(by: list[str], *more: str) -> Column:
+    """Join condition of `l` and `r` on the group (a null group is a group) and further columns."""
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    for c in more:
+        cond = cond & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    return cond
 
 
 def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: by..., prob, value.
 
-    Equal values collapse first. Approximate split points per group cut the rest into slices of about 1/512 of the
-    group; the slice counts say which slices hold the wanted ranks, and only those slices are ranked, each by itself.
+    Equal values collapse first and are sliced by range. The slice counts say which slices hold the wanted ranks, and
+    only those slices are ranked, each by itself.
     """
     by = list(by)
     vals = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
-    uniq = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = uniq.groupBy(*by).agg(_cut_points("_v").alias("_cuts"))
-    if by:
-        uniq = uniq.join(cuts, by)
-    else:
-        uniq = uniq.withColumn("_cuts", cuts.select("_cuts").scalar())
-    uniq = uniq.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    slices = uniq.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn")).withColumn(
-        "_before", F.coalesce(F.sum("_bn").over(order), F.lit(0))).withColumn(
-        "_total", F.sum("_bn").over(Window.partitionBy(*by)))
+    uniq = _sliced(vals, by)
+    slices = _slices(uniq, by).withColumn("_total", F.sum("_bn").over(Window.partitionBy(*by)))
     want = slices.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
         "_pos", F.col("prob") * (F.col("_total") - 1).cast("double"))
-    ends = want.withColumn("_rank", F.explode(F.array(F.floor("_pos"), F.ceil("_pos")))).distinct().filter(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bn")))
+    ends = cut_lineage(want.withColumn("_rank", F.explode(F.array(F.floor("_pos"), F.ceil("_pos")))).distinct().filter(
+        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bn"))))
     inside = Window.partitionBy(*by, "_b").orderBy("_v")
-    needed = uniq.join(ends.select(*by, "_b").distinct(), [*by, "_b"], "left_semi").withColumn(
+    needed = uniq.alias("l").join(ends.select(*by, "_b").distinct().alias("r"), _same(by, "_b"), "left_semi").withColumn(
         "_upto", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    picked = ends.join(needed, [*by, "_b"]).filter(
-        (F.col("_before") + F.col("_upto") > F.col("_rank")) & (F.col("_before") + F.col("_upto") - F.col("_n") <= F.col("_rank")))
+    picked = ends.alias("l").join(needed.alias("r"), _same(by, "_b")).filter(
+        (F.col("_before") + F.col("_upto") > F.col("_rank")) & (F.col("_before") + F.col("_upto") - F.col("_n") <= F.col("_rank"))).select(
+        "l.*", "r._v")
     low = F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v")))
     high = F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v")))
     part = F.max("_pos") - F.floor(F.max("_pos"))
@@ -53,23 +64,18 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = ()) -
 def ranks(df: DataFrame, col: str, by: list[str] = (), ascending: bool = True) -> DataFrame:
     """Add rank_min (1 + rows strictly before) and rank_avg (mean rank of the tie) without a one-task window.
 
-    Same slices as `quantiles`: ranks are counted over distinct values, slice by slice, and joined back by value.
+    Same slices as `quantiles`: ranks are counted over distinct values, slice by slice, and joined back by value. Rows
+    without a value have no rank.
     """
     by = list(by)
     sign = 1.0 if ascending else -1.0
     vals = df.withColumn("_v", F.col(col).cast("double") * F.lit(sign))
-    uniq = vals.filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = uniq.groupBy(*by).agg(_cut_points("_v").alias("_cuts"))
-    uniq = uniq.join(cuts, by) if by else uniq.withColumn("_cuts", cuts.select("_cuts").scalar())
-    uniq = uniq.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    slices = uniq.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn")).withColumn(
-        "_before", F.coalesce(F.sum("_bn").over(order), F.lit(0))).select(*by, "_b", "_before")
+    uniq = _sliced(vals.filter(F.col("_v").isNotNull()).select(*by, "_v"), by)
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = uniq.join(slices, [*by, "_b"]).withColumn(
+    ranked = uniq.alias("l").join(_slices(uniq, by).alias("r"), _same(by, "_b")).select("l.*", "r._before").withColumn(
         "rank_min", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).withColumn(
         "rank_avg", F.col("rank_min") + (F.col("_n") - 1) / 2.0).select(*by, "_v", "rank_min", "rank_avg")
-    return vals.join(ranked, [*by, "_v"], "left").drop("_v")
+    return vals.alias("l").join(ranked.alias("r"), _same(by, "_v"), "left").select("l.*", "r.rank_min", "r.rank_avg").drop("_v")
 
 
 def box_plot(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
