@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footreach.llm import chat, decontam, dedup, licenses, packing, quality, repair, secrets, tokens, toxicity, urls, urls_sql
+from footreach.llm import chat, decontam, dedup, licenses, packing, quality, ranking, repair, secrets, tokens, toxicity, urls, urls_sql
 
 QUERIES = {
     "op1_compression_bands": quality.op1,
@@ -16,5 +16,11 @@ QUERIES = {
     "op9_secret_ownership": secrets.op9,
     "op10_typed_parts": chat.op10,
     "op11_auction_repair": repair.op11,
+    "op12_dense_ranking": ranking.op12,
+}
+ORACLES = {
+    "op6_path_templates": urls_sql.OP6_SQL,
+    "op10_typed_parts": chat.OP10_SQL,
+    "op11_auction_repair": repair.OP11_SQL,
+    "op12_dense_ranking": ranking.OP12_SQL,
 }
-ORACLES = {"op6_path_templates": urls_sql.OP6_SQL, "op10_typed_parts": chat.OP10_SQL, "op11_auction_repair": repair.OP11_SQL}
