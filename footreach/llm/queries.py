@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footreach.llm import chat, decontam, dedup, licenses, packing, quality, ranking, repair, secrets, tokens, toxicity, urls, urls_sql
+from footreach.llm import chat, decontam, dedup, jaccard_join, licenses, packing, quality, ranking, repair, secrets, tokens, toxicity, urls, urls_sql
 
 QUERIES = {
     "op1_compression_bands": quality.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_typed_parts": chat.op10,
     "op11_auction_repair": repair.op11,
     "op12_dense_ranking": ranking.op12,
+    "op13_metric_join": jaccard_join.op13,
 }
 ORACLES = {
     "op6_path_templates": urls_sql.OP6_SQL,

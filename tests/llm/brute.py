@@ -47,12 +47,12 @@ def contamination(docs, items):
     return out
 
 
-def near_duplicates(docs):
-    """rows (id, text) with distinct ids -> {id: (n_shingles, component)}."""
+def near_duplicates(docs, words=5, percent=75):
+    """rows (id, text) -> {id: (n_shingles, component)}; rows that share an id are one node with the sizes of the last one."""
     sets = {}
     for d, t in docs:
         w = SPACED.findall((t or "").translate(LOWER))
-        sets[d] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets[d] = {tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
     root = {d: d for d in sets}
 
     def find(x):
@@ -70,7 +70,7 @@ def near_duplicates(docs):
             for b in ids[i + 1:]:
                 common[a, b] += 1
     for (a, b), n in common.items():
-        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in sets}
