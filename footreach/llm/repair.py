@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from footreach.session import cut_lineage
 
-FRAGMENT, FRAGMENT_BYTES = 256, 4_000_000
+FRAGMENT, FRAGMENT_BYTES = 64, 4_000_000
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
 INF = 1 << 60
 E, S, U, A = range(4)
@@ -263,7 +263,8 @@ def border_traces(frags: DataFrame) -> DataFrame:
     """conv, part, frag, audits, ends for the fragments of conversations that have several."""
     many = frags.groupBy("conv").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("part", "frag")).alias("end")).filter("n > 1").drop("n")
     light = frags.select("conv", "part", "frag", "codes", "copies").join(many, "conv").withColumn("last", F.col("end") == F.struct("part", "frag")).drop("end")
-    light = cut_lineage(light)
+    tasks = int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = cut_lineage(light.repartition(tasks, "conv", "part", "frag"))  # a long conversation's auctions go to all tasks, however few bytes they are
     costs = light.mapInArrow(_matrices, "conv string, part int, frag bigint, m array<bigint>")
     exits = costs.groupBy("conv").applyInPandas(_fold, "conv string, part int, frag bigint, exits array<bigint>")
     return light.join(exits, ["conv", "part", "frag"]).mapInArrow(_trace_all, "conv string, part int, frag bigint, audits array<string>, ends array<int>")
