@@ -110,7 +110,7 @@ def test_matching_statistics_and_base_places():
     import random
     rng = random.Random(2)
     machine = licenses.automaton()
-    texts = [t.split() for _, t in licenses.TEMPLATES] + [t.split() for t, _ in licenses.PHRASES]
+    texts = [t.split() for _, _, t in licenses.TEMPLATES] + [t.split() for t, _ in licenses.PHRASES] + [t.split() for _, t in licenses.NAMES]
     words = [w for t in texts for w in t] + ["x", "y"]
 
     def longest(seq, i):
@@ -124,7 +124,7 @@ def test_matching_statistics_and_base_places():
         return n
 
     for k in range(400):
-        seq = " ".join(rng.choice([rng.choice(words), rng.choice(licenses.PHRASES)[0], rng.choice(licenses.TEMPLATES)[1]]) for _ in range(rng.randint(0, 8))).split()
+        seq = " ".join(rng.choice([rng.choice(words), rng.choice(licenses.PHRASES)[0], rng.choice(licenses.TEMPLATES)[2]]) for _ in range(rng.randint(0, 8))).split()
         base, matches = machine.stream([w.encode() for w in seq])
         assert (len(base), min((s for s, _ in base), default=None)) == license_base(" ".join(seq))[1:3]
         if k < 60:
@@ -134,7 +134,7 @@ def test_matching_statistics_and_base_places():
 
 def test_broken_notice_is_one_span():
     machine = licenses.automaton()
-    notice = licenses.TEMPLATES[0][1].split()
+    notice = licenses.TEMPLATES[0][2].split()
     seq = ["x"] * 5 + notice[:12] + ["y", "z"] + notice[12:] + ["x"] * 3
     spans, best = machine.spans(machine.stream([w.encode() for w in seq])[1])
     assert ("gpl", 5, 5 + len(notice) + 1) in [s[:3] for s in spans] and best == 1.0
@@ -142,6 +142,56 @@ def test_broken_notice_is_one_span():
     assert not spans and 0 < best < licenses.MIN_COVER
 
 
+SENTENCES = {
+    "released under the GNU Lesser General Public License": "lgpl", "GNU Affero General Public License": "agpl", "the general public license fee": "",
+    "Attribution-ShareAlike 4.0": "cc-by-sa", "cc by nc sa 4.0": "cc-by,cc-by-nc-sa", "Released under the MIT license.": "mit", "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "See the Mozilla Public License, v. 2.0": "mpl", "the terms of the license and the software": "", "GNU General Public License version 3": "gpl",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": "lgpl",
+    "Permission is hereby granted, free of charge, to any person": "", "Creative Commons Attribution-NonCommercial-NoDerivatives": "cc-by-nc-nd", "BSD 3-Clause": "bsd",
+}
+
+
+def test_license_sentences(spark):
+    docs = spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id bigint, text string")
+    assert {list(SENTENCES)[r.doc_id]: r.labels for r in licenses.license_spans(docs).collect()} == SENTENCES
+
+
+def test_runs_and_chains_equal_exhaustive_search():
+    """All maximal common runs, and the heaviest of all chains of them."""
+    import random
+    rng = random.Random(12)
+    words = "a b c d e".split()
+    for _ in range(250):
+        texts = [[rng.choice(words) for _ in range(rng.randint(3, 9))] for _ in range(3)]
+        code = lambda seq: [w.encode() for w in seq]
+        machine = licenses.SuffixAutomaton([("x", code(t[:1]), code(t)) for t in texts], [])
+        seq = [rng.choice([*words, "z"]) for _ in range(rng.randint(0, 14))]
+        got = machine.runs(machine.stream(code(seq))[1])
+        for k, t in enumerate(texts):
+            runs = []
+            for i in range(len(seq)):
+                for p in range(len(t)):
+                    if seq[i] == t[p] and (i + 1 == len(seq) or p + 1 == len(t) or seq[i + 1] != t[p + 1]):
+                        n = 0
+                        while n <= min(i, p) and seq[i - n] == t[p - n]:
+                            n += 1
+                        if n >= licenses.MIN_MATCH:
+                            runs.append((i, p, n))
+            assert sorted(got.get(k, [])) == sorted(runs)
+            if runs:
+                def heaviest(last, weight):
+                    top = weight
+                    for e, p, n in runs:
+                        if last is None:
+                            top = max(top, heaviest((e, p), machine.weight[k][p + 1] - machine.weight[k][p + 1 - n]))
+                        elif e > last[0] and p > last[1]:
+                            own = min(n, e - last[0], p - last[1])
+                            if e - own - last[0] <= licenses.MAX_GAP and p - own - last[1] <= licenses.MAX_GAP:
+                                top = max(top, heaviest((e, p), weight + machine.weight[k][p + 1] - machine.weight[k][p + 1 - own]))
+                    return top
+                assert machine.best_chain(k, runs)[0] == pytest.approx(heaviest(None, 0.0))
+
+
 def test_license_query(spark):
     docs = dict(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
     rows = licenses.op5(spark, SF).collect()
