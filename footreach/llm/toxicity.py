@@ -5,15 +5,15 @@ neighbouring words, and pairs with one word between (skip-grams), each hashed in
 gradient sum and a squared-gradient sum per coordinate, which gives each its own rate, and its L1 term leaves most
 weights at exactly zero: what is broadcast is the list of the others.
 
-Fit: on at most `MAX_TOXIC` + `MAX_CLEAN` labelled rows, the ones whose hashed id is least (a bound, not a share: the
-model's size and its one training task stay the same at any corpus size). One hash threshold holds for all labelled rows,
+Fit: on at most `MAX_ROWS` labelled rows, the ones whose hashed id is least (a bound, not a share: the model's size and its
+one training task stay the same at any corpus size, however many rows share an id; equal rows of an id are one). One hash threshold holds for all labelled rows,
 so both classes keep their natural share, and the intercept with it, whether or not the bound acts. Their features are
 made in the tasks that hold the texts; the passes of the optimiser run over them in one task, in a fixed order. Scores:
 every whole text, in place.
 
 Defined cases: a null or empty text has no features and scores by the intercept; a doc id with several labels is toxic if
-one says so; labels without a document and null labels are left out; without labelled rows of both kinds every score is
-the share of toxic ones (0 without any); repeated rows stay; other columns are never read.
+one says so; labels without a document and null labels are left out; with labelled rows of one kind only the model says that kind
+(scores below 0.01 or above 0.99 on texts like them), without any every score is below 1e-9; repeated rows stay; other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from footreach.llm.batches import ALNUM, lower_bytes, small_batches
 
 BITS = 22
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 8.0, 1.0, 5
-MAX_TOXIC, MAX_CLEAN, STEM = 4000, 8000, 5
+MAX_ROWS, STEM = 12_000, 5
 _SHIFT = np.uint32(32 - BITS)
 _P = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393)]
 
@@ -93,35 +93,40 @@ def fit_rows(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, labels, texts in small_batches(batches, 64):
+    for keys, digests, labels, texts in small_batches(batches, 64):
         got = [np.unique(feature_places(words_of(t))).astype(np.int32) for t in texts]
-        yield pa.RecordBatch.from_arrays([keys, pa.array(labels, pa.int32()), pa.array(got, pa.list_(pa.int32()))], names=["rank", "toxic", "places"])
+        yield pa.RecordBatch.from_arrays([keys, pa.array(digests, pa.int64()), pa.array(labels, pa.int32()), pa.array(got, pa.list_(pa.int32()))], names=["rank", "digest", "toxic", "places"])
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        lists = batch.column(2)
+        lists = batch.column(3)
         flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-        for end, n, rank, label in zip(ends, lists.value_lengths().to_numpy(), batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.append((rank, np.append(flat[end - n:end], np.int32(1 << BITS)), label))
-    rows.sort(key=lambda r: (r[0], r[2], len(r[1])))
+        for end, n, rank, digest, label in zip(ends, lists.value_lengths().to_numpy(), *(batch.column(i).to_pylist() for i in range(3))):
+            rows.append((rank, np.append(flat[end - n:end], np.int32(1 << BITS)), label, digest))
+    rows.sort(key=lambda r: (r[0], r[3]))
     if rows:
-        at, w = fit_rows([(a, y) for _, a, y in rows])
+        at, w = fit_rows([(a, y) for _, a, y, _ in rows])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w.astype(np.float64))], names=["place", "weight"])
 
 
 def sample_of_labels(labels: DataFrame, label_col: str = "toxic") -> DataFrame:
-    """(doc_id, toxic, rank): at most MAX_TOXIC + MAX_CLEAN ids of either class, those whose hash is least."""
+    """(doc_id, toxic, rank): at most MAX_ROWS ids, those whose hash is least."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    return one.select("doc_id", "toxic", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(MAX_TOXIC + MAX_CLEAN)
+    return one.select("doc_id", "toxic", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(MAX_ROWS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """(places, weights) of the fitted model; the sample is at most 12,000 ids and so may be broadcast."""
+def fit_features(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> DataFrame:
+    """rank, digest, toxic, places of the learned rows: at most MAX_ROWS ids, which may be broadcast, and at most MAX_ROWS rows."""
     sample = sample_of_labels(labels, label_col)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("rank", "toxic", "text").mapInArrow(_features, "rank bigint, toxic int, places array<int>")
-    got = rows.repartition(1).mapInArrow(_fit, "place bigint, weight double").toArrow()
+    one = docs.join(F.broadcast(sample), "doc_id").select("rank", F.xxhash64("text").alias("digest"), "toxic", "text").dropDuplicates(["rank", "digest"])
+    return one.mapInArrow(_features, "rank bigint, digest bigint, toxic int, places array<int>").orderBy("rank", "digest").limit(MAX_ROWS)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
+    """(places, weights) of the fitted model."""
+    got = fit_features(docs, labels, label_col).repartition(1).mapInArrow(_fit, "place bigint, weight double").toArrow()
     at, w = got.column("place").to_numpy(), got.column("weight").to_numpy()
     if len(at):
         return at, w

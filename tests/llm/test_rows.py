@@ -277,8 +277,7 @@ def test_toxicity_held_out(spark):
 def test_toxicity_bound_keeps_class_shares(spark, monkeypatch):
     """Where the bound on labelled rows acts, both classes keep their share and clean held-out rows stay clean."""
     sf = SF.replace("sf0.001", "sf0.1")
-    monkeypatch.setattr(toxicity, "MAX_TOXIC", 200)
-    monkeypatch.setattr(toxicity, "MAX_CLEAN", 400)
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 600)
     labels = dict(duckdb.sql(f"select doc_id, max(toxic) from '{sf}/labels.parquet' group by 1").fetchall())
     learned = spark.read.parquet(f"{sf}/labels.parquet").filter(~toxicity.held_out(toxicity.F.col("doc_id")))
     sample = [r.toxic for r in toxicity.sample_of_labels(learned).collect()]
@@ -288,6 +287,50 @@ def test_toxicity_bound_keeps_class_shares(spark, monkeypatch):
     assert sum(found) >= 0.9 * len(found) and sum(found) >= 0.4 * sum(y for _, y in held)
 
 
+def test_toxicity_of_one_kind_and_of_repeated_ids(spark, monkeypatch):
+    """One kind of labels says that kind; an id on many rows, of equal and of different texts, stays within the bound."""
+    docs = spark.createDataFrame([(1, f"some plain words number {i % 7}") for i in range(500)] + [(2, f"text {i}") for i in range(300)] + [(k, "other words here") for k in range(3, 30)], "doc_id bigint, text string")
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(k, kind) for k in range(1, 30)], "doc_id bigint, toxic int")
+        got = [r.score for r in toxicity.scores(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()]
+        assert max(abs(s - kind) for s in got) < 0.01
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 50)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id bigint, toxic int")
+    rows = [r for r in toxicity.fit_features(docs, labels).collect()]
+    assert len(rows) == 50 and len({(r.rank, r.digest) for r in rows}) == 50
+    at, w = toxicity.fit(docs, labels)
+    assert len(at) == len(w)
+
+
+def test_ftrl_equals_its_formulas(monkeypatch):
+    """The model's steps against the published update, coordinate by coordinate in plain Python."""
+    import math
+    import random
+
+    import numpy as np
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    rng = random.Random(3)
+    rows = [(np.array(sorted(rng.sample(range(12), rng.randint(0, 6))) + [1 << toxicity.BITS], np.int32), int(rng.random() < 0.4)) for _ in range(60)]
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0 if i == 1 << toxicity.BITS else toxicity.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for at, y in rows:
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    at, got = toxicity.fit_rows(rows)
+    assert len(at) > 6 and dict(zip(at.tolist(), got.tolist())) == pytest.approx({i: weight(i) for i in z if weight(i) or i == 1 << toxicity.BITS}, abs=1e-4)
+
+
 def test_empty_tables(spark, no_docs, library):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     for df in (quality.quality_rules(no_docs), tokens.token_counts(no_docs, library[0]), licenses.license_spans(no_docs), packing.packed(no_docs),
