@@ -50,6 +50,22 @@ def test_stages(spark):
     assert sorted(map(tuple, cp.run(spark, SF).select("doc_id", "piece", "piece_length").collect())) == sorted((r.doc_id, r.piece, r.piece_length) for r in out)
 
 
+def test_near_duplicates_under_repeated_and_null_ids(spark):
+    """Different texts under one id all stay, equal and near ones do not, whatever their ids; which row stays is fixed."""
+    long = [f"w{i}" for i in range(60)]
+    near = long[:30] + ["x"] + long[31:]
+    texts = {"a": " ".join(long), "b": " ".join(near), "c": "quite another text with other words in it", "d": "and a third one that nobody else has"}
+    rows = [(5, texts["a"], 1), (5, texts["c"], 2), (5, texts["c"], 3), (5, texts["d"], 2), (1, texts["b"], 1), (None, texts["c"], 4), (None, texts["a"], 5), (None, "", 1), (9, "", 1)]
+    got = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(parts)
+        out = cp.drop_near_duplicates(spark, df, SF)
+        assert out.columns == df.columns
+        got.append(sorted(map(tuple, out.collect()), key=str))
+    assert got[0] == got[1]
+    assert [r[1] for r in got[0]].count("") == 2 and (1, texts["b"], 1) in got[0] and sum(r[1] == texts["c"] for r in got[0]) == 1 and (5, texts["d"], 2) in got[0] and len(got[0]) == 5
+
+
 def test_stages_take_edge_rows(spark, edge_docs):
     step = edge_docs
     for _, stage in cp.STAGES[:-1]:
