@@ -25,9 +25,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share an id are one document, of which one row stays; rows without an id all stay."""
-    kept = dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicate texts stays: the one with the least id.
+
+    Rows are told apart by (id, text) where an id is repeated or null: each such text is a document of its own, after those
+    with an id of their own, so different texts under one id all stay. Of equal rows of one id the least (by hash of all
+    columns) stays.
+    """
+    name = "_" + max(docs.columns, key=len)  # longer than any column's name, so none of them
+    key, again, first = f"{name}_key", f"{name}_again", f"{name}_first"
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(again)).filter(F.col("doc_id").isNull() | (F.col(again) > 1)).withColumnRenamed("doc_id", name)
+    marked = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)) & F.lit(True), "left")
+    late = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) + F.lit(1 << 62)
+    keyed = marked.withColumn(key, F.when(F.col(again).isNull(), F.col("doc_id").cast("bigint")).otherwise(late))
+    near = dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    stay = keyed.join(near.filter("kept").select(F.col("doc_id").alias(key)).distinct(), key, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = stay.filter(F.col(again).isNotNull()).groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(first)).select(f"{first}.*")
+    return stay.filter(F.col(again).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
