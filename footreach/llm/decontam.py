@@ -3,8 +3,9 @@
 Words are runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased. A window is 13 consecutive words of
 an item; a shorter item, if not empty, is one window. A document word inside an occurrence of a window is hit.
 
-1. Test items are worked in blocks of at most `BLOCK_WORDS` words (a longer item is a block of its own), so what tasks
-   hold of the benchmark is bounded whatever its size. Most benchmarks are one block.
+1. Test items are dealt to blocks by the running sum of their words, at most 2 * `BLOCK_WORDS` words each; an item of more
+   words is cut into passages that overlap by a window less one word, so no window is lost. What tasks hold of the
+   benchmark is one block, whatever its size and its items' sizes. Most benchmarks are one block.
 2. Corpus counts of the block's terms, over all documents, summed per task before the shuffle.
 3. Every window names its two rarest terms; their places in the item are the item's anchors.
 4. Postings (document, term, positions) of the anchor terms are stored as a table: the index. Other terms can't be asked
@@ -14,8 +15,9 @@ an item; a shorter item, if not empty, is one window. A document word inside an
 6. An exact check of candidates against the documents' words gives the hits. Proximity matches are the items of which
    most anchors lie in a document in order within `SLOP` words of their places, whether or not a window is exact.
 
-Defined cases: null texts have no words; null item ids are left out; rows that share an item id are one item with several
-passages; documents are told apart by (id, hash of text), so repeated rows each get their result; other columns are
+Defined cases: null texts have no words; a null item id is an item like any other, only its id is not among `items`
+(`n_items` counts it); rows that share an item id, null included, are one item with several passages; a cut item is near
+where one of its passages is; documents are told apart by (id, hash of text), so repeated rows each get their result; other columns are
 ignored; an empty benchmark or table gives zero hits or no rows.
 """
 
@@ -27,7 +29,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach.llm.batches import ALNUM, lower_bytes, small_batches
@@ -36,17 +38,27 @@ from footreach.session import cut_lineage
 WINDOW, ANCHORS, BLOCK_WORDS, SLOP, NEAR_SHARE = 13, 2, 1_000_000, 16, 0.75
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(item, words, block) and the number of blocks, from one number: the benchmark's words."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int | None = None) -> DataFrame:
+    """(item, words, block): passages of items; a passage has at most `block_words` words and a block less than twice as many.
+
+    An item is named `=id`, one without an id by the empty text.
+    """
+    limit = max(block_words or BLOCK_WORDS, WINDOW)
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in small_batches(batches):
-            words = [[w.decode("utf-8", "surrogatepass") for w in ALNUM.findall(lower_bytes(t))] for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int64())], names=["item", "words", "n"])
-    items = cut_lineage(benchmark.filter(F.col(id_col).isNotNull()).selectExpr(f"cast(`{id_col}` as string) as item", f"cast(`{text_col}` as string) as text")
-                        .mapInArrow(tokens, "item string, words array<string>, n bigint").filter("n > 0").distinct())
-    total = items.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // BLOCK_WORDS))
-    return items.select("item", "words", F.pmod(F.xxhash64("item", "words"), F.lit(n)).alias("block")), n
+        for ids, texts in small_batches(batches, 64):
+            for i, t in enumerate(texts):
+                words = [w.decode("utf-8", "surrogatepass") for w in ALNUM.findall(lower_bytes(t))]
+                for at in range(0, max(1, len(words) - WINDOW + 1), limit - WINDOW + 1):
+                    part = words[at:at + limit]
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1), pa.array([part], pa.list_(pa.string())), pa.array([len(part)], pa.int64())], names=["item", "words", "n"])
+    items = cut_lineage(benchmark.selectExpr(f"coalesce(concat('=', cast(`{id_col}` as string)), '') as item", f"cast(`{text_col}` as string) as text")
+                        .mapInArrow(tokens, "item string, words array<string>, n bigint").filter("n > 0").distinct()
+                        .withColumn("place", F.xxhash64("item", "words")).repartitionByRange("place").withColumn("slice", F.spark_partition_id()))
+    before = items.groupBy("slice").agg(F.sum("n").alias("all")).withColumn(
+        "before", F.coalesce(F.sum("all").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a slice
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("slice").orderBy("place", "item", "words").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return items.join(before, "slice").select("item", "words", F.floor((F.col("before") + inside) / limit).alias("block"))
 
 
 def anchors_of(words: list[bytes], counts: dict[bytes, int]) -> set[int]:
@@ -142,13 +154,13 @@ def _check(items) -> Callable:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, text_hash, n_words, hits (sorted positions), items, near_items."""
+    """One row per row: doc_id, text_hash, n_words, hits (sorted positions), items (ids), near_items (ids), null_item (an item without id occurs)."""
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"coalesce(cast(`{text_col}` as string), '') as text")
-    items, n_blocks = item_blocks(benchmark, item_col, item_text_col)
+    items = cut_lineage(item_blocks(benchmark, item_col, item_text_col))
     rows, parts = None, []
-    for b in range(n_blocks):
-        block = items.filter(F.col("block") == b).select("item", "words").collect()  # bounded by BLOCK_WORDS
+    for b in sorted(r.block for r in items.select("block").distinct().collect()) or [0]:
+        block = items.filter(F.col("block") == b).select("item", "words").collect()  # less than 2 * BLOCK_WORDS words
         passages = [[w.encode("utf-8", "surrogatepass") for w in r.words] for r in block]
         names = [r.item for r in block]
         vocabulary = spark.sparkContext.broadcast({w for p in passages for w in p})
@@ -182,7 +194,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     every = every.groupBy("doc_id", "text_hash").agg(flat("hits"), flat("items"), flat("near_items"))
     empty = lambda c, t: F.array_sort(F.coalesce(c, F.array().cast(f"array<{t}>"))).alias(c)
     on = rows.alias("r").join(every.alias("e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("r.text_hash") == F.col("e.text_hash")), "left")
-    return on.select("r.doc_id", "r.text_hash", "n_words", empty("hits", "int"), empty("items", "string"), empty("near_items", "string"))
+    out = on.select("r.doc_id", "r.text_hash", "n_words", empty("hits", "int"), empty("items", "string"), empty("near_items", "string"))
+    ids = lambda c: F.transform(F.filter(c, lambda x: x != ""), lambda x: F.substr(x, F.lit(2))).alias(c)
+    return out.select("doc_id", "text_hash", "n_words", "hits", ids("items"), ids("near_items"), F.array_contains("items", "").alias("null_item"))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -193,6 +207,6 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def op4(spark, sf_dir: str) -> DataFrame:
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.size("hits").cast("bigint")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), (F.size("items") + F.col("null_item").cast("int")).cast("bigint").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(n_hit, F.col("n_words")).alias("contaminated"),
                       F.size("near_items").cast("bigint").alias("n_near_items"))

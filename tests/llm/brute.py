@@ -24,13 +24,13 @@ def quality_base(text):
 
 
 def contamination(docs, items):
-    """doc rows (id, text) -> (id, n_words, n_hit, n_items, sha, contaminated)."""
-    items = [(i, ALNUM.findall((t or "").translate(LOWER))) for i, t in items if i is not None]
+    """doc rows (id, text) -> (id, n_words, n_hit, n_items, sha, contaminated). An item without id counts, but has no id to list."""
+    items = [(i, ALNUM.findall((t or "").translate(LOWER))) for i, t in items]
     windows = {}
     for i, w in items:
         k = min(13, len(w))
         for s in range(len(w) - k + 1 if w else 0):
-            windows.setdefault(tuple(w[s:s + k]), set()).add(str(i))
+            windows.setdefault(tuple(w[s:s + k]), set()).add(i if i is None else str(i))
     sizes = sorted({len(w) for w in windows})
     out = []
     for d, t in docs:
@@ -43,7 +43,7 @@ def contamination(docs, items):
                     ids |= found
                     hit.update(range(s, s + k))
         n = len(hit)
-        out.append((d, len(words), n, len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), n > 0 and 20 * n >= len(words)))
+        out.append((d, len(words), n, len(ids), hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest(), n > 0 and 20 * n >= len(words)))
     return out
 
 

@@ -110,7 +110,7 @@ ITEMS = [(1, PASSAGE), (2, "one two three"), (3, None), (4, ""), (None, "word1 t
 def found(docs, items):
     out = decontam.contamination(docs, items)
     n = F.size("hits").cast("bigint")
-    return [tuple(r) for r in out.select("doc_id", "n_words", n.alias("h"), F.size("items").cast("bigint").alias("i"), F.sha2(F.array_join("items", ","), 256).alias("s"),
+    return [tuple(r) for r in out.select("doc_id", "n_words", n.alias("h"), (F.size("items") + F.col("null_item").cast("int")).cast("bigint").alias("i"), F.sha2(F.array_join("items", ","), 256).alias("s"),
                                          decontam.contaminated(n, F.col("n_words")).alias("c")).collect()]
 
 
@@ -132,6 +132,29 @@ def test_windows_of_frequent_words(spark):
     assert sorted(got) == sorted(contamination(docs, items))
 
 
+def test_long_items_are_cut_and_blocks_are_bounded(spark, monkeypatch):
+    """An item longer than a block becomes passages that overlap by 12 words; blocks stay below twice the bound."""
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 20)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([500, 3, 14, 20, 21, 90, 1, 12, 13])] + [(None, " ".join(word() for _ in range(70)))]
+    docs = []
+    for k in range(80):
+        w = rng.choice(items)[1].split()
+        at = rng.randint(0, len(w) - 1)
+        docs.append((k, " ".join([word() for _ in range(rng.randint(0, 9))] + w[at:at + rng.randint(8, 60)] + [word() for _ in range(9)])))
+    items_df = spark.createDataFrame(items, "item_id bigint, text string").repartition(4)
+    blocks = decontam.item_blocks(items_df, "item_id", "text").collect()
+    sizes = {}
+    for r in blocks:
+        sizes[r.block] = sizes.get(r.block, 0) + len(r.words)
+    assert len(sizes) > 10 and max(sizes.values()) < 40 and max(len(r.words) for r in blocks) <= 20
+    windows = {tuple(w[s:s + 13]) for _, t in items for w in [t.split()] for s in range(len(w) - 12)}
+    assert windows == {tuple(r.words[s:s + 13]) for r in blocks for s in range(len(r.words) - 12)}
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 150)
+    assert sorted(found(spark.createDataFrame(docs, "doc_id bigint, text string"), items_df)) == sorted(contamination(docs, items))
+
+
 def test_proximity_finds_broken_passages(spark):
     w = PASSAGE.split()
     docs = spark.createDataFrame([(1, " ".join(x + (" filler" if i % 5 == 4 else "") for i, x in enumerate(w))), (2, "nothing here of it"), (3, PASSAGE)], "doc_id bigint, text string")
