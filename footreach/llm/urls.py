@@ -8,7 +8,8 @@ bad labels does not differ significantly from that of their siblings together be
 corpus's, reaches a threshold. A branch without labels is never rejected.
 
 Rows are counted per (host, template) before anything is joined, so a hot host costs its distinct templates, not its
-rows; levels deeper than `DEPTH` are one open end ``**``.
+rows. Levels go to the greatest depth there is; a node with too few paths below it to be generalised is done with at once,
+so long rare paths cost no level of their own.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated rows
 stay; other columns are ignored; an empty table gives an empty table.
@@ -23,7 +24,7 @@ from footreach.session import cut_lineage
 
 #: (verdict, host and path): a rule holds for the host and all its subdomains when the path starts with its path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH, MIN_CHILDREN, MAX_MEAN_VISITS = 6, 8, 4.0
+MIN_CHILDREN, MAX_MEAN_VISITS = 8, 4.0
 SIMILAR_Z, PRIOR_WEIGHT, BLOCK_PURITY, MIN_LABELLED = 1.96, 4.0, 0.8, 5
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,15 +49,14 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def segments(path: Column) -> Column:
-    """Path segments with variable forms generalised, at most DEPTH of them and an open end for the rest."""
+    """Path segments with variable forms generalised."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     def form(s: Column) -> Column:
         ending = F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
         stem = F.substr(s, F.lit(1), F.length(s) - F.length(ending))
         variable = stem.rlike(r"^[0-9]+$|[0-9]{4}|^[0-9a-fA-F-]{8,}$") | (F.length(stem) > 40)
         return F.when(variable, F.concat(F.lit("*"), ending)).otherwise(s)
-    kept = F.transform(F.slice(parts, 1, DEPTH), form)
-    return F.when(F.size(parts) > DEPTH, F.concat(kept, F.array(F.lit("**")))).otherwise(kept)
+    return F.transform(parts, form)
 
 
 def template_tree(pages: DataFrame) -> DataFrame:
@@ -66,14 +66,24 @@ def template_tree(pages: DataFrame) -> DataFrame:
     """
     t = pages.groupBy("host", "raw").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("n_labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("n_bad"))
     t = cut_lineage(t.withColumn("template", F.array().cast("array<string>")))
-    for level in range(1, DEPTH + 1):
+    done, level = [], 0
+    while not t.isEmpty():  # each level is a written table: the plan stays short and the next level knows its size
+        level += 1
         seen = F.try_element_at("raw", F.lit(level))
-        children = t.filter(seen.isNotNull()).groupBy("host", "template", seen.alias("_child")).agg(F.sum("n").alias("_n"))
-        wide = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_children"), F.sum("_n").alias("_visits")).filter(
-            (F.col("_children") >= MIN_CHILDREN) & (F.col("_visits") <= MAX_MEAN_VISITS * F.col("_children"))).select("host", "template", F.lit(True).alias("_wide"))
-        t = cut_lineage(t.join(wide, ["host", "template"], "left").withColumn("template", F.when(seen.isNull(), F.col("template")).otherwise(
-            F.concat("template", F.array(F.when(F.col("_wide") & ~seen.startswith("*"), F.lit("*")).otherwise(seen))))).drop("_wide"))
-    return t  # each level is a written table: the plan stays short and the next level knows its size
+        children = t.filter(seen.isNotNull()).groupBy("host", "template", seen.alias("_child")).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_raws"))
+        nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_children"), F.sum("_n").alias("_visits"), F.sum("_raws").alias("_paths")).filter(
+            F.col("_paths") >= MIN_CHILDREN).select("host", "template", ((F.col("_children") >= MIN_CHILDREN) & (F.col("_visits") <= MAX_MEAN_VISITS * F.col("_children"))).alias("_wide"))
+        step = F.when(F.col("_wide") & ~seen.startswith("*"), F.lit("*")).otherwise(seen)
+        rest = F.slice("raw", F.lit(level), F.greatest(F.size("raw") - level + 1, F.lit(0)))
+        open_end = seen.isNotNull() & F.col("_wide").isNotNull()
+        t = cut_lineage(t.join(nodes, ["host", "template"], "left").withColumn("_open", open_end).withColumn(
+            "template", F.concat("template", F.when(F.col("_open"), F.array(step)).otherwise(rest))).drop("_wide"))
+        done.append(t.filter("not _open").drop("_open"))
+        t = t.filter("_open").drop("_open")
+    out = t
+    for x in done:
+        out = out.unionByName(x)
+    return out
 
 
 def judged_branches(tree: DataFrame) -> DataFrame:

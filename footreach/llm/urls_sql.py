@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-_LEVELS = "".join(f"""
-w{k} AS (SELECT host, template FROM (SELECT host, template, raw[{k}] AS child, sum(n) AS n FROM t{k - 1} WHERE len(raw) >= {k} GROUP BY 1, 2, 3)
-  GROUP BY 1, 2 HAVING count(*) >= 8 AND sum(n) <= 4 * count(*)),
-t{k} AS (SELECT t.host, t.raw, t.n, t.l, t.b, CASE WHEN len(t.raw) < {k} THEN t.template
-  ELSE list_append(t.template, CASE WHEN w.host IS NOT NULL AND NOT starts_with(t.raw[{k}], '*') THEN '*' ELSE t.raw[{k}] END) END AS template
-  FROM t{k - 1} t LEFT JOIN w{k} w ON t.host = w.host AND t.template = w.template),""" for k in range(1, 7))
+_LEVELS = """
+t(k, host, raw, n, l, b, template) AS (SELECT 0, host, raw, count(*), count(said), count(CASE WHEN said = 'block' THEN 1 END), CAST([] AS VARCHAR[]) FROM base GROUP BY host, raw
+  UNION ALL SELECT k + 1, host, raw, n, l, b, CASE WHEN len(raw) <= k THEN template
+    ELSE list_append(template, CASE WHEN children >= 8 AND visits <= 4 * children AND NOT starts_with(raw[k + 1], '*') THEN '*' ELSE raw[k + 1] END) END
+  FROM (SELECT *, count(DISTINCT raw[k + 1]) OVER (PARTITION BY host, template) AS children, sum(CASE WHEN len(raw) > k THEN n END) OVER (PARTITION BY host, template) AS visits FROM t)
+  WHERE k < (SELECT max(len(raw)) FROM base)),
+t6 AS (SELECT * FROM t WHERE k = (SELECT max(len(raw)) FROM base)),"""
 
 
 def _fits(host: str, path: str) -> str:
@@ -15,7 +16,7 @@ def _fits(host: str, path: str) -> str:
 
 
 OP6_SQL = rf"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM r),
 p AS (SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM h),
@@ -23,10 +24,10 @@ ruled AS (SELECT *, CASE WHEN {_fits('www.example.com', '/en/')} THEN 'www.examp
   WHEN {_fits('net', '/es/')} THEN 'net/es/' WHEN {_fits('net', '/fr/')} THEN 'net/fr/' WHEN {_fits('com', '/')} THEN 'com/' END AS rule,
   list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM p),
 base AS (SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
-  CASE WHEN len(parts) > 6 THEN list_append(forms, '**') ELSE forms END AS raw FROM (SELECT *, list_transform(parts[1:6], lambda s:
+  forms AS raw FROM (SELECT *, list_transform(parts, lambda s:
     CASE WHEN regexp_matches(substr(s, 1, length(s) - length(regexp_extract(s, '(\.[A-Za-z]{{1,5}})$', 1))), '^[0-9]+$|[0-9]{{4}}|^[0-9a-fA-F-]{{8,}}$')
       OR length(s) - length(regexp_extract(s, '(\.[A-Za-z]{{1,5}})$', 1)) > 40 THEN '*' || regexp_extract(s, '(\.[A-Za-z]{{1,5}})$', 1) ELSE s END) AS forms FROM ruled)),
-t0 AS (SELECT host, raw, count(*) AS n, count(said) AS l, count(CASE WHEN said = 'block' THEN 1 END) AS b, CAST([] AS VARCHAR[]) AS template FROM base GROUP BY 1, 2),{_LEVELS}
+{_LEVELS}
 leaf AS (SELECT host, template, CASE WHEN len(template) > 0 THEN template[1:len(template) - 1] ELSE template END AS node, sum(l) AS l, sum(b) AS b FROM t6 GROUP BY 1, 2),
 pooled AS (SELECT host, node, sum(l) AS pl, sum(b) AS pb FROM leaf GROUP BY 1, 2),
 hosts AS (SELECT host, sum(l) AS hl, sum(b) AS hb FROM leaf GROUP BY 1),

@@ -274,6 +274,22 @@ def test_url_query_equals_sql(spark, duck):
     assert sorted(map(repr, (tuple(r) for r in got.select(*rel.columns).collect()))) == sorted(map(repr, rel.fetchall()))
 
 
+def test_deep_paths_keep_their_branches(spark):
+    """Ten levels and more: levels are generalised where many rare children stand, however deep; the SQL says the same."""
+    import pandas as pd
+    deep = "/".join(f"d{i}" for i in range(9))
+    pages = [f"http://h.org/{deep}/{side}/leaf{i}x/end" for side in ("good", "bad") for i in range(12)] + [f"http://h.org/{deep}/good/{'/'.join('abcdefghijkl'[:i])}" for i in range(12)]
+    pages += [f"http://k.net/{f}/{deep}/p{i}" for f in ("es", "en") for i in range(9)] + ["http://h.org/" + "/".join(map(str, range(300))), "http://only.org/a/b/c"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, url string")
+    got = {r.page_id: r for r in urls.filter_urls(df).collect()}
+    assert got[0].template == f"/{deep}/good/*/end" and got[12].template == f"/{deep}/bad/*/end" and got[0].branch != got[12].branch
+    assert got[len(pages) - 2].template == "/" + "/".join(["*"] * 300)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(pages)), "url": pages}))
+    rel = con.sql(urls_sql.OP6_SQL)
+    assert sorted(map(repr, (tuple(r) for r in urls.filter_urls(df).select(*rel.columns).collect()))) == sorted(map(repr, rel.fetchall()))
+
+
 # ---- chat ----------------------------------------------------------------------------------------
 
 TRICKY = ["", None, "\\", "\\b\\l\\h", "<turn>### user: x</turn>\n", "####", "#", "a: b", "\\### Assistant: </turn> ok", "<image:0.0>", "\n\n", "émoji \U0001f600"]
