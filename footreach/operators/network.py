@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footreach.constants import MISSING_SERVICE_PENALTY_M, N_CATEGORIES, STREET_RADIUS_M
+from footreach.functions import geometry as G
 from footreach.functions import vectors as V
 
+from footreach.operators.routing import LEAF, curve_blocks, pair_distances, ranked_blocks
 from footreach.operators.spatial import radius_aggregate, snap_to_nodes
 from footreach.session import cut_lineage
 
@@ -41,7 +43,7 @@ def shortest_distances(edges: DataFrame, seeds: DataFrame, *, label: str, revers
     """Least distance from any seed to every node it reaches, for all labels at once: node, label, distance.
 
     edges(src, dst, length), seeds(node, label, distance), integer nodes and labels. Nodes belong to blocks of at most
-    1024 (by id, or a `blocks(node, block)` table, e.g. map tiles). A round finishes every block that holds a frontier
+    1024 (by id, or a `blocks(node, block)` table: `routing.curve_blocks` for nodes with places). A round finishes every block that holds a frontier
     row for itself, then sends what got better over the links between blocks; so rounds count block crossings, not
     hops, and only improved rows travel. A hub with very many links is no hot group: its links leave its block and go
     through the join. `reverse` walks edges backwards; `bound` drops longer paths for callers that need none.
@@ -95,18 +97,25 @@ def _better(rows: DataFrame, best: DataFrame, key: list[str]) -> DataFrame:
 
 
 def path_length(edges: DataFrame, pairs: DataFrame, *, pair_id: str = "pair_id", src: str = "from_node",
-                dst: str = "to_node") -> DataFrame:
+                dst: str = "to_node", nodes: DataFrame | None = None, node_id: str = "node_id") -> DataFrame:
     """Shortest directed length of each (from, to) pair; infinity when there is no path or no such node.
 
-    Pairs are grouped by their start: each distinct start is one label of a single relaxation.
+    Pairs are answered by hub labels (`routing`): what is shuffled grows with the pairs, not with starts times nodes.
+    With `nodes` (node_id, x, y) the labels' blocks follow the map, else the ids.
     """
-    starts = pairs.select(F.col(src).alias("node")).filter(F.col("node").isNotNull()).distinct()
-    seeds = starts.select("node", F.col("node").alias("_start"), F.lit(0.0).alias("distance"))
-    known = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    seeds = seeds.join(known, "node", "left_semi")
-    d = shortest_distances(edges, seeds, label="_start", n_labels=starts.count())
-    return pairs.join(d, (F.col(src) == F.col("_start")) & (F.col(dst) == F.col("node")), "left").withColumn(
-        "path_length", F.coalesce(F.col("distance"), F.lit(float("inf")))).drop("_start", "node", "distance")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).filter(F.col("node").isNotNull()).distinct()
+    if nodes is None:
+        blocks = ranked_blocks(ends, F.col("node"), LEAF)
+    else:
+        blocks = curve_blocks(ends.join(nodes.select(F.col(node_id).alias("node"), "x", "y"), "node", "left"), LEAF, node="node")
+    asked = pairs.select(F.col(src).cast("bigint").alias("src"), F.col(dst).cast("bigint").alias("dst")).filter("src is not null and dst is not null").distinct()
+
+    def relax(over: DataFrame, seeds: DataFrame) -> DataFrame:
+        return shortest_distances(over, seeds, label="label", n_labels=seeds.select("label").distinct().count())
+
+    d = pair_distances(edges, cut_lineage(asked), cut_lineage(blocks), relax)
+    return pairs.join(d.withColumnsRenamed({"src": "_s", "dst": "_t", "distance": "_d"}), (F.col(src) == F.col("_s")) & (F.col(dst) == F.col("_t")), "left").withColumn(
+        "path_length", F.coalesce(F.col("_d"), F.lit(float("inf")))).drop("_s", "_t", "_d")
 
 
 def nearest_by_network(targets: DataFrame, services: DataFrame, nodes: DataFrame, edges: DataFrame, *,
@@ -114,7 +123,8 @@ def nearest_by_network(targets: DataFrame, services: DataFrame, nodes: DataFrame
                        penalty: float = MISSING_SERVICE_PENALTY_M, n: int = N_CATEGORIES) -> DataFrame:
     """Network distance from each target to the nearest service of each category: target_id, distances[n].
 
-    One relaxation from all services against the edge direction serves all targets and categories. No path, no
+    One relaxation from all services against the edge direction serves all targets and categories, in blocks of nodes that
+    lie together on the map, so its rounds count crossings of blocks whatever the ids are. No path, no
     service or no network gives the penalty; a found distance above the penalty stands.
     """
     at = snap_to_nodes(targets, nodes, id_col=target_id).select(target_id, F.col("node_id").alias("node"))
@@ -123,7 +133,8 @@ def nearest_by_network(targets: DataFrame, services: DataFrame, nodes: DataFrame
         services.select(service_id, F.col(category).alias("category")).join(placed, service_id)
         .select("node", "category", F.lit(0.0).alias("distance")).distinct()
     )
-    d = shortest_distances(edges, seeds, label="category", reverse=True, n_labels=n)
+    where = nodes.select("node_id", G.mercator_x("node_lon").alias("x"), G.mercator_y("node_lat").alias("y"))
+    d = shortest_distances(edges, seeds, label="category", reverse=True, n_labels=n, blocks=cut_lineage(curve_blocks(where, BLOCK_NODES)))
     wide = d.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("category", "distance"))).alias("_d"))
     joined = targets.select(target_id).join(at, target_id, "left").join(wide, ["node"], "left")
     slots = [F.coalesce(F.try_element_at("_d", F.lit(i)), F.lit(float(penalty))) for i in range(n)]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from footreach.operators import network as N
+from footreach.operators import routing as R
 from pyspark.sql import functions as F
 
 EDGES = "src bigint, dst bigint, length double"
@@ -65,6 +66,63 @@ def test_path_length(spark):
     assert {r.path_length for r in empty.collect()} == {math.inf}
 
 
+@pytest.mark.parametrize("hubs", [2048, 30])
+def test_hub_labels_equal_dijkstra(spark, graph, monkeypatch, hubs):
+    """Several levels of cells; with few hubs allowed the hierarchy ends early and the border graph is relaxed."""
+    monkeypatch.setattr(N, "LEAF", 12)
+    monkeypatch.setattr(R, "HUBS", hubs)
+    monkeypatch.setattr(R, "BATCH", 7)
+    ids, e = graph
+    rnd = random.Random(3)
+    some = sorted({v for x in e for v in x[:2]}) + [123456789]
+    asked = [(k, rnd.choice(some), rnd.choice(some)) for k in range(400)]
+    pairs = spark.createDataFrame(asked, "pair_id int, from_node bigint, to_node bigint")
+    places = spark.createDataFrame([(v, float(i % 13), float(i // 13)) for i, v in enumerate(some[:-1])], "node_id bigint, x double, y double")
+    near = {v: dijkstra(e, [v]) for v in {a for _, a, _ in asked}}
+    for nodes in (None, places):
+        got = {r.pair_id: r.path_length for r in N.path_length(spark.createDataFrame(e, EDGES), pairs, nodes=nodes).collect()}
+        assert got == pytest.approx({k: near[a].get(b, math.inf) if a in some[:-1] else math.inf for k, a, b in asked})
+
+
+def test_blocks_follow_the_map_not_the_ids(spark, monkeypatch):
+    """A grid of streets with shuffled ids: blocks are full, compact, and rounds count their crossings, not hops."""
+    side = 40
+    rnd = random.Random(4)
+    names = list(range(10_000, 10_000 + 1000 * side * side, 1000))
+    rnd.shuffle(names)
+    place = {(i, j): names[i * side + j] for i in range(side) for j in range(side)}
+    e = [(place[i, j], place[i + di, j + dj], 1.0) for i in range(side) for j in range(side) for di, dj in ((0, 1), (1, 0), (0, -1), (-1, 0)) if (i + di, j + dj) in place]
+    nodes = spark.createDataFrame([(v, float(i), float(j)) for (i, j), v in place.items()], "node_id bigint, x double, y double")
+    blocks = R.cut_lineage(R.curve_blocks(nodes, 100))
+    of = {r.node: r.block for r in blocks.collect()}
+    sizes = {}
+    for b in of.values():
+        sizes[b] = sizes.get(b, 0) + 1
+    assert len(of) == side * side and set(sizes.values()) == {100}
+    crossings = sum(of[a] != of[b] for a, b, _ in e)
+    assert crossings < 0.3 * len(e)
+    rounds = []
+    real = N._better
+    monkeypatch.setattr(N, "_better", lambda *a: rounds.append(1) or real(*a))
+    seeds = spark.createDataFrame([(place[0, 0], 0, 0.0)], "node bigint, label bigint, distance double")
+    got = {r.node: r.distance for r in N.shortest_distances(spark.createDataFrame(e, EDGES), seeds, label="label", blocks=blocks).collect()}
+    assert got == {v: float(i + j) for (i, j), v in place.items()}
+    step, level = {of[place[0, 0]]}, 0  # block crossings of the farthest block: what rounds may count
+    seen = set(step)
+    while step:
+        step = {of[b] for a, b, _ in e if of[a] in step} - seen
+        seen |= step
+        level += 1
+    assert len(rounds) / 2 <= 2 * level + 1 < side
+
+
+def test_curve_keeps_neighbours_together(spark):
+    """Steps along the curve are steps between neighbouring cells, and every cell is met once."""
+    df = spark.createDataFrame([(float(i), float(j)) for i in range(16) for j in range(16)], "x double, y double")
+    at = sorted((r.d, r.x, r.y) for r in df.select("x", "y", R.curve_place("x", "y", 0.0, 0.0, 16.0).alias("d")).collect())
+    assert len({d for d, *_ in at}) == 256 and all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(at, at[1:]))
+
+
 def test_nearest_service_penalty(spark):
     nodes = spark.createDataFrame([(1, 2.3522, 48.8566), (2, 2.3532, 48.8576), (3, 2.3512, 48.8556)], "node_id bigint, node_lon double, node_lat double")
     edges = spark.createDataFrame([(1, 2, 100.0), (2, 3, 3000.0), (1, 3, 9000.0)], EDGES)
