@@ -121,7 +121,7 @@ def oriented_sql(rings: str) -> str:
 def parts(rings: str) -> Column:
     """array of polygons: each shell with the holes that lie in it."""
     o = "_shape"
-    own = f"filter({o}, _k -> {_cross_sum('_k')} < 0D AND forall(_k, _v -> {covers_point_sql('array(_z)', '_v.x', '_v.y')}))"
+    own = f"filter({o}, _k -> size({o}) > 1 AND {_cross_sum('_k')} < 0D AND forall(_k, _v -> {covers_point_sql('array(_z)', '_v.x', '_v.y')}))"
     return F.expr(f"transform(array({oriented_sql(rings)}), {o} -> transform(filter({o}, _z -> {_cross_sum('_z')} >= 0D OR size({o}) = 1), _z -> concat(array(_z), {own})))[0]")
 
 
@@ -270,12 +270,21 @@ def within_buffer(rings: str, x: str, y: str, meters: float) -> Column:
     return polygon_distance(rings, x, y) < F.lit(meters / METERS_PER_DEGREE)
 
 
-def valid_geometry(rings: str) -> Column:
-    """Each ring closed, >= 4 vertices, finite, not flat, and no edge of a ring crosses another one of it."""
+def _sound_ring() -> str:
     inf = "double('infinity')"
     finite = f"forall(_q, _v -> NOT (isnan(_v.x) OR isnan(_v.y) OR abs(_v.x) = {inf} OR abs(_v.y) = {inf}))"
+    return f"size(_q) >= 4 AND _q[0] = element_at(_q, -1) AND {finite} AND {_cross_sum('_q')} <> 0"
+
+
+def sound_rings(rings: str) -> Column:
+    """Each ring closed, >= 4 vertices, finite, not flat."""
+    return F.expr(f"coalesce(size({rings}) > 0 AND forall({rings}, _q -> {_sound_ring()}), false)")
+
+
+def valid_geometry(rings: str) -> Column:
+    """Sound rings, none of which an edge of its own crosses. All pairs of a ring's edges: for long rings see `operators.shapes`."""
     simple = f"NOT exists({_ring_segments('_q')}, _s -> exists({_ring_segments('_q')}, _t -> {_cross('_s', '_t')}))"
-    good = f"size(_q) >= 4 AND _q[0] = element_at(_q, -1) AND {finite} AND {_cross_sum('_q')} <> 0 AND {simple}"
+    good = f"{_sound_ring()} AND {simple}"
     return F.expr(f"coalesce(size({rings}) > 0 AND forall({rings}, _q -> {good}), false)")
 
 

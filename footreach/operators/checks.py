@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footreach.functions import geometry as G
 from footreach.functions import vectors as V
+from footreach.operators.shapes import with_validity
 from footreach.session import inline_table
 
 # --- fixed values: check, metric, severity, comparison, bound (a row fires when `metric <op> bound`) ---
@@ -179,8 +179,8 @@ def cross_checks(df: DataFrame, entity: str) -> DataFrame:
 
 
 def check_geometry(df: DataFrame, rings: str = "rings", by: list[str] = ()) -> DataFrame:
-    ok = G.valid_geometry(rings)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("geometries"), F.count_if(~ok).alias("invalid_geometries"))
+    """Shapes and invalid ones; rings of any length are compared edge by edge in buckets."""
+    return with_validity(df, rings, "_valid").groupBy(*by).agg(F.count(F.lit(1)).alias("geometries"), F.count_if(~F.col("_valid")).alias("invalid_geometries"))
 
 
 def densities(df: DataFrame, counts: list[str], area_m2: str = "area_m2") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from footreach.constants import GRID_CELL_M, LATTICE_STEP_M, WALK_RADIUS_M
 from footreach.functions import geometry as G
+from footreach.operators.shapes import related
 from footreach.operators.skew import number_rows
 from footreach.session import cut_lineage
 
@@ -37,6 +38,14 @@ def _cover(df: DataFrame, box: Column, size: float, grow: float = 0.0) -> DataFr
     return df.withColumn("_box", box).withColumn("_cx", span("x")).withColumn("_cy", span("y"))
 
 
+def _by_cell(df: DataFrame) -> DataFrame:
+    """Rows dealt by cell before an exact test, whose work is not in their bytes: as many tasks as the session has partitions.
+
+    Without it a small file, or a join that Spark turns into a broadcast, leaves all geometry to the tasks that read.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cx", "_cy")
+
+
 def _point_box(x: str, y: str) -> Column:
     return F.expr(f"named_struct('xmin', {x}, 'ymin', {y}, 'xmax', {x}, 'ymax', {y})")
 
@@ -60,7 +69,7 @@ def distance_join(points: DataFrame, features: DataFrame, radius: float, *, x: s
     """
     size = cell or radius
     box = G.bounds(rings) if rings else _point_box(fx, fy)
-    left = points.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
+    left = _by_cell(points.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size)))
     right = _cover(features, box, size, radius).withColumnsRenamed({"_cx": "_rx", "_cy": "_ry"})
     r = f"{float(radius)!r}D"
     same = F.expr(f"_cx = _rx AND _cy = _ry AND {x} >= _box.xmin - {r} AND {x} <= _box.xmax + {r} AND {y} >= _box.ymin - {r} AND {y} <= _box.ymax + {r}")
@@ -73,7 +82,7 @@ def within_join(points: DataFrame, polygons: DataFrame, cell: float, *, x: str =
                 rings: str = "rings", strict: bool = True, how: str = "left") -> DataFrame:
     """Point in polygon by cell key and exact test; with `left`, points outside every polygon stay, with nulls."""
     test = G.contains_point if strict else G.covers_point
-    left = points.withColumn("_cx", cell_of(x, cell)).withColumn("_cy", cell_of(y, cell))
+    left = _by_cell(points.withColumn("_cx", cell_of(x, cell)).withColumn("_cy", cell_of(y, cell)))
     right = _cover(polygons, G.bounds(rings), cell).withColumnsRenamed({"_cx": "_rx", "_cy": "_ry"})
     return left.join(right, F.expr("_cx = _rx AND _cy = _ry") & test(rings, x, y), how).drop("_cx", "_cy", "_rx", "_ry", "_box")
 
@@ -84,14 +93,13 @@ def intersects_join(left: DataFrame, right: DataFrame, cell: float, *, rings: st
 
     Both boxes may share several cells; only the cell of the lower-left corner of the common box keeps the pair.
     """
-    a = _cover(left, G.bounds(rings), cell).withColumnRenamed("_box", "_a")
+    a = _by_cell(_cover(left, G.bounds(rings), cell)).withColumnRenamed("_box", "_a")
     b = _cover(right, G.bounds(other), cell).withColumnRenamed("_box", "_b")
     lo_x, lo_y = "greatest(_a.xmin, _b.xmin)", "greatest(_a.ymin, _b.ymin)"
     met = a.join(b, ["_cx", "_cy"]).filter(
         f"{lo_x} <= least(_a.xmax, _b.xmax) AND {lo_y} <= least(_a.ymax, _b.ymax)"
         f" AND {cell_of_sql(lo_x, cell)} = _cx AND {cell_of_sql(lo_y, cell)} = _cy")
-    test = G.polygon_intersects if relation == "intersects" else G.polygon_within
-    return met.filter(test(rings, other)).drop("_cx", "_cy", "_a", "_b")
+    return related(met.drop("_cx", "_cy", "_a", "_b"), rings, other, relation)
 
 
 def _ring_offsets(sub: int) -> tuple[list, list]:

@@ -9,6 +9,7 @@ from footreach.functions import geometry as G
 from footreach.functions import vectors as V
 from footreach.operators import features as FT
 from footreach.operators import network as N
+from footreach.operators import shapes as SH
 from footreach.operators import spatial as SP
 from footreach.plans import bindings as B
 from footreach.plans.registry import query, r6
@@ -219,6 +220,18 @@ def dissolved_parts(spark, sf):
     return shape.groupBy("home").agg(F.sum("n").alias("parts"), F.round(F.sum("a") * 1e6, 6).alias("area"))
 
 
+@query("union_outlines", "G14 G3", B.sql("unit_boxes", """
+, xs AS (SELECT DISTINCT home, x FROM (SELECT home, x0 AS x FROM unit_boxes UNION ALL SELECT home, x1 FROM unit_boxes)),
+slabs AS (SELECT home, x AS a, lead(x) OVER (PARTITION BY home ORDER BY x) AS b FROM xs),
+live AS (SELECT s.home, a, b, y0, y1, max(y1) OVER (PARTITION BY s.home, a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+  FROM slabs s JOIN unit_boxes u ON u.home = s.home AND u.x0 <= a AND u.x1 >= b)
+SELECT home, round(sum((b - a) * greatest(y1 - greatest(y0, coalesce(top, y0)), 0)) * 1e6, 3) AS area FROM live GROUP BY 1"""))
+def union_outlines(spark, sf):
+    """Overlapping unit boxes of each home as one outline without inner edges; the SQL adds covered lengths slab by slab."""
+    out = SH.union_shapes(B.unit_boxes(spark, sf), ["home"], snap=1e-11)
+    return out.select("home", F.round(G.area("rings") * 1e6, 3).alias("area"))
+
+
 _HAV = ("2 * 6371009e0 * asin(least(sqrt(pow(sin((radians(n.lat) - radians(t.lat)) / 2), 2) + cos(radians(t.lat)) * cos(radians(n.lat))"
         " * pow(sin(radians(n.lon - t.lon) / 2), 2)), 1e0))")
 
