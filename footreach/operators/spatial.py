@@ -162,19 +162,41 @@ def _extent(df: DataFrame, x: str, y: str):
     return df.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.count(F.lit(1))).first()
 
 
-STEP = 4  # each level of the search is this many times finer than the one above
-CELL_PLACES = 64  # a finest cell may hold this many places, so a point meets at most nine times as many at once
+STEP = 4  # a cell of the search tree has STEP x STEP children
+CELL_PLACES = 64  # a cell with more places than this is split
+TREE_DEPTH = 14
 
 
-def _cell_size(feats: DataFrame, group: list[str], fx: str, fy: str, start: float) -> float:
-    """`start`, made finer until the fullest cell holds at most CELL_PLACES distinct places (one number per try)."""
-    size = start
-    while size > start / STEP**12:
-        counts = feats.groupBy(cell_of(fx, size).alias("_cx"), cell_of(fy, size).alias("_cy"), *group).agg(F.count(F.lit(1)).alias("n"))
-        if (counts.agg(F.max("n")).first()[0] or 0) <= CELL_PLACES:
+def _tree(feats: DataFrame, group: list[str], fx: str, fy: str, n: int, x0: float, y0: float, width: float) -> tuple[int, list[DataFrame], DataFrame]:
+    """(first level made, cells of each level, features with their leaf) of a tree over the features' places, split only where they are dense.
+
+    cells: group..., _cx, _cy, _leaf. Levels above the average density are rolled up from the level below; from there on
+    a cell of more than CELL_PLACES places is split, and so is nothing else, so a dense spot leaves the other cells as they are.
+    """
+    start = max(1, min(TREE_DEPTH, math.ceil(math.log(max(n, 1) * 2 / CELL_PLACES, STEP * STEP))))
+    rest, levels, placed = feats, [], None
+    for level in range(start, TREE_DEPTH + 1):
+        size = width / STEP**level
+        here = cut_lineage(rest.withColumn("_cx", F.floor((F.col(fx) - F.lit(x0)) / F.lit(size))).withColumn("_cy", F.floor((F.col(fy) - F.lit(y0)) / F.lit(size))))
+        leaf = F.col("_n") <= CELL_PLACES if level < TREE_DEPTH else F.lit(True)
+        cells = cut_lineage(here.groupBy(*group, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).withColumn("_leaf", leaf).drop("_n"))
+        levels.append(cells)
+        marked = here.join(cells, [*group, "_cx", "_cy"])
+        done = marked.filter("_leaf").drop("_leaf").withColumn("_level", F.lit(level))
+        placed = done if placed is None else placed.unionByName(done)
+        rest = marked.filter("not _leaf").drop("_leaf", "_cx", "_cy")
+        if cells.filter("not _leaf").isEmpty():
             break
-        size /= STEP
-    return size
+    for _ in range(start - 1):
+        above = levels[0].selectExpr(*group, f"floor(_cx / {STEP}) AS _cx", f"floor(_cy / {STEP}) AS _cy").distinct().withColumn("_leaf", F.lit(False))
+        levels.insert(0, cut_lineage(above))
+    return start, levels, placed
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Each row in its cell and the eight cells around it."""
+    return df.withColumn("_o", F.explode(_offset_array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))).withColumn(
+        "_cx", F.col("_cx") + F.col("_o.i")).withColumn("_cy", F.col("_cy") + F.col("_o.j")).drop("_o")
 
 
 def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature_id: str, by: str | None = None,
@@ -182,11 +204,12 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
                  fx: str = "fx", fy: str = "fy", exact: Column | None = None, shrink: float = 1.0) -> DataFrame:
     """Nearest feature of each point (per value of `by`): id_col, [by], feature_id, distance.
 
-    First the 3 x 3 cells around the point, so small that even the fullest cell holds few places: what is found within
-    one cell size is proven nearest, and that settles dense places without listing all pairs of a crowded spot. The
-    other points search from coarse cells down to fine ones (`_descend`), so a remote point meets few features however
-    many there are. Features at one place count once. `exact` replaces planar distance, with shrink * planar <= exact <= planar. Ties go to the smaller feature id.
-    Points with nothing within `max_distance` give no row.
+    The features' places make a tree of cells that is fine only where they are dense (`_tree`). At the level of the average
+    density a point looks at the 3 x 3 cells around it: what is found there within one cell size is proven nearest, if none of
+    them is split. The other points go down from the top, level by level; of a point's cells only those stay that begin
+    before the nearest of them certainly ends, and only cells that are split go on. So a point meets the few places of a few leaves, however many features there are and wherever they
+    crowd. Features at one place count once. `exact` replaces planar distance, with shrink * planar <= exact <= planar.
+    Ties go to the smaller feature id. Points with nothing within `max_distance` give no row.
     """
     keys = [id_col] + ([by] if by else [])
     group = [by] if by else []
@@ -195,77 +218,62 @@ def nearest_join(points: DataFrame, features: DataFrame, *, id_col: str, feature
     if by:
         if by_values is None:
             raise ValueError("by_values (a short list of the group values) is needed with by")
+        feats = feats.filter(F.col(by).isin(list(by_values)))
         todo = todo.withColumn(by, F.explode(F.array(*[F.lit(v) for v in by_values])))
     x0, y0, x1, y1, n = _extent(feats, fx, fy)
     if not n:
         return todo.select(*keys).withColumn(feature_id, F.lit(None).cast(features.schema[feature_id].dataType)).withColumn(
             "distance", F.lit(None).cast("double")).filter(F.lit(False))
-    px0, py0, px1, py1, _ = _extent(points, x, y)
-    widest = max(max(x1, px1 or x1) - min(x0, px0 or x0), max(y1, py1 or y1) - min(y0, py0 or y0), 1e-6)
-    size = max(3 * math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * (len(by_values) if by else 1) / n), widest / STEP**12)
-    if max_distance is not None:
-        size = widest = max_distance / shrink
-    size = _cell_size(feats, group, fx, fy, size)
+    width = max(x1 - x0, y1 - y0, 1e-6) * (1 + 1e-9)
+    start, levels, placed = _tree(feats, group, fx, fy, n // (len(by_values) if by else 1), x0, y0, width)
     d = exact if exact is not None else G.distance(x, y, fx, fy)
 
-    def best_of(candidates: DataFrame, limit: float | None) -> DataFrame:
-        cand = candidates.withColumn("distance", d)
+    def best_of(met: DataFrame, limit: float | None) -> DataFrame:
+        met = met.withColumn("distance", d)
         if limit is not None:
-            cand = cand.filter(F.col("distance") <= F.lit(float(limit)))
-        return cand.groupBy(*keys).agg(F.min(F.struct("distance", feature_id)).alias("_b")).select(
+            met = met.filter(F.col("distance") <= F.lit(float(limit)))
+        return met.groupBy(*keys).agg(F.min(F.struct("distance", feature_id)).alias("_b")).select(
             *keys, F.col(f"_b.{feature_id}").alias(feature_id), F.col("_b.distance").alias("distance"))
 
-    left = todo.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size))
-    right = _cover(feats, _point_box(fx, fy), size, size).drop("_box")
-    around = left.join(right, ["_cx", "_cy", *group])
-    if size >= widest:
-        return best_of(around, max_distance)
-    near = cut_lineage(best_of(around, size * shrink))
-    rest = cut_lineage(todo.join(near.select(*keys), keys, "left_anti"))
-    if rest.isEmpty():
+    size = width / STEP**start
+    sure = size * shrink * (1 - 1e-9) if max_distance is None else min(size * shrink * (1 - 1e-9), max_distance)
+    here = todo.withColumn("_cx", F.floor((F.col(x) - F.lit(x0)) / F.lit(size))).withColumn("_cy", F.floor((F.col(y) - F.lit(y0)) / F.lit(size)))
+    if len(levels) > start:
+        crowded = _around(levels[start - 1].filter("not _leaf").drop("_leaf")).distinct()
+        here = here.join(crowded, ["_cx", "_cy", *group], "left_anti")
+    near = cut_lineage(best_of(here.join(_around(placed.filter(F.col("_level") == start)), ["_cx", "_cy", *group]), sure))
+    if max_distance is not None and sure == max_distance and len(levels) == start:
+        return near
+    todo = cut_lineage(todo.join(near.select(*keys), keys, "left_anti"))
+    if todo.isEmpty():
         return near
-    return near.unionByName(best_of(_descend(rest, feats, keys, group, size, widest, max_distance, shrink, x, y, fx, fy), max_distance))
-
-
-def _descend(todo: DataFrame, feats: DataFrame, keys: list[str], group: list[str], size: float, widest: float,
-             max_distance: float | None, shrink: float, x: str, y: str, fx: str, fy: str) -> DataFrame:
-    """Points with the features of every finest cell that may hold their nearest one.
 
-    From 3 x 3 cells as wide as the whole search, cells with features are split level by level; of a point's cells only
-    those stay that begin before the nearest of them certainly ends.
-    """
-    levels = [size]
-    while levels[-1] < widest:
-        levels.append(levels[-1] * STEP)
-    cells = feats.select(cell_of(fx, size).alias("_cx"), cell_of(fy, size).alias("_cy"), *group).distinct()
-
-    def occupied(k: int) -> DataFrame:
-        up = STEP**k
-        return cells.selectExpr(f"floor(_cx / {up}) AS _cx", f"floor(_cy / {up}) AS _cy", *group).distinct()
-
-    def pruned(cand: DataFrame, width: float) -> DataFrame:
-        w = f"{width!r}D"
-        gap_x, gap_y = (f"greatest(_c{c} * {w} - {v}, {v} - (_c{c} + 1) * {w}, 0D)" for c, v in (("x", x), ("y", y)))
-        far_x, far_y = (f"greatest(abs({v} - _c{c} * {w}), abs({v} - (_c{c} + 1) * {w}))" for c, v in (("x", x), ("y", y)))
-        cand = cand.selectExpr("*", f"sqrt({gap_x} * {gap_x} + {gap_y} * {gap_y}) * {shrink!r}D AS _from", f"sqrt({far_x} * {far_x} + {far_y} * {far_y}) AS _to")
-        if max_distance is not None:
-            cand = cand.filter(f"_from <= {float(max_distance)!r}D")
+    def reach(cx: str, cy: str, level: str) -> tuple[str, str]:
+        """Least and greatest distance from a point to anything in a cell."""
+        w, tiny = f"({width!r}D / pow({STEP}, {level}))", 1e-9 * width
+        gap_x, gap_y = (f"greatest({o!r}D + {c} * {w} - {v}, {v} - {o!r}D - ({c} + 1) * {w}, 0D)" for c, v, o in ((cx, x, x0), (cy, y, y0)))
+        far_x, far_y = (f"greatest(abs({v} - {o!r}D - {c} * {w}), abs({v} - {o!r}D - ({c} + 1) * {w}))" for c, v, o in ((cx, x, x0), (cy, y, y0)))
+        return f"(sqrt({gap_x} * {gap_x} + {gap_y} * {gap_y}) * {shrink!r}D - {tiny!r}D)", f"(sqrt({far_x} * {far_x} + {far_y} * {far_y}) + {tiny!r}D)"
+
+    # the top level is at most STEP x STEP cells a group, for by_values groups: a row per group, pruned inside the points' rows
+    top = levels[0].withColumn("_top", F.lit(1)).groupBy("_top", *group).agg(F.collect_list(F.struct("_cx", "_cy", "_leaf")).alias("_cells"))
+    begins, ends = reach("_c._cx", "_c._cy", "1")
+    first = todo.withColumn("_top", F.lit(1)).join(F.broadcast(top), ["_top", *group]).withColumn("_end", F.array_min(F.expr(f"transform(_cells, _c -> {ends})")))
+    first = first.select(*todo.columns, F.expr(f"inline(filter(_cells, _c -> {begins} <= {'_end' if max_distance is None else f'least(_end, {float(max_distance)!r}D)'}))"), "_end")
+    cand = cut_lineage(first.withColumn("_level", F.lit(1)))
+    for level, cells in enumerate(levels[1:], 2):
+        finer = cells.groupBy(*group, F.floor(F.col("_cx") / STEP).alias("_px"), F.floor(F.col("_cy") / STEP).alias("_py")).agg(F.collect_list(F.struct("_cx", "_cy", "_leaf")).alias("_cells"))  # at most STEP x STEP
+        split = cand.filter("not _leaf").drop("_leaf", "_level").withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
+        begins, ends = reach("_c._cx", "_c._cy", str(level))
+        down = split.join(finer, ["_px", "_py", *group]).withColumn("_end", F.least("_end", F.array_min(F.expr(f"transform(_cells, _c -> {ends})"))))
+        down = down.select(*todo.columns, F.expr(f"inline(filter(_cells, _c -> {begins} <= {'_end' if max_distance is None else f'least(_end, {float(max_distance)!r}D)'}))"), "_end").withColumn("_level", F.lit(level))
+        both = cand.filter("_leaf").unionByName(down)
         # the group is one point's own cells, few after each round of pruning
-        cand = cand.withColumn("_end", F.min("_to").over(Window.partitionBy(*keys)))
-        return cand.filter("_from <= _end * (1 + 1e-12)").drop("_from", "_to", "_end")
-
-    top = len(levels) - 1
-    w = levels[top]
-    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    cand = _explode_offsets(todo.withColumn("_px", cell_of(x, w)).withColumn("_py", cell_of(y, w)), around).drop("_px", "_py")
-    cand = cut_lineage(pruned(cand.join(occupied(top), ["_cx", "_cy", *group]), w))
-    for k in range(top - 1, -1, -1):
-        finer = occupied(k).selectExpr(f"floor(_cx / {STEP}) AS _px", f"floor(_cy / {STEP}) AS _py", "_cx", "_cy", *group)
-        coarse = cand.withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
+        both = both.withColumn("_end", F.min("_end").over(Window.partitionBy(*keys)))
+        begins, _ = reach("_cx", "_cy", "_level")
         # a chain of such joins would drown the optimizer in inferred constraints, so each level is written
-        cand = cut_lineage(pruned(coarse.join(finer, ["_px", "_py", *group]).drop("_px", "_py"), levels[k]))
-    placed = feats.withColumn("_cx", cell_of(fx, size)).withColumn("_cy", cell_of(fy, size))
-    return cand.join(placed, ["_cx", "_cy", *group])
+        cand = cut_lineage(both.filter(f"{begins} <= _end"))
+    return near.unionByName(best_of(cand.drop("_leaf", "_end").join(placed, ["_level", "_cx", "_cy", *group]), max_distance))
 
 
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, *, id_col: str, lon: str = "lon", lat: str = "lat",

@@ -57,6 +57,30 @@ def test_nearest_join_is_brute_force(cloud, limit):
                 assert (i, k) not in got
 
 
+def test_a_dense_spot_leaves_other_cells_as_they_are(spark, monkeypatch):
+    """Half of the features in one spot: the tree is fine there only, and the nearest are still those of brute force."""
+    monkeypatch.setattr(SP, "CELL_PLACES", 8)
+    rnd = random.Random(21)
+    wide = [(k, rnd.uniform(0, 10_000), rnd.uniform(0, 10_000)) for k in range(400)]
+    spot = [(1000 + k, 5000 + rnd.random(), 5000 + rnd.random()) for k in range(400)]
+
+    def cells(rows):
+        df = spark.createDataFrame(rows, "fid bigint, fx double, fy double")
+        _, levels, placed = SP._tree(df, [], "fx", "fy", len(rows), 0.0, 0.0, 10_000.0)
+        leaves = {(level, r._cx, r._cy) for level, c in enumerate(levels, 1) for r in c.collect() if r._leaf}
+        counts = {(r._level, r._cx, r._cy): r.n for r in placed.groupBy("_level", "_cx", "_cy").agg(F.count("fid").alias("n")).collect()}
+        assert leaves == set(counts) and sum(counts.values()) == len(rows) and max(counts.values()) <= 8
+        return leaves
+    plain, dense = cells(wide), cells(wide + spot)
+    split = {(k, int(x // (10_000 / 4**k)), int(y // (10_000 / 4**k))) for k in range(1, 15) for _, x, y in spot}
+    assert plain - split <= dense and max(k for k, *_ in dense) > max(k for k, *_ in plain)
+    rows = wide + spot + [(9, 20_000.0, 20_000.0)]
+    p = [(k, rnd.uniform(-3000, 15_000), rnd.uniform(-3000, 15_000)) for k in range(150)] + [(500 + k, 5000 + rnd.random(), 5000 + rnd.random()) for k in range(50)]
+    got = {r.id: (r.fid, r.distance) for r in SP.nearest_join(spark.createDataFrame(p, "id bigint, x double, y double"), spark.createDataFrame(rows, "fid bigint, fx double, fy double"), id_col="id", feature_id="fid").collect()}
+    want = {i: min((math.hypot(x - a, y - b), f) for f, a, b in rows) for i, x, y in p}
+    assert {i: f for i, (f, _) in got.items()} == {i: f for i, (_, f) in want.items()}
+
+
 def test_snap_is_brute_force(spark):
     rnd = random.Random(3)
     p = [(i, rnd.uniform(2.2, 2.4), rnd.uniform(48.8, 48.9)) for i in range(60)] + [(99, 5.0, 45.0)]
