@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footreach.functions import scalars as S
 from footreach.operators.quantiles import ranks
 from footreach.operators.skew import number_rows, running_last, running_min
+from footreach.session import cut_lineage
 
 SLICE = 65_536
 
@@ -24,8 +26,29 @@ def upsert_by_key(base: DataFrame, new: DataFrame, keys: list[str], version: str
     both = base.withColumn("_v", F.struct(F.lit(0).alias("side"), v.alias("v"))).unionByName(
         new.withColumn("_v", F.struct(F.lit(1).alias("side"), v.alias("v"))))
     rest = [c for c in base.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).select(*keys, "_r.*").select(
-        *base.columns).orderBy(*keys)
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).select(*keys, "_r.*").select(*base.columns)
+
+
+def upsert_table(path: str, new: DataFrame, keys: list[str], version: str | None = None, buckets: int = 64) -> None:
+    """`upsert_by_key` into a table kept as Parquet in hash buckets of the keys: only buckets that new rows fall into are read and written.
+
+    A bucket's folder is replaced as a whole; running the same upsert again changes nothing.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    fresh = cut_lineage(new.withColumn("_bucket", bucket))
+    touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())  # at most `buckets` numbers
+    if not touched:
+        return
+    rows = fresh.drop("_bucket")
+    try:
+        old = spark.read.parquet(path).filter(F.col("_bucket").isin(touched)).select(*rows.columns)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        old = rows.limit(0)
+    merged = cut_lineage(upsert_by_key(old, rows, keys, version).withColumn("_bucket", bucket))
+    merged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
 
 def lower_is_better(metric: str) -> bool:

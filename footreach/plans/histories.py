@@ -169,3 +169,35 @@ def streamed_metrics(spark, sf):
     return latest.withColumn("mean_loss", r6("mean_loss"))
 
 
+
+
+@query("corrected_metrics", "T2 K8", """
+WITH last AS (SELECT user_id AS run, event_id % 40 AS epoch, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2)
+SELECT run, count(*) AS n, round(sum(value), 2) AS total_loss, min(value) AS min_loss, max(value) AS max_loss FROM last GROUP BY 1""")
+def corrected_metrics(spark, sf):
+    """Entries of forty epochs a run land in three batches, later ones replacing earlier ones of the same epoch."""
+    root = B.scratch(spark, "corrected")
+    land, out = f"{root}/land", f"{root}/out"
+    e = B.table(spark, sf, "events").select(F.col("user_id").alias("run"), (F.col("event_id") % 40).alias("epoch"), F.col("event_id").alias("version"), F.col("value").alias("loss"))
+
+    def put(df, batch_id):
+        df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
+    for part in range(3):
+        e.filter(F.pmod(F.floor(F.col("version") / 7), F.lit(3)) == part).write.mode("append").parquet(land)
+        changed = T.stream_corrected(spark.readStream.schema(e.schema).parquet(land), ["loss"])
+        changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    m = T.latest_slices(spark.read.option("recursiveFileLookup", "true").parquet(out), ["loss"])
+    return m.select("run", "n", F.round("loss_sum", 2).alias("total_loss"), F.col("loss_min").alias("min_loss"), F.col("loss_max").alias("max_loss"))
+
+
+@query("upserted_table", "K8", """
+WITH h AS (SELECT user_id AS run, event_id // 100 AS slot, value, event_id FROM events)
+SELECT run, slot, arg_max(value, event_id) AS val_loss FROM h GROUP BY 1, 2""")
+def upserted_table(spark, sf):
+    """A table of the latest entry of each run and slot, kept in buckets and upserted with the newer half of the events."""
+    path = B.scratch(spark, "upserts") + "/table"
+    e = B.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.floor(F.col("event_id") / 100).alias("slot"), F.col("event_id").alias("epoch"), F.col("value").alias("val_loss"))
+    newest = e.groupBy("run", "slot").agg(F.max_by("epoch", "epoch").alias("epoch"), F.max_by("val_loss", "epoch").alias("val_loss"))
+    RU.upsert_table(path, e.filter("epoch % 3 <> 0"), ["run", "slot"], "epoch")
+    RU.upsert_table(path, newest, ["run", "slot"], "epoch")
+    return spark.read.parquet(path).select("run", "slot", "val_loss")

@@ -96,6 +96,59 @@ def test_incremental_job_builds_each_key_once(spark, tmp_path):
     assert sorted(r.target_id for r in spark.read.parquet(out).collect()) == list(range(20))
 
 
+def test_incremental_job_reads_no_old_output(spark, tmp_path):
+    """The keys done are state: old output can be taken away, and a replayed batch overwrites its own folder."""
+    land, out, state = (f"{tmp_path}/{n}" for n in ("land", "out", "state"))
+
+    def put(lo, hi):
+        spark.range(lo, hi).select(F.col("id").alias("k"), F.lit(1.0).alias("v")).write.mode("append").parquet(land)
+        T.run_incremental(spark.readStream.schema("k bigint, v double").parquet(land), out, state, lambda d: d, ["k"]).awaitTermination()
+
+    put(0, 50)
+    moved = spark.read.parquet(out).select("k").collect()
+    for f in tmp_path.glob("out/job=*/batch=0/*.parquet"):
+        f.write_bytes(b"not parquet")  # nobody may read it
+    put(30, 80)
+    later = spark.read.parquet(*[str(p) for p in tmp_path.glob("out/job=*/batch=1")])
+    assert sorted(r.k for r in moved) == list(range(50)) and sorted(r.k for r in later.collect()) == list(range(50, 80))
+    last = max(tmp_path.glob("state/commits/[0-9]*"), key=lambda p: int(p.name))
+    for p in tmp_path.glob(f"state/commits/*{last.name}*"):
+        p.unlink()  # the driver was lost after the write and before the commit
+    put(0, 0)
+    again = spark.read.parquet(*[str(p) for p in tmp_path.glob("out/job=*/batch=1")])
+    assert sorted(r.k for r in again.collect()) == list(range(50, 80))
+
+
+def test_entries_that_land_again_replace_the_old_ones(spark, tmp_path):
+    """Three batches with corrections, late old versions and repeats equal the batch result; minima and maxima are taken back."""
+    import random
+    rng = random.Random(9)
+    land, out, state = (f"{tmp_path}/{n}" for n in ("land", "out", "state"))
+    schema = "run string, epoch bigint, version bigint, loss double, kl double"
+    seen, entries = [], {}
+    for batch in range(3):
+        rows = [(f"r{rng.randint(0, 4)}", rng.choice([rng.randint(0, 30), 5000]), rng.randint(0, 9), rng.choice([None, rng.uniform(-5, 5)]), float(rng.randint(0, 9))) for _ in range(120)]
+        rows += seen[:20]
+        seen += rows
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(land)
+        src = T.stream_corrected(spark.readStream.schema(schema).parquet(land), ["loss", "kl"])
+        src.writeStream.outputMode("update").foreachBatch(lambda d, b: d.withColumn("batch", F.lit(b)).write.mode("overwrite").parquet(f"{out}/b={b}")).option(
+            "checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        for r, e, v, *x in rows:
+            new = (v, *[(y is not None, y or 0.0) for y in x])
+            entries[r, e] = max(entries.get((r, e), new), new)
+        want = {}
+        for (r, _), (_, *x) in entries.items():
+            want.setdefault(r, []).append([y if some else None for some, y in x])
+        got = {r.run: r for r in T.latest_slices(spark.read.parquet(out).drop("b"), ["loss", "kl"]).collect()}
+        assert got.keys() == want.keys()
+        for r, x in want.items():
+            assert got[r].n == len(x)
+            for i, m in enumerate(("loss", "kl")):
+                known = [y[i] for y in x if y[i] is not None]
+                assert (got[r][f"{m}_min"], got[r][f"{m}_max"]) == (min(known), max(known)) and got[r][f"{m}_sum"] == pytest.approx(sum(known))
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     first = session.ensure_checkpoint_dir(spark)
     assert session.ensure_checkpoint_dir(spark) == first

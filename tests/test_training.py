@@ -161,7 +161,21 @@ def test_carry_forward_and_upsert(spark):
     assert [r.m for r in RU.carry_forward(h, ["m"]).orderBy("epoch").collect()] == [None] * 3 + [4.0] * 4 + [8.0] * 4
     base = spark.createDataFrame([(1, "a"), (3, "c")], "epoch int, v string")
     new = spark.createDataFrame([(2, "b"), (3, "z")], "epoch int, v string")
-    assert [tuple(r) for r in RU.upsert_by_key(base, new, ["epoch"]).collect()] == [(1, "a"), (2, "b"), (3, "z")]
+    assert sorted(tuple(r) for r in RU.upsert_by_key(base, new, ["epoch"]).collect()) == [(1, "a"), (2, "b"), (3, "z")]
+
+
+def test_upsert_table_writes_only_touched_buckets(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = lambda lo, hi, v: spark.range(lo, hi).select(F.col("id").alias("k"), F.lit(v).alias("version"), (F.col("id") * 10 + v).alias("x"))
+    RU.upsert_table(path, rows(0, 500, 1), ["k"], "version")
+    stamp = {p: p.stat().st_mtime_ns for p in tmp_path.glob("t/_bucket=*/*.parquet")}
+    for _ in range(2):
+        RU.upsert_table(path, rows(100, 103, 2).unionByName(rows(600, 601, 2)).unionByName(rows(100, 103, 1)), ["k"], "version")
+    assert sum(p in stamp and p.stat().st_mtime_ns == stamp[p] for p in tmp_path.glob("t/_bucket=*/*.parquet")) >= len(stamp) - 4
+    got = {r.k: r.x for r in spark.read.parquet(path).collect()}
+    assert got == {**{k: k * 10 + 1 for k in range(500)}, **{k: k * 10 + 2 for k in (100, 101, 102, 600)}}
+    RU.upsert_table(path, rows(0, 0, 1), ["k"], "version")
+    assert spark.read.parquet(path).count() == 501
 
 
 def test_leaderboard_and_log(spark):
