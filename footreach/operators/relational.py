@@ -66,20 +66,30 @@ def dedupe_names(df: DataFrame, col: str) -> DataFrame:
 def match_names(left: DataFrame, right: DataFrame, *, left_name: str = "name", right_name: str = "other") -> DataFrame:
     """One match per left name: equal after normalising, else either one contains the other; least right name wins.
 
-    Containment is an equi join on the substrings of the longer name (names are short), not a compare of all pairs.
+    Containment goes through an inverted index of three-letter pieces: the longer side stores its pieces (at most three a
+    letter), the shorter side asks with its rarest piece only, and what meets is compared as a whole. Rows are linear in
+    the names' lengths. An empty name is only equal to an empty name.
     """
     a = left.select(F.col(left_name), S.norm_name(left_name).alias("_a")).distinct()
     b = right.select(F.col(right_name), S.norm_name(right_name).alias("_b")).distinct()
 
-    def parts(df: DataFrame, col: str) -> DataFrame:
+    def pieces(df: DataFrame, col: str, sizes) -> DataFrame:
         n = F.length(col)
-        subs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-            F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(col), i, k))))
-        return df.filter(n > 0).withColumn("_part", F.explode(F.array_distinct(subs)))
+        each = [F.when(n >= q, F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i, q=q: F.substring(F.col(col), i, F.lit(q)))).otherwise(F.array()) for q in sizes(n)]
+        return df.withColumn("_piece", F.explode(F.array_distinct(F.concat(*each) if len(each) > 1 else each[0])))
+
+    def contained(hay: DataFrame, h: str, needle: DataFrame, n: str) -> DataFrame:
+        index = pieces(hay, h, lambda _: (1, 2, 3))
+        counts = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+        asked = needle.filter(F.length(n) > 0)
+        own = pieces(asked, n, lambda size: (F.least(size, F.lit(3)),)).join(counts, "_piece", "left")
+        rarest = own.groupBy(*needle.columns).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_piece").alias("piece"))).alias("_r"))
+        asking = rarest.filter("_r.n > 0").select(*needle.columns, F.col("_r.piece").alias("_piece"))  # a piece that no name has: no match
+        return index.join(asking, "_piece").filter(F.contains(F.col(h), F.col(n)))
 
     equal = a.join(b, F.col("_a") == F.col("_b")).select(left_name, right_name, F.lit(0).alias("kind"))
-    inside = parts(a, "_a").join(b, F.col("_part") == F.col("_b")).select(left_name, right_name, F.lit(1).alias("kind"))
-    around = parts(b, "_b").join(a, F.col("_part") == F.col("_a")).select(left_name, right_name, F.lit(1).alias("kind"))
+    inside = contained(a, "_a", b, "_b").select(left_name, right_name, F.lit(1).alias("kind"))
+    around = contained(b, "_b", a, "_a").select(left_name, right_name, F.lit(1).alias("kind"))
     best = equal.unionByName(inside).unionByName(around).groupBy(left_name).agg(
         F.min(F.struct("kind", right_name)).alias("_m"))
     return best.select(left_name, F.col(f"_m.{right_name}").alias(right_name), F.col("_m.kind").alias("kind"))
@@ -88,7 +98,7 @@ def match_names(left: DataFrame, right: DataFrame, *, left_name: str = "name", r
 # ---- joins ---------------------------------------------------------------------------------------
 
 def join_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
-    """Equi join on differently named keys; codes are trimmed text on both sides; hot left keys are salted."""
+    """Equi join on differently named keys; codes are trimmed text on both sides."""
     r = right.withColumn("_k", S.norm_code(right_key))
     clash = [c for c in right.columns if c in left.columns]
     for c in clash:

@@ -137,9 +137,15 @@ def clamped_features(spark, sf):
     return _feature_rows(spark, sf).withColumn("c", v).select("target_id", r6(V.vsum("c")).alias("total"), r6(F.array_min("c")).alias("low"))
 
 
-@query("composed_augmentation", "R4 R1 R2", None)
+@query("composed_augmentation", "R4 R1 R2", B.sql("targets services", _STARS + f"""
+, feats AS (SELECT target_id, s.i, CAST(coalesce(n, 0) AS double) AS v FROM tl CROSS JOIN (SELECT unnest(generate_series(1, 33)) AS i) s LEFT JOIN near ON cx = ix AND cy = iy AND category_index = s.i - 22),
+noisy AS (SELECT target_id, i, v AS old, v + 0.01e0 * {_normal("target_id || '|t|' || (i - 1)", '42')} AS v FROM feats),
+vec AS (SELECT target_id, CASE WHEN {_U.format(k='target_id', s='42gate0')} < 0.8 THEN sum({_clamped('v')}) ELSE sum(old) END AS total FROM noisy GROUP BY target_id),
+bands AS (SELECT target_id, CASE WHEN d / 300 < 0.3 THEN 0 WHEN d / 300 < 0.6 THEN 1 WHEN d / 300 < 0.9 THEN 2 WHEN d / 300 < 1 THEN 3 END AS band, count(*) AS n FROM star GROUP BY 1, 2),
+kept AS (SELECT target_id, sum(n) AS n, sum(CASE WHEN band IS NOT NULL THEN greatest(1, floor(n * 0.8e0)) END) AS few FROM bands GROUP BY 1)
+SELECT target_id, CAST(CASE WHEN n > 3 AND {_U.format(k='target_id', s='42gate1')} < 0.5 THEN greatest(few, 3) ELSE n END AS int) AS num_neighbors, round(total, 6) AS feature_sum FROM vec JOIN kept USING (target_id)"""))
 def composed_augmentation(spark, sf):
-    """Seeded chain of feature noise and subsampling; invariants are tested, the numbers have no short SQL."""
+    """Seeded chain of feature noise and subsampling, each behind a gate per row."""
     out = AU.augment(stars(spark, sf).select("target_id", "target_features", "neighbor_data", "num_neighbors"), [
         (lambda d: AU.feature_noise(d, 0.01, 42, neighbors=False), 0.8), (lambda d: AU.subsample(d, 0.8, 3, 42, scale=STAR_R), 0.5)], 42)
     return out.select("target_id", "num_neighbors", r6(V.vsum("target_features")).alias("feature_sum"))

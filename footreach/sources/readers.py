@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,18 @@ GEOJSON_FEATURE = "struct<type:string,properties:map<string,string>,geometry:str
 def read_geojson(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     """Features as properties (map), geometry_type, x, y (points), line (vertices), rings (polygons, all parts).
 
-    `lines`: newline-delimited features, which Spark splits; a whole FeatureCollection is one record and fits small
-    layers. A missing file raises, an unreadable one raises at the first action (FAILFAST).
+    `lines`: newline-delimited features. A FeatureCollection is cut where its features begin (`_feature_mark`), so one large
+    file is read by many tasks and a feature on the border of two splits comes once; a collection whose features do not
+    begin with their type is read as one record. A missing file raises, an unreadable one raises at the first action (FAILFAST).
     """
-    schema = f"type string, features array<{GEOJSON_FEATURE}>" if not lines else (
-        "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>")
-    raw = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
-    feats = raw if lines else raw.select(F.explode("features").alias("f")).select("f.*")
+    mark = None if lines else _feature_mark(spark, path)
+    if mark:
+        feats = _marked_features(spark, path, mark)
+    else:
+        schema = f"type string, features array<{GEOJSON_FEATURE}>" if not lines else (
+            "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>")
+        raw = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+        feats = raw if lines else raw.select(F.explode("features").alias("f")).select("f.*")
     kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
 
     def parsed(depth: int):
@@ -47,6 +54,28 @@ def read_geojson(spark: SparkSession, path, lines: bool = False) -> DataFrame:
         F.when(kind == "LineString", as_ring(parsed(2))).alias("line"), polygon.cast(RINGS_TYPE).alias("rings"))
 
 
+FEATURE_START = r'^\s*"type"\s*:\s*"Feature"'
+
+
+def _feature_mark(spark: SparkSession, path) -> str | None:
+    """The bytes that every feature of a collection begins with, from the first pieces between braces; none if there is no such beginning."""
+    for row in spark.read.option("lineSep", "{").text(path).limit(4).collect():  # pieces end at braces, so a few are a few members
+        found = re.match(FEATURE_START, row.value)
+        if found:
+            return "{" + found[0]
+    return None
+
+
+def _marked_features(spark: SparkSession, path, mark: str) -> DataFrame:
+    """type, properties, geometry of the features between marks. In JSON text the quotes of a mark are escaped, so it stands nowhere else."""
+    head = F.col("value").rlike(r'(?s)"features"\s*:\s*\[\s*(\].*)?\z')  # what stands before a file's first feature, or a file without any
+    rest = spark.read.option("lineSep", mark).text(path).filter(~head)
+    parsed = rest.withColumn("f", F.from_json(F.concat(F.lit(mark), F.col("value")), GEOJSON_FEATURE))
+    odd = F.col("value").rlike(r'"type"\s*:\s*"Feature"') | F.col("f.type").isNull()
+    said = F.raise_error(F.concat(F.lit("not a feature, or features that do not begin alike: "), F.substring("value", 1, 200)))
+    return parsed.select(F.when(odd, said).otherwise(F.col("f")).alias("f")).select("f.*")
+
+
 def with_properties(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.try_element_at("properties", F.lit(n)).alias(n) for n in names], *[c for c in df.columns if c != "properties"])
 

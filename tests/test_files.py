@@ -72,6 +72,40 @@ def test_file_inventory(spark, tmp_path):
         RD.first_existing(spark, [f"{tmp_path}/zz"])
 
 
+def test_one_large_collection_is_read_in_many_tasks(spark, tmp_path):
+    """Features across split borders come once, in every usual layout; odd layouts fall back or fail, none is lost."""
+    import json
+    rows = [{"type": "Feature", "properties": {"name": f'n{i} {{"type":"Feature"', "v": i}, "geometry": {"type": "Point", "coordinates": [i / 7, -i]}} for i in range(3000)]
+    layouts = {"dense": (",", ":", None), "spaced": (", ", ": ", None), "indented": (",", ": ", 2)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for name, (comma, colon, indent) in layouts.items():
+            for extra in ({}, {"bbox": [0, 0, 1, 1]}):
+                p = tmp_path / f"{name}{len(extra)}.geojson"
+                p.write_text(json.dumps({"type": "FeatureCollection", "crs": {"type": "name"}, "features": rows, **extra}, separators=(comma, colon), indent=indent))
+                df = RD.read_geojson(spark, str(p))
+                assert df.rdd.getNumPartitions() > 5
+                got = sorted((int(r.properties["v"]), r.properties["name"], r.x, r.y) for r in df.collect())
+                assert got == [(i, f'n{i} {{"type":"Feature"', i / 7, float(-i)) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    late = tmp_path / "late.geojson"
+    late.write_text(json.dumps({"type": "FeatureCollection", "features": [{"properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}, "type": "Feature"}] * 3}))
+    assert RD.read_geojson(spark, str(late)).count() == 3
+    mixed = tmp_path / "mixed.geojson"
+    mixed.write_text('{"type":"FeatureCollection","features":[' + json.dumps(rows[0]) + "," + json.dumps(rows[1], separators=(",", ":")) + "]}")
+    with pytest.raises(Exception):  # noqa: B017
+        RD.read_geojson(spark, str(mixed)).collect()
+    cut = tmp_path / "cut.geojson"
+    cut.write_text(json.dumps({"type": "FeatureCollection", "features": rows[:5]})[:-90])
+    with pytest.raises(Exception):  # noqa: B017
+        RD.read_geojson(spark, str(cut)).collect()
+    empty = tmp_path / "empty.geojson"
+    empty.write_text('{"type": "FeatureCollection", "features": []}')
+    assert RD.read_geojson(spark, str(empty)).count() == 0
+
+
 def test_incremental_job_builds_each_key_once(spark, tmp_path):
     land, out, state = (f"{tmp_path}/{n}" for n in ("land", "out", "state"))
     built = []

@@ -112,3 +112,21 @@ def test_unit_check_flags_constant_features(spark):
     df = spark.createDataFrame([("1", 5.0), ("2", 5.0)], "IRIS string, f double")
     r = C.check_units(df, "IRIS", "f").first()
     assert (r.unit_level, r.unique_codes, r.varies) == (True, True, False)
+
+
+def test_name_containment_equals_all_pairs_and_stays_linear(spark):
+    import random
+    rng = random.Random(4)
+    name = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    left = list({name(rng.randint(0, 9)) for _ in range(60)} | {"Éa b", "a" * 1000 + "b" + "a" * 500})
+    right = list({name(rng.randint(0, 6)) for _ in range(60)} | {"ÉA B", "a" * 700, "ab" + "a" * 499})
+    got = {r.name: (r.other, r.kind) for r in R.match_names(spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "other string")).collect()}
+    norm = lambda x: x.lower().replace(" ", "_")
+    want = {}
+    for x in left:
+        a = norm(x)
+        hits = [(0 if norm(y) == a else 1, y) for y in right if norm(y) == a or (a and norm(y) and (norm(y) in a or a in norm(y)))]
+        if hits:
+            kind, other = min(hits)
+            want[x] = (other, kind)
+    assert got == want

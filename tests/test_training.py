@@ -186,3 +186,43 @@ def test_leaderboard_and_log(spark):
     lines = spark.createDataFrame(pd.DataFrame({"path": ["p"] * 4, "value": ["Best validation loss: 0.5", "x: Best validation loss: oops", "Test KL divergence: 1e-2", "done"]}))
     r = RU.parse_log(lines).first()
     assert (r.best_val_loss, r.test_kl_divergence) == (0.5, 0.01)
+
+
+def test_parameter_search_fits_all_models_in_shared_passes(spark, monkeypatch):
+    """At the end every model's gradient is zero (written out here), scores agree with one fit after the other, and passes don't grow with the grid."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(160, 4)) * [1, 20, 0.1, 1] + [0, 5, 0, 0]
+    x[:, 3] = 2.0  # a feature that does not vary
+    y = np.exp(rng.normal(size=(160, 8)) + x[:, :1] * rng.normal(size=8))
+    y /= y.sum(axis=1, keepdims=True)
+    fold = rng.integers(0, 3, 160)
+    df = spark.createDataFrame([(int(f), a.tolist(), b.tolist()) for f, a, b in zip(fold, x, y)], "fold int, features array<double>, target_prob_vector array<double>").repartition(3)
+    passes = []
+    real = L._summed
+    monkeypatch.setattr(L, "_summed", lambda *a: passes.append(1) or real(*a))
+    counts = []
+    for regs in ([0.1], [0.05, 0.1, 1.0, 10.0]):
+        passes.clear()
+        stack, _ = L.fit_stack(df, [{"reg": r, "max_iter": 200} for r in regs], "fold", [0, 1])
+        counts.append(len(passes))
+    assert counts[1] <= 2 * counts[0] + 20
+    for m, (i, f) in enumerate(stack.models):
+        train = fold != f
+        part, own = x[train], y[train]
+        std = part.std(axis=0)
+        z = np.hstack([np.where(std > 1e-9, part / np.where(std > 1e-9, std, 1), 0), np.ones((len(part), 1))])
+        w = stack.weights[m]
+        p = np.exp(z @ w.T)
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - own).T @ z / len(own) + np.hstack([w[:, :-1] * stack.params[i]["reg"], np.zeros((8, 1))])
+        assert np.abs(g).max() < 1e-6
+    got = {r.reg: r.val_kl for r in L.grid_search(df, {"reg": [0.05, 1.0], "max_iter": [200]}, "fold", [0, 1, 2]).collect()}
+    for reg, kl in got.items():
+        each = []
+        for f in range(3):
+            model = L.fit_soft_labels(df.filter(F.col("fold") != f), reg=reg, max_iter=200)
+            held = L.score(model, df.filter(F.col("fold") == f))
+            each.append(held.agg(F.avg(L.V.kl("target_prob_vector", "predicted_probs"))).first()[0])
+        assert kl == pytest.approx(sum(each) / 3, abs=2e-4)
+    assert L.grid_search(df.limit(0), {"reg": [1.0]}, "fold", [0]).first().val_kl is None
