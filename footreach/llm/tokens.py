@@ -9,11 +9,15 @@ Compilation (once per Python worker, from the vocabulary file of a byte-pair tok
   later bytes can still ask for: for every place where a token may have begun, the node of the vocabulary's trie, the last
   token before it and the count there, relative to the count now. A transition carries the tokens it adds (a later byte
   can also join tokens, then it is 0 or less); a second kind of transition ends the word. States are made when first
-  reached and kept; the table is emptied when it holds `MAX_STATES`. Counts of whole words are kept in the same way.
+  reached and kept; the table is emptied when it holds `MAX_STATES`, inside a word too, but for the state the word is in.
+  Counts of whole words are kept in the same way, those of very long ones are not.
 
 A text is cut into chunks of `CHUNK_CHARS`. The map of a chunk is (head, count, tail): an open word coming in is closed by
 the head, the chunk emits `count` tokens, the tail stays open; a chunk without white space is one open piece. Maps compose
-associatively, so the counts up to every chunk are a parallel prefix scan in log2(chunks) steps.
+associatively, so the counts up to every chunk are a parallel prefix scan in log2(chunks) steps (`scan`); a text's count is
+its last map, which is reduced pair by pair, so no prefix is kept. What differs from a map of transducer states: between
+chunks an open word is carried as its characters, as the splitter decides at its end whether it is one word, and the
+transducer reads it when it closes.
 
 Defined cases: null texts are empty and have 0 bytes and 0 tokens; the special strings of the file inside a text are one
 token each, as the library has it by default; repeated rows and other columns are no matter. No shuffle.
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 
 from footreach.llm.batches import small_batches
 
-CHUNK_CHARS, MAX_STATES, MAX_FITS, MAX_WORDS, TOKEN_LIMIT = 16_384, 80_000, 200_000, 200_000, 2048
+CHUNK_CHARS, MAX_STATES, MAX_FITS, MAX_WORDS, LONG_WORD, TOKEN_LIMIT = 16_384, 80_000, 200_000, 200_000, 256, 2048
 #: Unicode White_Space.
 SPACES = "\t-\r \x85\xa0  -     　"
 _SPACE = re.compile(f"[{SPACES}]")
@@ -126,6 +130,16 @@ class Transducer:
                 last, total = t, n + 1
         return last, total, alive
 
+    def renew(self, state: int) -> int:
+        """Empty the table but for one state, and give its new number."""
+        keep = self.states[state]
+        self.reset()
+        number = self.numbers.get(keep)
+        if number is None:
+            number = self.numbers[keep] = len(self.states)
+            self.states.append(keep)
+        return number
+
     def move(self, state: int, byte: int) -> tuple[int, int]:
         """(next state, tokens added) for a byte that doesn't end the word."""
         t, n, alive = self._reached(self.states[state], byte)
@@ -144,8 +158,14 @@ class Transducer:
         state = total = 0
         moves = self.moves
         for b in word[:-1]:
-            state, n = moves.get(state << 8 | b) or self.move(state, b)
-            total += n
+            step = moves.get(state << 8 | b)
+            if step is None:
+                if len(self.states) > MAX_STATES:
+                    state = self.renew(state)
+                    moves = self.moves
+                step = self.move(state, b)
+            state = step[0]
+            total += step[1]
         key = state << 8 | word[-1]
         last = self.ends.get(key)
         if last is None:
@@ -161,6 +181,8 @@ class Known(dict):
         self.make, self.limit = make, limit
 
     def __missing__(self, key: str) -> int:
+        if len(key) > LONG_WORD:
+            return self.make(key)
         if len(self) >= self.limit:
             self.clear()
         n = self[key] = self.make(key)
@@ -218,6 +240,12 @@ class Tokenizer:
             reach *= 2
         return maps
 
+    def reduced(self, maps: list[tuple]) -> tuple:
+        """The composition of all maps, neighbours first: log2(maps) rounds that hold each map's text once."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
     def finish(self, m: tuple) -> int:
         """Tokens when the text begins before the map and ends after it."""
         return self.closed(m[0]) if len(m) == 1 else self.closed(m[0]) + m[1] + self.closed(m[2])
@@ -226,7 +254,7 @@ class Tokenizer:
         text = self.normal(text)
         if len(text) <= chunk_chars:
             return self.closed(text)
-        return self.finish(self.scan([self.chunk_map(text[i:i + chunk_chars]) for i in range(0, len(text), chunk_chars)])[-1])
+        return self.finish(self.reduced([self.chunk_map(text[i:i + chunk_chars]) for i in range(0, len(text), chunk_chars)]))
 
     def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
         if self.special is None or "<|" not in text:

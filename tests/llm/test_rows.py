@@ -100,6 +100,19 @@ def test_states_may_be_forgotten(library, monkeypatch):
     assert [machine.words.count(w.encode()) for w in words * 2] == before * 2
 
 
+def test_very_long_words_and_texts_without_spaces(library, monkeypatch):
+    """Counts stay right where the table is emptied inside a word, and no long word is kept."""
+    import random
+    rng = random.Random(6)
+    machine = tokens.Tokenizer(library[0])
+    monkeypatch.setattr(tokens, "MAX_STATES", 40)
+    for alphabet in ("abcdefghij", "thein", "é漢xyz", "01239ab!?"):
+        text = "".join(rng.choice(alphabet) for _ in range(3000))
+        n = len(library[1].encode(text, add_special_tokens=False).ids)
+        assert machine.count(text) == n == machine.count(text, chunk_chars=100)
+    assert len(machine.words.states) < 100 and max(map(len, machine.known), default=0) <= tokens.LONG_WORD
+
+
 def test_license_edges(edge_docs):
     got = sorted(((r.doc_id, *tuple(r)[1:6]) for r in licenses.license_spans(edge_docs).collect()), key=key_of)
     assert got == sorted(((d, *license_base(t)) for d, t, *_ in ROWS), key=key_of)
