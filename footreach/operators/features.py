@@ -118,8 +118,8 @@ def assemble_stars(targets: DataFrame, cells: DataFrame, radius: float = WALK_RA
     the tile is wider than the disc) and both sides are laid out by tile; the join and the grouping then stay inside a
     tile, so only cells travel, not the pairs. A tile holds at most tile^2 lattice points: no hot group.
 
-    Spark joins in place on part of the join keys only with spark.sql.requireAllClusterKeysForCoPartition off; it is
-    switched off here for the session.
+    Spark joins in place on part of the join keys only with spark.sql.requireAllClusterKeysForCoPartition off, and plans
+    when the stars are used, so the option stays off for the session; it only ever saves shuffles.
     """
     k = _lattice_multiple(step, cell)
     offsets = disc_offsets(radius, cell)

@@ -74,7 +74,9 @@ def distance_join(points: DataFrame, features: DataFrame, radius: float, *, x: s
     r = f"{float(radius)!r}D"
     same = F.expr(f"_cx = _rx AND _cy = _ry AND {x} >= _box.xmin - {r} AND {x} <= _box.xmax + {r} AND {y} >= _box.ymin - {r} AND {y} <= _box.ymax + {r}")
     exact = G.polygon_distance(rings, x, y) if rings else G.distance(x, y, fx, fy)
-    # the exact test belongs to the join, so that a left join keeps each point once, null attributes and copies included
+    if how == "inner":  # the exact distance is computed once and filtered
+        return left.join(right, same).withColumn("distance", exact).filter(F.col("distance") <= F.expr(r)).drop("_cx", "_cy", "_rx", "_ry", "_box")
+    # else the exact test belongs to the join, so that a left join keeps each point once, null attributes and copies included
     return left.join(right, same & (exact <= F.expr(r)), how).withColumn("distance", exact).drop("_cx", "_cy", "_rx", "_ry", "_box")
 
 

@@ -49,8 +49,8 @@ def group_split(df: DataFrame, key: str = "neighborhood_name", ratios=(0.7, 0.15
 
 
 def sample_n(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """At most n rows in seeded order: a top-n, so no task holds more than n rows."""
-    return df.orderBy(S.uniform(seed, *keys), *[F.col(k) for k in keys]).limit(n)
+    """At most n rows, the first ones in a seeded order. Ranks are counted slice by slice of the order, so n may be of any size."""
+    return rank_by_hash(df, S.uniform(seed, *keys), tie=[F.col(k) for k in keys], name="_rank").filter(F.col("_rank") < n).drop("_rank")
 
 
 def balanced_head(df: DataFrame, key: str, n: int, order: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def balanced_head(df: DataFrame, key: str, n: int, order: list[str]) -> DataFram
     parts, left = [], n
     for i, g in enumerate(firsts):
         quota = n // 2 if i == 0 else left
-        part = df.filter(F.col(key) == F.lit(g)).orderBy(*order).limit(quota)
+        part = df.filter(F.col(key).eqNullSafe(F.lit(g))).orderBy(*order).limit(quota)
         left -= min(quota, part.count()) if i == 0 and len(firsts) > 1 else quota
         parts.append(part)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

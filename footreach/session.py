@@ -33,20 +33,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of their own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: iterative operators need it")
         configured = tempfile.mkdtemp(prefix="footreach-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/footreach-{spark.sparkContext.applicationId}"
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete the tables that this application's lineage cuts have written; for when no result of theirs is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     A lost executor then costs a re-read, plans stay short in loops, and the next join knows the real size.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/footreach-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
