@@ -75,7 +75,10 @@ def match_names(left: DataFrame, right: DataFrame, *, left_name: str = "name", r
 
     def pieces(df: DataFrame, col: str, sizes) -> DataFrame:
         n = F.length(col)
-        each = [F.when(n >= q, F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i, q=q: F.substring(F.col(col), i, F.lit(q)))).otherwise(F.array()) for q in sizes(n)]
+        def cut(q):
+            return F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col(col), i, F.lit(q)))
+
+        each = [F.when(n >= q, cut(q)).otherwise(F.array()) for q in sizes(n)]
         return df.withColumn("_piece", F.explode(F.array_distinct(F.concat(*each) if len(each) > 1 else each[0])))
 
     def contained(hay: DataFrame, h: str, needle: DataFrame, n: str) -> DataFrame:

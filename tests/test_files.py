@@ -183,6 +183,16 @@ def test_entries_that_land_again_replace_the_old_ones(spark, tmp_path):
                 assert (got[r][f"{m}_min"], got[r][f"{m}_max"]) == (min(known), max(known)) and got[r][f"{m}_sum"] == pytest.approx(sum(known))
 
 
+def test_tables_of_lineage_cuts_can_be_released(spark, tmp_path):
+    import glob
+    folder = session._own_folder(spark)
+    kept = session.cut_lineage(spark.range(7))
+    assert kept.count() == 7 and glob.glob(f"{folder.removeprefix('file:')}/*/*.parquet")
+    session.release_tables(spark)
+    assert not glob.glob(f"{folder.removeprefix('file:')}/*")
+    assert session.cut_lineage(spark.range(3)).count() == 3
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     first = session.ensure_checkpoint_dir(spark)
     assert session.ensure_checkpoint_dir(spark) == first

@@ -118,8 +118,8 @@ def test_name_containment_equals_all_pairs_and_stays_linear(spark):
     import random
     rng = random.Random(4)
     name = lambda n: "".join(rng.choice("ab c") for _ in range(n))
-    left = list({name(rng.randint(0, 9)) for _ in range(60)} | {"Éa b", "a" * 1000 + "b" + "a" * 500})
-    right = list({name(rng.randint(0, 6)) for _ in range(60)} | {"ÉA B", "a" * 700, "ab" + "a" * 499})
+    left = list({name(rng.randint(0, 9)) for _ in range(60)} | {"Éa b", "a" * 1000 + "b" + "a" * 500, "xyz uvw", "one qwertyuiop two", "q"})
+    right = list({name(rng.randint(0, 6)) for _ in range(60)} | {"ÉA B", "a" * 700, "ab" + "a" * 499, "XYZ", "uv", "w", "qwertyuiop", "ertyuio", "a q b"})
     got = {r.name: (r.other, r.kind) for r in R.match_names(spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "other string")).collect()}
     norm = lambda x: x.lower().replace(" ", "_")
     want = {}
