@@ -34,6 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     name = "_" + max(docs.columns, key=len)  # longer than any column's name, so none of them
     key, again, first = f"{name}_key", f"{name}_again", f"{name}_first"
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(again)).filter(F.col("doc_id").isNull() | (F.col(again) > 1)).withColumnRenamed("doc_id", name)
+    ids = cut_lineage(ids)  # its size is known from here on: where no id is repeated the texts need no shuffle for it
     marked = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)) & F.lit(True), "left")
     late = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) + F.lit(1 << 62)
     keyed = marked.withColumn(key, F.when(F.col(again).isNull(), F.col("doc_id").cast("bigint")).otherwise(late))
