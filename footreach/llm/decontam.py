@@ -8,8 +8,9 @@ an item; a shorter item, if not empty, is one window. A document word inside an
    benchmark is one block, whatever its size and its items' sizes. Most benchmarks are one block.
 2. Corpus counts of the block's terms, over all documents, summed per task before the shuffle.
 3. Every window names its two rarest terms; their places in the item are the item's anchors.
-4. Postings (document, term, positions) of the anchor terms are stored as a table: the index. Other terms can't be asked
-   for by this block and are not stored.
+4. The lists of the anchor terms are stored as a table of (term, document, positions), dealt and sorted by term and document:
+   the inverted index. A list of a very frequent term spans several files. Other terms can't be asked for by this block and
+   are not stored.
 5. Each posting minus its anchor's place is the start of an alignment; lists are intersected by counting, per
    (document, item, start), the anchors that agree. Two agreeing anchors make a candidate (one for one-word items).
 6. An exact check of candidates against the documents' words gives the hits. Proximity matches are the items of which
@@ -89,7 +90,7 @@ def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms) -> DataFrame:
-    """The index: doc_id, text_hash, n_words, postings array<struct<term,positions>>; terms: broadcast word -> number."""
+    """Documents with their postings: doc_id, text_hash, n_words, postings array<struct<term,positions>>; terms: broadcast word -> number."""
     schema = "doc_id bigint, text_hash bigint, n_words bigint, postings array<struct<term:int,positions:array<int>>>"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +110,16 @@ def postings(docs: DataFrame, terms) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(index, schema)
 
 
+def inverted(found: DataFrame) -> DataFrame:
+    """(term, doc_id, text_hash, positions): the postings as lists by term, each document once, in ranges of (term, document)."""
+    one = found.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode("postings").alias("p"))
+    lists = one.select(F.col("p.term").alias("term"), "doc_id", "text_hash", F.col("p.positions").alias("positions"))
+    return cut_lineage(lists.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+
+
 def alignments(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, text_hash, passage, anchor, start): every posting of an anchor's term, moved by the anchor's place."""
-    each = index.select("doc_id", "text_hash", F.explode("postings").alias("p")).select("doc_id", "text_hash", F.col("p.term").alias("term"), F.explode("p.positions").alias("at"))
+    each = index.select("doc_id", "text_hash", "term", F.explode("positions").alias("at"))
     return each.join(F.broadcast(anchors), "term").select("doc_id", "text_hash", "passage", "anchor", (F.col("at") - F.col("anchor")).alias("start"))
 
 
@@ -168,13 +176,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         places = [(k, sorted(anchors_of(p, counts))) for k, p in enumerate(passages)]
         words = sorted({passages[k][a] for k, at in places for a in at})
         number = {w: i for i, w in enumerate(words)}
-        index = cut_lineage(postings(docs, spark.sparkContext.broadcast(number)))
-        rows = index.select("doc_id", "text_hash", "n_words") if rows is None else rows
+        found = cut_lineage(postings(docs, spark.sparkContext.broadcast(number)))
+        rows = found.select("doc_id", "text_hash", "n_words") if rows is None else rows
+        index = inverted(found)
         anchors = spark.createDataFrame(pa.table({"term": pa.array([number[passages[k][a]] for k, at in places for a in at], pa.int32()),
                                                   "passage": pa.array([k for k, at in places for _ in at], pa.int32()), "anchor": pa.array([a for _, at in places for a in at], pa.int32())}))
         sizes = spark.createDataFrame(pa.table({"passage": pa.array([k for k, _ in places], pa.int32()), "item": pa.array(names, pa.string()),
                                                 "n_anchors": pa.array([len(at) for _, at in places], pa.int32()), "need": pa.array([min(ANCHORS, len(passages[k])) for k, _ in places], pa.int32())}))
-        aligned = cut_lineage(alignments(index.dropDuplicates(["doc_id", "text_hash"]), anchors))
+        aligned = cut_lineage(alignments(index, anchors))
         agreeing = aligned.groupBy("doc_id", "text_hash", "passage", "start").agg(F.count(F.lit(1)).alias("n"))
         cands = agreeing.join(F.broadcast(sizes), "passage").filter("n >= need").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("passage", "start")).alias("cands"))
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")

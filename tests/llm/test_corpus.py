@@ -163,6 +163,52 @@ def test_proximity_finds_broken_passages(spark):
     assert got == {1: ([], ["7"]), 2: ([], []), 3: (["7"], ["7"])}
 
 
+def test_the_index_holds_every_posting_once_by_term(spark):
+    rng = random.Random(17)
+    docs = [(k, " ".join(rng.choice(["a", "b", "c", "dd", "e"]) for _ in range(rng.randint(0, 40)))) for k in range(90)] + [(3, "a b a"), (None, "c c")]
+    terms = spark.sparkContext.broadcast({b"a": 0, b"c": 1, b"dd": 2, b"zz": 3})
+    df = spark.createDataFrame(docs + docs[:5], "doc_id bigint, text string").repartition(5)
+    got = sorted(((r.term, r.doc_id is None, r.doc_id or 0, list(r.positions)) for r in decontam.inverted(decontam.postings(df, terms)).collect()))
+    want = sorted((i, d is None, d or 0, [p for p, w in enumerate(t.split()) if w == term]) for i, term in enumerate(["a", "c", "dd"]) for d, t in docs if term in t.split())
+    assert got == want
+
+
+def test_proximity_equals_its_rule(spark):
+    """An item is near where most of its anchors lie, in places moved alike to within a band of twice SLOP words."""
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randint(0, 60)}"
+    items = [(k, " ".join(word() for _ in range(rng.randint(3, 30)))) for k in range(8)]
+    docs = []
+    for k in range(60):
+        t = items[k % 8][1].split()
+        for _ in range(rng.randint(0, 10)):
+            t.insert(rng.randint(0, len(t)), word())
+        docs.append((k, " ".join([word() for _ in range(rng.randint(0, 40))] + t[rng.randint(0, 2):])))
+    got = {r.doc_id: set(r.near_items) for r in decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    counts = {}
+    vocabulary = {w for _, t in items for w in t.split()}
+    for _, t in docs:
+        for w in t.split():
+            if w in vocabulary:
+                counts[w.encode()] = counts.get(w.encode(), 0) + 1
+    slop = decontam.SLOP
+    for d, t in docs:
+        words, near = t.split(), set()
+        for i, text in items:
+            passage = text.split()
+            anchors = decontam.anchors_of([w.encode() for w in passage], counts)
+            bands = {}
+            for a in anchors:
+                for p, w in enumerate(words):
+                    if w == passage[a]:
+                        s = p - a
+                        bands.setdefault((0, s // (2 * slop)), set()).add(a)
+                        bands.setdefault((1, (s + slop) // (2 * slop)), set()).add(a)
+            if any(len(x) >= 2 and len(x) >= decontam.NEAR_SHARE * len(anchors) for x in bands.values()):
+                near.add(str(i))
+        assert got[d] == near
+
+
 def test_every_window_has_two_rare_anchors():
     words = [f"w{i % 7}".encode() for i in range(40)]
     at = decontam.anchors_of(words, {w: 10 - k for k, w in enumerate(sorted(set(words)))})
