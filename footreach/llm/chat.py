@@ -79,7 +79,9 @@ def flatten_parts(content: Column, turn: Column) -> tuple[Column, Column]:
 
 def format_conversations(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                          content: str = "content", learn_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: formatted string, its segments with the loss flag, attachments and their tokens.
+    """One row per conversation: formatted string, its segments with the loss flag, the loss mask, attachments and their tokens.
+
+    `loss_mask` are the places (code points, ends exclusive) of the learned texts in the formatted string.
 
     Turns are rendered row by row before the one shuffle; a conversation is one string by nature of the format, so its
     rows meet in one group of that conversation's own size and nothing else does.
@@ -94,8 +96,16 @@ def format_conversations(rows: DataFrame, *, conv: str = "conv_id", turn: str =
         F.struct(t["body"].alias("text"), t["role"].isin(*learn_roles).alias("loss")),
         F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss")))))
     attached = F.flatten(F.transform("turns", lambda t: t["attachments"]))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("got"))
+
+    def place(acc: Column, s: Column) -> Column:
+        end = acc["at"] + F.length(s["text"])
+        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(s["loss"], F.concat(acc["got"], span)).otherwise(acc["got"]).alias("got"))
+
     return grouped.select("conv_id", segments.alias("segments"), attached.alias("attachments")).select(
-        "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "attachments",
+        "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments",
+        F.aggregate("segments", start, place, lambda acc: acc["got"]).alias("loss_mask"), "attachments",
         F.aggregate("attachments", F.lit(0).cast("bigint"), lambda n, a: n + a["n_tokens"]).alias("attachment_tokens"))
 
 
@@ -108,8 +118,8 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the output: turns, their digest, and the text under the loss mask."""
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    """What can be read back from the output: turns, their digest, and the text that the loss mask cuts out of the string."""
+    loss = F.array_join(F.transform("loss_mask", lambda m: unescape(F.substr(F.col("formatted"), m["start"] + 1, m["end"] - m["start"]))), "")
     back = formatted.select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("turns"), loss.alias("loss"), "attachment_tokens")
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
