@@ -41,16 +41,19 @@ def edge_noise(df: DataFrame, d_std: float = 0.02, p_std: float = 0.02, seed: in
     def clamp(x, lo=0.0):
         return F.least(F.greatest(x, F.lit(lo)), F.lit(TOP))
 
-    def step(e, k):
+    def noise(e, k):
         z = [S.normal(f"{seed}{tag}", F.col(key), k) for tag in ("e", "x", "y", "n")]
-        euc = clamp(e[2] + z[0] * F.lit(d_std) * e[2])
+        return F.struct(e.alias("e"), clamp(e[2] + z[0] * F.lit(d_std) * e[2]).alias("euc"), *[c.alias(n) for c, n in zip(z[1:], "xyn")])
+
+    def step(s):  # a step of its own, so that each random number is drawn once however often it is used
+        e, euc = s["e"], s["euc"]
         factor = F.when(e[2] > 1e-6, F.try_divide(euc, e[2])).otherwise(F.lit(1.0))
-        net = F.greatest(clamp(e[3] + z[3] * F.lit(d_std) * e[3]), euc)
+        net = F.greatest(clamp(e[3] + s["n"] * F.lit(d_std) * e[3]), euc)
         low = -TOP if signed else 0.0
-        return F.array(clamp((e[0] + z[1] * F.lit(p_std)) * factor, low), clamp((e[1] + z[2] * F.lit(p_std)) * factor, low),
+        return F.array(clamp((e[0] + s["x"] * F.lit(p_std)) * factor, low), clamp((e[1] + s["y"] * F.lit(p_std)) * factor, low),
                        euc, net)
 
-    return df.withColumn(col, F.transform(F.col(col).cast("array<array<double>>"), step))
+    return df.withColumn(col, F.transform(F.transform(F.col(col).cast("array<array<double>>"), noise), step))
 
 
 def subsample(df: DataFrame, ratio: float = 0.8, min_n: int = 3, seed: int = 42, **kw) -> DataFrame:
