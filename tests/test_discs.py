@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from footreach.functions import geometry as G
 from footreach.operators import discs as D
 from footreach.operators import spatial as SP
 
@@ -69,3 +70,53 @@ def test_parts_of_a_crowded_tile_meet_each_other(spark, monkeypatch):
         n, s = got.pop(i)
         assert n == len(near) and s == pytest.approx(sum(w for w in near if w is not None))
     assert not got
+
+
+def shapes(spark):
+    """Rectangles in several ring orders, a diamond, a triangle, a shape of two rings; code descending, one null, one repeated."""
+    def ring(*v):
+        return [{"x": float(a), "y": float(b)} for a, b in (*v, v[0])]
+    rings = [[ring((0, 0), (40, 0), (40, 20), (0, 20))], [ring((10, 50), (10, 90), (70, 90), (70, 50))], [ring((100, 0), (120, 20), (100, 40), (80, 20))],
+             [ring((60, 60), (90, 60), (75, 95))], [ring((0, 100), (50, 100), (50, 150), (0, 150)), ring((10, 110), (10, 140), (40, 140), (40, 110))], [ring((30, 10), (30, 60), (60, 60), (60, 10))]]
+    codes = ["f", "e", "d", None, "b", "e"]
+    return spark.createDataFrame([(i, c, r) for i, (c, r) in enumerate(zip(codes, rings))], "fid int, code string, rings array<array<struct<x:double,y:double>>>")
+
+
+def lattice(spark):
+    return spark.range(14 * 17).selectExpr("id AS target_id", "CAST(id % 14 * 10 AS double) AS x", "CAST(floor(id / 14) * 10 AS double) AS y")
+
+
+def test_a_polygon_that_is_its_box_is_measured_as_one(spark, adaptive):
+    p, s = lattice(spark), shapes(spark)
+    got = SP.distance_join(p, s, 25.0, rings="rings")
+    assert not broadcast_explodes(got)
+    want = p.crossJoin(s).withColumn("d", G.polygon_distance("rings", "x", "y")).filter("d <= 25")
+    found = {(r.target_id, r.fid): round(r.distance, 9) for r in got.collect()}
+    assert found == {(r.target_id, r.fid): round(r.d, 9) for r in want.collect()} and len(found) > 100
+    assert [f.fid for f in s.filter(G.is_rectangle("rings")).collect()] == [0, 1, 5]
+
+
+@pytest.mark.parametrize("strict, how", [(True, "inner"), (False, "inner"), (True, "left"), (False, "left")])
+def test_within_join_is_brute_force(spark, strict, how):
+    p, s = lattice(spark), shapes(spark)
+    got = SP.within_join(p, s, 30.0, strict=strict, how=how)
+    assert not broadcast_explodes(got)
+    test = G.contains_point if strict else G.covers_point
+    want = p.join(s, test("rings", "x", "y"), how)
+    assert sorted((r.target_id, -1 if r.fid is None else r.fid) for r in got.collect()) == sorted((r.target_id, -1 if r.fid is None else r.fid) for r in want.collect())
+
+
+def test_least_within_takes_the_least_code(spark):
+    p, s = lattice(spark), shapes(spark)
+    got = {r.target_id: r.code for r in SP.least_within(p, s, 30.0, by=["target_id"]).collect()}
+    want = p.join(s.filter("code is not null"), G.contains_point("rings", "x", "y")).groupBy("target_id").agg(F.min("code").alias("code"))
+    assert got == {r.target_id: r.code for r in want.collect()} and len(set(got.values())) > 2
+
+
+def test_nearest_join_sends_no_exploded_rows_through_the_driver(spark, monkeypatch, adaptive):
+    seen = []
+    cut = SP.cut_lineage
+    monkeypatch.setattr(SP, "cut_lineage", lambda df: seen.extend(broadcast_explodes(df)) or cut(df))
+    p, f = points_and_features(spark)
+    SP.nearest_join(p, f, id_col="target_id", feature_id="fid")
+    assert not seen
