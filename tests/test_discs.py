@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footreach.functions import geometry as G
 from footreach.operators import discs as D
+from footreach.operators import features as FT
 from footreach.operators import spatial as SP
 
 
@@ -120,3 +121,12 @@ def test_nearest_join_sends_no_exploded_rows_through_the_driver(spark, monkeypat
     p, f = points_and_features(spark)
     SP.nearest_join(p, f, id_col="target_id", feature_id="fid")
     assert not seen
+
+
+def test_stars_send_no_exploded_rows_through_the_driver(spark):
+    t = spark.range(50).selectExpr("'a' AS neighborhood_name", "id AS target_id", "id AS ix", "id % 7 AS iy")
+    cells = FT.star_cells(t, 200.0, 100.0, 100.0).withColumn("features", F.array(F.lit(1.0)))
+    stars = FT.assemble_stars(t, cells, 200.0, 100.0, 100.0)
+    plan = stars._jdf.queryExecution().sparkPlan().toString()
+    joins = [s for s in plan.split("\n") if "Join" in s and "_tile" in s]
+    assert joins and all("SortMergeJoin" in s for s in joins)
