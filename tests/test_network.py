@@ -84,6 +84,29 @@ def test_hub_labels_equal_dijkstra(spark, graph, monkeypatch, hubs):
         assert got == pytest.approx({k: near[a].get(b, math.inf) if a in some[:-1] else math.inf for k, a, b in asked})
 
 
+def test_pairs_of_a_graph_without_borders_are_searched_from_both_ends(spark, monkeypatch):
+    """Edges lead anywhere, so no hierarchy closes: what is written stays far below starts times nodes."""
+    monkeypatch.setattr(N, "LEAF", 16)
+    monkeypatch.setattr(R, "HUBS", 100)
+    rnd, n = random.Random(8), 600
+    e = [(a, rnd.randrange(n), float(rnd.randint(50, 500))) for a in range(n) for _ in range(2) if a % 10]
+    e += [(n, n + 1, 10.0), (n, n + 1, 30.0), (n + 1, 0, 20.0), (5, 5, 1.0)]
+    asked = [(a, a, (3 * a + 1) % n) for a in range(n)] + [(n, n, 77), (n + 1, n, 77), (n + 2, 77, n), (n + 3, 4, 4), (n + 4, n + 9, n + 9), (n + 5, n, n + 1)]
+    most, real = [0], R.cut_lineage
+
+    def cut(df):
+        out = real(df)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(R, "cut_lineage", cut)
+    monkeypatch.setattr(N, "cut_lineage", cut)
+    got = {r.pair_id: r.path_length for r in N.path_length(spark.createDataFrame(e, EDGES), spark.createDataFrame(asked, "pair_id int, from_node bigint, to_node bigint")).collect()}
+    near = {a: dijkstra(e, [a]) for _, a, _ in asked}
+    assert got == {k: near[a].get(b, math.inf) if a != n + 9 else math.inf for k, a, b in asked}
+    assert most[0] < n * n / 4
+
+
 def test_blocks_follow_the_map_not_the_ids(spark, monkeypatch):
     """A grid of streets with shuffled ids: blocks are full, compact, and rounds count their crossings, not hops."""
     side = 40
