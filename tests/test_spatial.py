@@ -81,6 +81,15 @@ def test_a_dense_spot_leaves_other_cells_as_they_are(spark, monkeypatch):
     assert {i: f for i, (f, _) in got.items()} == {i: f for i, (_, f) in want.items()}
 
 
+@pytest.mark.parametrize("n", [500, 6000])
+def test_a_point_looks_at_few_places_first(spark, n):
+    """Evenly spread features: a cell of the first level holds a few, whatever their number."""
+    df = spark.range(n).selectExpr("id AS fid", "10000D * (id * 0.7548776662466927D % 1) AS fx", "10000D * (id * 0.5698402909980532D % 1) AS fy")
+    start, _, placed = SP._tree(df, [], "fx", "fy", n, 0.0, 0.0, 10_000.0)
+    cells = placed.filter(F.col("_level") == start).groupBy("_cx", "_cy").count().agg(F.avg("count")).first()[0]
+    assert cells <= 8
+
+
 def test_snap_is_brute_force(spark):
     rnd = random.Random(3)
     p = [(i, rnd.uniform(2.2, 2.4), rnd.uniform(48.8, 48.9)) for i in range(60)] + [(99, 5.0, 45.0)]
