@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,17 +19,42 @@ from footreach.operators.quantiles import ranks
 from footreach.session import cut_lineage
 
 
+def _pooled(n: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    def pool(features: pa.Array, weights: pa.Array) -> pa.Array:
+        """Weighted means of the rows' feature lists. A null list makes the row null, a null number or weight the sums it enters, a place that some list lacks too; null sums are 0."""
+        out = []
+        for own, w in zip(features, weights):
+            if not own.is_valid:
+                out.append(None)
+                continue
+            own, w = own.values, w.values
+            if not len(own):
+                out.append(np.zeros(n))
+                continue
+            x, mass = own.flatten(), None if w.null_count else pc.sum(w).as_py()
+            if own.null_count or x.null_count or len(x) != n * len(own) or (own.value_lengths().to_numpy() != n).any():
+                lists = own.to_pylist()
+                if None in lists:
+                    out.append(None)
+                    continue
+                x = np.full((len(lists), max(n, *map(len, lists))), np.nan)
+                known = np.zeros(x.shape, bool)
+                for i, v in enumerate(lists):
+                    known[i, :len(v)] = [e is not None for e in v]
+                    x[i, :len(v)] = [np.nan if e is None else e for e in v]
+                known = known.all(axis=0) & (np.arange(x.shape[1]) < n)
+            else:
+                x, known = x.to_numpy().reshape(-1, n).astype(float), True
+            out.append(np.where(known, w.to_numpy() @ x / mass, 0.0) if mass else np.zeros(x.shape[1]))
+        return pa.array(out, pa.list_(pa.float64()))
+    return pool
+
+
 def pool_neighbours(df: DataFrame, weighting: str = "mean", n: int = N_FEATURES) -> DataFrame:
     """`pooled`: mean (or inverse-distance mean) of the neighbours' features, inside the row; zeros without any."""
-    def weight(s) -> Column:
-        return F.lit(1.0) if weighting == "mean" else F.lit(1.0) / (s["euclidean_distance"].cast("double") / 1000.0 + 0.1)
-
-    zeros = F.array_repeat(F.lit(0.0), n)
-    total = F.aggregate("neighbor_data", zeros, lambda acc, s: F.zip_with(
-        acc, s["features"].cast("array<double>"), lambda a, x: a + x * weight(s)))
-    mass = F.aggregate("neighbor_data", F.lit(0.0), lambda acc, s: acc + weight(s))
-    return df.withColumn("pooled", F.when(F.size("neighbor_data") == 0, zeros).otherwise(
-        F.transform(total, lambda x: F.coalesce(F.try_divide(x, mass), F.lit(0.0)))))
+    near = F.col("neighbor_data")
+    weights = F.transform(near, lambda s: F.lit(1.0) if weighting == "mean" else F.lit(1.0) / (s["euclidean_distance"].cast("double") / 1000.0 + 0.1))
+    return df.withColumn("pooled", F.arrow_udf(_pooled(n), "array<double>")(near["features"], weights))
 
 
 def soft_rows(df: DataFrame, target: str = "target_prob_vector", class_weights=None, n: int = N_CATEGORIES) -> DataFrame:

@@ -76,25 +76,30 @@ def sample_neighbours(df: DataFrame, ratio: float = 0.8, min_n: int = 3, seed: i
     edges = [0.0, 0.3, 0.6, 0.9, 1.0 + 1e-9 if keep_edge else 1.0]
     n = F.size("neighbor_data")
 
-    def seeded(s, i):
-        u = S.uniform(seed, F.col(key), i)
-        return F.struct(u.alias("u"), i.alias("i"), (s["euclidean_distance"].cast("double") / F.lit(float(scale))).alias("d"))
+    def seeded(own):  # as S.uniform orders (key, i), with the key's text made once a row
+        return lambda s, i: F.struct(S.drawn(F.concat(own, i.cast("string"), F.lit(f"|{seed}"))).alias("u"), i.alias("i"),
+                                     (s["euclidean_distance"].cast("double") / F.lit(float(scale))).alias("d"))
 
-    marks = F.transform("neighbor_data", seeded)
+    own = F.coalesce(F.concat(F.col(key).cast("string"), F.lit("|")), F.lit(""))
+    marks = F.get(F.transform(F.array(own), lambda own: F.transform("neighbor_data", seeded(own))), F.lit(0))
 
     def in_band(lo, hi):
         return lambda m: (m["d"] >= lo) & (m["d"] < hi)
 
+    def least(marked, count):  # u and i are never null, so both ways of sorting agree; this one is compiled
+        return F.slice(F.sort_array(marked), F.lit(1), count)["i"]
+
     kept = None
     for lo, hi in zip(edges, edges[1:]):
-        band = F.array_sort(F.filter(F.col("_marks"), in_band(lo, hi)))
+        band = F.filter(F.col("_marks"), in_band(lo, hi))
         quota = F.when(F.size(band) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.size(band) * F.lit(ratio)).cast("int")))
-        part = F.slice(band, F.lit(1), quota)
+        part = least(band, quota)
         kept = part if kept is None else F.concat(kept, part)
-    out = df.withColumn("_marks", marks).withColumn("_kept", F.transform(kept, lambda m: m["i"]))
-    rest = F.array_sort(F.filter("_marks", lambda m: ~F.array_contains(F.col("_kept"), m["i"])))
-    fill = F.slice(F.transform(rest, lambda m: m["i"]), F.lit(1), F.greatest(F.lit(min_n) - F.size("_kept"), F.lit(0)))
-    out = out.withColumn("_all", F.array_sort(F.concat("_kept", fill)))
+    out = df.withColumn("_marks", marks).withColumn("_kept", kept)
+    short = F.lit(min_n) - F.size("_kept")
+    rest = F.filter("_marks", lambda m: ~F.array_contains(F.col("_kept"), m["i"]))
+    fill = F.when(short > 0, least(rest, F.greatest(short, F.lit(0)))).otherwise(F.array().cast("array<int>"))  # its quadratic search only where it is needed
+    out = out.withColumn("_all", F.sort_array(F.concat("_kept", fill)))
     chosen = F.transform("_all", lambda i: F.get(F.col("neighbor_data"), i))
     return out.withColumn("neighbor_data", F.when(n <= min_n, F.col("neighbor_data")).otherwise(chosen)).withColumn(
         "num_neighbors", F.size("neighbor_data")).drop("_marks", "_kept", "_all")

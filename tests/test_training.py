@@ -1,3 +1,6 @@
+import hashlib
+import time
+
 import pandas as pd
 import pytest
 from footreach.operators import augment as AU
@@ -8,7 +11,6 @@ from footreach.operators import runs as RU
 from footreach.operators import split as SP
 from pyspark.sql import functions as F
 
-
 @pytest.fixture(scope="module")
 def stars(spark):
     """Stars with 0-12 neighbours, the first without any."""
@@ -60,6 +62,23 @@ def test_top_up_to_the_minimum(spark, stars):
     assert AU.subsample(far, 0.8, 3, 1, keep_edge=True).first().num_neighbors == 4
 
 
+def test_subsample_of_a_large_star(spark):
+    """What is kept follows the seeded draws, and the work does not grow with the square of the star."""
+    n = 60_000
+    d = [(i * 37 % 1000) * 1.0 for i in range(n)]
+    df = spark.createDataFrame([(5, d), (None, d[:40])], "target_id int, d array<double>").select("target_id", F.transform("d", lambda x: F.struct(x.alias("euclidean_distance"))).alias("neighbor_data"))
+    start = time.perf_counter()
+    got = {r.target_id: [x.euclidean_distance for x in r.neighbor_data] for r in AU.subsample(df, 0.8, 3, 42).collect()}
+    assert time.perf_counter() - start < 12
+    for t, size in ((5, n), (None, 40)):
+        draws = [(int(hashlib.md5("|".join([*([str(t)] if t is not None else []), str(i), "42"]).encode()).hexdigest()[:8], 16), i) for i in range(size)]
+        keep = []
+        for lo, hi in ((0, 300), (300, 600), (600, 900), (900, 1000)):
+            band = sorted(x for x in draws if lo <= d[x[1]] < hi)
+            keep += [i for _, i in band[:max(1, int(len(band) * 0.8))]]
+        assert got[t] == [d[i] for i in sorted(keep)]
+
+
 def test_noise_invariants(stars):
     g = AU.edge_noise(FT.star_graph(stars), 0.2, 0.2, seed=3)
     for r in g.collect():
@@ -101,6 +120,20 @@ def test_pooling(stars):
     assert q[5][0] < 2.0
 
 
+def test_pooling_runs_on_arrays_and_keeps_nulls(spark):
+    """Ragged and null lists, null numbers and weights as sums in SQL have them; whole batches of numbers, not an expression a number."""
+    near = [[([1.0, 2.0, 3.0], 0.0), ([3.0, 4.0, 5.0], 900.0)], [([1.0, None, 3.0], 0.0), ([3.0, 4.0, 5.0], 900.0)], [([1.0, 2.0], 0.0), ([3.0, 4.0, 5.0], 900.0)],
+            [([1.0, 2.0, 3.0, 4.0], 0.0), ([3.0, 4.0, 5.0], 0.0)], [(None, 0.0), ([3.0, 4.0, 5.0], 0.0)], [([1.0, 2.0, 3.0], None), ([3.0, 4.0, 5.0], 0.0)], [], None, [([float("nan"), 2.0, 3.0], 0.0)]]
+    df = spark.createDataFrame(list(enumerate(near)), "i int, neighbor_data array<struct<features:array<float>,euclidean_distance:double>>")
+    out = L.pool_neighbours(df, "inverse", 3)
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.pooled for r in out.collect()}
+    assert got[0] == pytest.approx([13 / 11, 24 / 11, 35 / 11]) and got[1] == pytest.approx([13 / 11, 0.0, 35 / 11]) and got[2] == pytest.approx([13 / 11, 24 / 11, 0.0])
+    assert got[3] == [2.0, 3.0, 4.0, 0.0] and got[4] is None and got[5] == got[6] == [0.0] * 3 and got[7] is None
+    assert got[8][0] != got[8][0] and got[8][1:] == pytest.approx([2.0, 3.0])
+    assert L.pool_neighbours(df, n=3).filter("i = 5").first().pooled == [2.0, 3.0, 4.0]
+
+
 def test_soft_label_model_learns(spark):
     rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], [0.7] + [0.3] + [0.0] * 6 if i % 2 else [0.0] * 6 + [0.4, 0.6], "a" if i % 4 < 2 else "b") for i in range(40)]
     df = spark.createDataFrame(rows, "target_id int, features array<double>, target_prob_vector array<double>, label string")
