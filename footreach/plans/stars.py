@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +24,27 @@ from footreach.session import cut_lineage
 SHOWN = ["ses_index", "median_income", "building_count", "services_2", "services_6", "intersection_density", "average_block_length", "pedestrian_street_ratio"]
 
 
-def walking_stars(spark, sf) -> DataFrame:
-    """Targets on a 100 m lattice with the cells of their disc; each cell's 33 features are built once, however many stars hold it."""
+def _own(stars: DataFrame) -> DataFrame:
+    own = F.filter("neighbor_data", lambda s: s["euclidean_distance"] == 0)
+    return stars.withColumn("target_features", F.get(own, F.lit(0))["features"])
+
+
+def walking_stars(spark, sf, more: DataFrame | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Targets on a 100 m lattice with the cells of their disc; each cell's 33 features are built once, however many stars hold it.
+
+    `more` (target_id, ...) is joined to the targets before they take their stars, as a join after that would shuffle every star
+    of every target. `finish` is applied to the stars of the lattice points, which targets share.
+    """
     t = B.targets(spark, sf).selectExpr("'all' AS neighborhood_name", "target_id", f"floor(x / {GRID_CELL_M}D) AS ix", f"floor(y / {GRID_CELL_M}D) AS iy", "lon", "lat")
     cells = FT.star_cells(t, WALK_RADIUS_M, GRID_CELL_M, GRID_CELL_M).selectExpr("neighborhood_name", "ix", "iy", "ix * 1000000 + iy AS target_id", "0 AS home", f"ix * {GRID_CELL_M}D AS x", f"iy * {GRID_CELL_M}D AS y")
     cells = cut_lineage(cells.withColumn("lon", G.lon_of("x")).withColumn("lat", G.lat_of("y")))
     built = cut_lineage(FT.feature_vector(FT.point_features(cells, **sources(spark, sf))).select("target_id", "features"))
     cells = cells.select("neighborhood_name", "ix", "iy", "target_id").join(built, "target_id").drop("target_id")
-    out = FT.assemble_stars(t, cells, WALK_RADIUS_M, GRID_CELL_M, GRID_CELL_M)
-    own = F.filter("neighbor_data", lambda s: s["euclidean_distance"] == 0)
-    return out.withColumn("target_features", F.get(own, F.lit(0))["features"])
+    if more is not None:
+        t = cut_lineage(t.join(more, "target_id"))
+    if finish is None:
+        return _own(FT.assemble_stars(t, cells, WALK_RADIUS_M, GRID_CELL_M, GRID_CELL_M))
+    return FT.assemble_stars(t, cells, WALK_RADIUS_M, GRID_CELL_M, GRID_CELL_M, finish=lambda stars: finish(_own(stars)))
 
 
 _CELLS = """customers AS ({targets}), tl AS (SELECT target_id, CAST(floor(x / 100) AS bigint) AS ix, CAST(floor(y / 100) AS bigint) AS iy FROM customers),
@@ -79,10 +92,10 @@ def walking_star_samples(spark, sf):
                        F.round(F.get("pooled", F.lit(FEATURES.index("services_2"))), 3).alias("near_grocery"))
 
 
-def star_rows(spark, sf) -> DataFrame:
+def star_rows(spark, sf, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Stars with the target's geometry and its distribution over the service categories."""
     probs = nearest_by_category(B.targets(spark, sf), B.services(spark, sf)).select("target_id", V.distance_softmax("distances", 200.0).alias("target_prob_vector"))
-    return walking_stars(spark, sf).withColumn("target_geometry", G.to_wkt("lon", "lat")).join(probs, "target_id")
+    return walking_stars(spark, sf, probs, finish).withColumn("target_geometry", G.to_wkt("lon", "lat"))
 
 
 @query("star_row_check", "Q28 N7", B.sql("targets", """
@@ -95,7 +108,8 @@ def star_row_check(spark, sf):
 @query("star_model", "M1 M2 M4", None)
 def star_model(spark, sf):
     """Soft labels fitted on the targets' 33 features and the pooled 33 of their discs, every target scored; an optimiser has no SQL form."""
-    rows = cut_lineage(L.pool_neighbours(star_rows(spark, sf)).select("target_id", "target_prob_vector", F.concat(V.as_double("target_features"), "pooled").alias("features")))
+    rows = star_rows(spark, sf, lambda stars: L.pool_neighbours(stars).drop("neighbor_data"))
+    rows = cut_lineage(rows.select("target_id", "target_prob_vector", F.concat(V.as_double("target_features"), "pooled").alias("features")))
     scored = L.score(L.fit_soft_labels(rows, max_iter=20), rows)
     best = F.get(V._col(F.array(*[F.lit(c) for c in CATEGORIES])), F.col("predicted_class"))
     return scored.select("target_id", best.alias("predicted"), r6(F.array_max("predicted_probs")).alias("confidence"), r6(V.kl("target_prob_vector", "predicted_probs")).alias("kl"))

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import time
 
 import pandas as pd
@@ -9,8 +10,12 @@ from footreach.operators import features as FT
 from footreach.operators import learn as L
 from footreach.operators import runs as RU
 from footreach.operators import split as SP
+from footreach.plans import stars as ST
 from pyspark.sql import functions as F
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 @pytest.fixture(scope="module")
 def stars(spark):
     """Stars with 0-12 neighbours, the first without any."""
@@ -134,6 +139,18 @@ def test_pooling_runs_on_arrays_and_keeps_nulls(spark):
     assert L.pool_neighbours(df, n=3).filter("i = 5").first().pooled == [2.0, 3.0, 4.0]
 
 
+def test_stars_of_targets_are_not_shuffled(spark, monkeypatch):
+    """Everything a row needs beside its star is joined before: the join that brings the stars is the last, and pooling is done a lattice point."""
+    monkeypatch.setattr(FT, "point_features", lambda p, **kw: p.select("target_id"))
+    monkeypatch.setattr(ST, "sources", lambda *a: {})
+    plan = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n") if "Exchange" in x]
+    rows = ST.star_rows(spark, SF)
+    assert plan(rows) and not [x for x in plan(rows) if "target_id" in x]
+    pooled = ST.star_rows(spark, SF, lambda s: L.pool_neighbours(s).drop("neighbor_data")).select("target_id", "target_prob_vector", "target_features", "pooled").collect()
+    whole = {r.target_id: r for r in L.pool_neighbours(rows).select("target_id", "target_prob_vector", "target_features", "pooled").collect()}
+    assert len(pooled) == len(whole) and all(r == whole[r.target_id] for r in pooled)
+
+
 def test_soft_label_model_learns(spark):
     rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], [0.7] + [0.3] + [0.0] * 6 if i % 2 else [0.0] * 6 + [0.4, 0.6], "a" if i % 4 < 2 else "b") for i in range(40)]
     df = spark.createDataFrame(rows, "target_id int, features array<double>, target_prob_vector array<double>, label string")
