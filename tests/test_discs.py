@@ -97,6 +97,29 @@ def test_a_polygon_that_is_its_box_is_measured_as_one(spark, adaptive):
     assert [f.fid for f in s.filter(G.is_rectangle("rings")).collect()] == [0, 1, 5]
 
 
+@pytest.mark.parametrize("radius, cell", [(25.0, None), (30.0, 10.0), (20.0, 200.0)])
+def test_points_spread_over_cells_meet_every_shape_once(spark, adaptive, radius, cell):
+    p, s = lattice(spark).unionByName(spark.createDataFrame([(900, None, 1.0), (901, float("inf"), 1.0), (902, float("nan"), 1.0), (903, 1e18, -1e18), (3, 30.0, 0.0)], "target_id bigint, x double, y double")), shapes(spark)
+    got = SP.distance_join(p, s, radius, rings="rings", cell=cell, spread="points")
+    assert not broadcast_explodes(got)
+    key = lambda df: sorted((r.target_id, r.fid, round(r.distance, 9)) for r in df.collect())
+    assert key(got) == key(SP.distance_join(p, s, radius, rings="rings", cell=cell)) and got.count() > 100
+    with pytest.raises(ValueError, match="inner"):
+        SP.distance_join(p, s, radius, rings="rings", spread="points", how="left")
+
+
+def test_built_form_repeats_points_not_shapes(spark, monkeypatch):
+    """Shapes of 10 m in cells of 100 m are repeated over the cells of their own box only."""
+    seen, real = [], SP._exploded
+    monkeypatch.setattr(SP, "_exploded", lambda df: seen.append(df.count()) or real(df))
+    p = spark.range(30).selectExpr("id AS target_id", "id * 37D AS x", "id * 91D AS y")
+    box = "array(array(named_struct('x', a, 'y', b), named_struct('x', a + 10, 'y', b), named_struct('x', a + 10, 'y', b + 10), named_struct('x', a, 'y', b + 10), named_struct('x', a, 'y', b)))"
+    b = spark.range(2000).selectExpr("CAST(id % 50 * 23 AS double) AS a", "CAST(floor(id / 50) * 71 AS double) AS b").selectExpr(f"{box} AS rings", "'2' AS levels")
+    got = {r.target_id: r.building_count for r in FT.built_form(p, b).collect()}
+    near = p.join(b, G.polygon_distance("rings", "x", "y") <= 100.0).groupBy("target_id").count().collect()
+    assert {k: v for k, v in got.items() if v} == {r["target_id"]: r["count"] for r in near} and seen and max(seen) < 2 * 2000
+
+
 @pytest.mark.parametrize("strict, how", [(True, "inner"), (False, "inner"), (True, "left"), (False, "left")])
 def test_within_join_is_brute_force(spark, strict, how):
     p, s = lattice(spark), shapes(spark)

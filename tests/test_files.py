@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from footreach import session
@@ -130,6 +131,25 @@ def test_incremental_job_builds_each_key_once(spark, tmp_path):
     assert sorted(r.target_id for r in spark.read.parquet(out).collect()) == list(range(20))
 
 
+def test_incremental_job_looks_through_its_state_once(spark, tmp_path):
+    """A batch's rows are a table for those who build from them, and the tables of a batch go with it."""
+    land, out, state = (f"{tmp_path}/{n}" for n in ("land", "out", "state"))
+    spark.range(20).select(F.col("id").alias("k")).write.parquet(land)
+    plans, folders = [], []
+
+    def build(d):
+        kept = session.cut_lineage(d.groupBy("k").count())
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        folders.extend(os.path.dirname(f.removeprefix("file:")) for f in kept.inputFiles())
+        return d.join(kept, "k")
+
+    before = session.cut_lineage(spark.range(3))
+    T.run_incremental(spark.readStream.schema("k bigint").parquet(land), out, state, build, ["k"]).awaitTermination()
+    assert plans and "StreamingDeduplicate" not in plans[0]
+    assert folders and not any(os.path.exists(f) for f in folders)
+    assert spark.read.parquet(out).count() == 20 and before.count() == session.cut_lineage(spark.range(3)).count() == 3
+
+
 def test_incremental_job_reads_no_old_output(spark, tmp_path):
     """The keys done are state: old output can be taken away, and a replayed batch overwrites its own folder."""
     land, out, state = (f"{tmp_path}/{n}" for n in ("land", "out", "state"))
